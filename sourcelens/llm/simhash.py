@@ -174,7 +174,9 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprint_links(fps: DataFrame) -> DataFrame:
     """Links a, b between the distinct values of fps.fp at RADIUS or fewer bits: within each component of
     close fingerprints, enough links to connect it (no link is lost to a component)."""
-    keyed = fps.select("fp").distinct().mapInArrow(_emit, "key bigint, fp bigint")
+    # Eight bytes a row here, 196 rows each after: AQE mustn't join these partitions by their size.
+    spread = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = fps.select("fp").distinct().repartition(spread).mapInArrow(_emit, "key bigint, fp bigint")
     met = keyed.repartition("key").sortWithinPartitions("key")
     return met.mapInArrow(_verify, "a bigint, b bigint").distinct()
 
