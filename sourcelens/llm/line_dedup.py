@@ -28,9 +28,9 @@ def boilerplate_lines(docs: DataFrame, host: str = "source", text: str = "text",
     return kept.groupBy("host").agg(F.first("pages").alias("pages"), F.sort_array(F.collect_set("l")).alias("lines"))
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: bool = True) -> DataFrame:
     """docs with boilerplate lines taken out of `text`; every column and row stays, and n_lines and
-    n_dropped (bigint; replacing columns of these names) are added.
+    n_dropped (bigint; replacing columns of these names) are added, unless counts=False.
 
     Null text stays null (0 lines); a text whose lines all go becomes empty; a text without boilerplate
     stays as it is, byte for byte. Equal rows change alike. An empty table gives an empty table. The sites'
@@ -42,10 +42,9 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     joined = docs.join(sets.select(F.col("host").alias(h), F.col("lines").alias(bad)), F.col(host).eqNullSafe(F.col(h)), "left").drop(h)
     cut = joined.withColumn(lines, F.split(F.col(text).cast("string"), "\n", -1))
     cut = cut.withColumn(kept, F.when(F.col(bad).isNotNull(), F.filter(lines, lambda x: ~F.array_contains(F.col(bad), F.xxhash64(x)))).otherwise(F.col(lines)))
-    n, left = F.coalesce(F.size(lines), F.lit(0)).cast("bigint"), F.coalesce(F.size(kept), F.lit(0)).cast("bigint")
-    n, left = (F.when(F.col(lines).isNull(), F.lit(0).cast("bigint")).otherwise(x) for x in (n, left))
-    out = cut.withColumn("n_lines", n).withColumn("n_dropped", n - left)
-    return out.withColumn(text, F.when(F.col("n_dropped") > 0, F.array_join(kept, "\n")).otherwise(F.col(text))).drop(lines, bad, kept)
+    size = lambda c: F.when(F.col(lines).isNull(), 0).otherwise(F.size(c)).cast("bigint")
+    out = cut.withColumns({"n_lines": size(lines), "n_dropped": size(lines) - size(kept)}) if counts else cut
+    return out.withColumn(text, F.when(size(kept) < size(lines), F.array_join(kept, "\n")).otherwise(F.col(text))).drop(lines, bad, kept)
 
 
 #: drop_boilerplate over documents in DuckDB's SQL.

@@ -17,10 +17,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, star_components
+from .common import free_name, materialize, star_components
 
 RADIUS, BLOCKS, WIDTH = 3, 4, 16
 _REST = BLOCKS * WIDTH - WIDTH
@@ -51,17 +51,19 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def with_fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a bigint) for each row of docs. Null text: no words."""
+    """doc_id, text_hash (XXH64 of the text) and fp (the fingerprint's bits as a bigint) for each row of
+    docs. Null text: no words."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)
-                fps = [fingerprint(t, shingle, seed) for t in part.column(1).cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
+                fps = [fingerprint(t, shingle, seed) for t in part.column(2).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    text = F.col("text").cast("string")
+    return docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, f"doc_id {kind}, text_hash bigint, fp bigint")
 
 
 def variants(fps: np.ndarray) -> Iterator[np.ndarray]:
@@ -184,8 +186,8 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
     """Near-duplicate classes of docs (doc_id, text; other columns are ignored).
 
-    Returns doc_id, fp bigint, fingerprint string (16 hex digits), component_id (the smallest doc_id
-    reachable over links). One row for each input row; repeated rows repeat; an empty table gives no rows;
+    Returns doc_id, text_hash and fp (bigint), fingerprint string (16 hex digits), component_id (the
+    smallest doc_id reachable over links), component (the smallest fp, which names the class always). One row for each input row; repeated rows repeat; an empty table gives no rows;
     null or blank text has fingerprint 0, linked like any other; a null doc_id is kept, belongs to its
     class, and names it only if no row of the class has an id (component_id null).
     Exact copies collapse to one fingerprint before anything is emitted, so a hot text costs one row.
@@ -194,5 +196,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFr
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = star_components(fingerprint_links(prints), "simhash-links")
     rooted = first.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id", F.col("root").alias("component"))
+    return prints.join(named, "fp").select("doc_id", "text_hash", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component")
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row of docs for each near-duplicate class: that of the smallest doc_id (null ids count as
+    greatest), of its texts the one of smallest hash, and of equal rows any one. Columns stay."""
+    key, place = free_name(docs, "key", "place")
+    name = lambda h: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.hex(h))
+    best = near_duplicates(docs.select("doc_id", "text")).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("best"))
+    kept = materialize(best.select("best.doc_id", "best.text_hash").select(name(F.col("text_hash")).alias(key)), "simhash-kept")
+    rows = docs.withColumn(key, name(F.xxhash64(F.col("text").cast("string")))).join(kept, key, "left_semi")
+    return rows.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(1)))).where(F.col(place) == 1).select(docs.columns)
