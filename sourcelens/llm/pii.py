@@ -120,9 +120,9 @@ _STRANGE = re.compile(r"[^\x00-\x7f]")
 #: White-space-free runs hold a look-alike only if they hold ASCII letters, digits or signs of an address too.
 _RUN = re.compile(r"[^\s]+")
 _WORD = "|".join(sorted(DIGITS, key=len, reverse=True))
-_SPELLED = re.compile(rf"(?i)(?<![A-Za-z])(?:(plus)[ -]+)?((?:{_WORD}|[0-9])(?:(?:[ -]+|[ ]+dot[ ]+)(?:{_WORD}|[0-9]))+)(?![A-Za-z])")
+_SPELLED = re.compile(rf"(?i)(?<![A-Za-z0-9])(?:(plus)[ -]+)?((?:{_WORD}|[0-9]++)(?:(?:[ -]+|[ ]+dot[ ]+)(?:{_WORD}|[0-9]++))+)(?![A-Za-z])")
 _SPELLED_PART = re.compile(rf"(?i)({_WORD})(?![A-Za-z])|[ ]+(dot)[ ]+|([ -]+)")
-_SPELLED_HINT = re.compile(rf"(?i)(?<![A-Za-z])(?:{_WORD})[ -]+(?:dot[ ]+)?(?:{_WORD}|[0-9])(?![A-Za-z])|(?<![A-Za-z])(?:{_WORD})[ ]+dot[ ]")
+_SPELLED_HINT = re.compile(rf"(?i)(?<![A-Za-z])(?:{_WORD})[ -]+(?:dot[ ]+)?(?:{_WORD}|[0-9])(?![A-Za-z])|(?<![A-Za-z])(?:{_WORD})[ ]+dot[ ]|[ ]dot[ ](?:{_WORD}|[0-9])")
 _BRACKETED = re.compile(r"(?i)[ ]?[\[({<][ ]?(?:(at|@)|(dot|punto|punkt|point|\.))[ ]?[\])}>][ ]?")
 _AT_WORDS = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9_%+-]{{1,64}}(?:\.|[ ]dot[ ])){{0,6}}[A-Za-z0-9_%+-]{{1,64}}([ ]at[ ])[A-Za-z0-9-]{{1,63}}(?:(?:\.|[ ]dot[ ])[A-Za-z0-9-]{{1,63}}){{0,4}}[ ]dot[ ](?:{ENDINGS})(?![A-Za-z0-9-])")
 _DOT_WORD = re.compile(r"(?i)[ ]dot[ ]")
