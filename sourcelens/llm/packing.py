@@ -22,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import MEMO, segments
+from .bpe import segments
 from .common import materialize
 
 CAPACITY = 2048
 #: Pieces of one length that one task ranks, about; longer runs of equal lengths are salted.
 RANKED_TOGETHER = 20_000
+#: Segments in the young half of the tokenizer's memo; when it is full, it becomes the old half.
+MEMO = 800_000
 SLOTS = "length bigint, low bigint, high bigint, base bigint, per bigint, place bigint"
 
 
@@ -74,19 +76,19 @@ class SegmentTokenizer:
         long = dict(zip(whole, self.packed(whole), strict=True)) if whole else {}
         if len(self.young) >= MEMO:
             self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        new = {s for c in cut if c for s in c if s not in young}
-        fresh = []
-        for s in new:
-            if (got := old.get(s)) is not None:
-                young[s] = got
-            else:
-                fresh.append(s)
-        once = {}
-        for s, b in zip(fresh, self.alone(fresh), strict=True):
-            (young if len(s) <= 64 else once)[s] = b
-        get = (lambda s: young.get(s) or once.get(s, b"")) if once else young.__getitem__
-        return [long[t] if c is None else b"".join([get(s) for s in c]) for t, c in zip(texts, cut, strict=True)]
+        young, old, new = self.young, self.old, set()
+        for c in cut:
+            new.update(c or ())
+        new -= young.keys()
+        known = new & old.keys()
+        young.update((s, old[s]) for s in known)
+        fresh = list(new - known)
+        young.update(zip(fresh, self.alone(fresh), strict=True))
+        out = [long[t] if c is None else b"".join(map(young.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
+        for s in fresh:
+            if len(s) > 64:
+                del young[s]
+        return out
 
 
 @lru_cache(maxsize=2)
