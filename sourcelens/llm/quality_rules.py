@@ -20,7 +20,7 @@ MIN_DOCS = 100
 #: Fences lie FENCE interquartile ranges outside the quartiles, or `slack` if that is more.
 FENCE = 3
 #: Metric: its slack, and whether low values count against a document too.
-METRICS = {"symbol_pm": (60, False), "dup_line_pm": (400, False), "repeat_pm": (100, False), "word_len10": (25, True)}
+METRICS = {"symbol_pm": (60, False), "dup_line_pm": (400, False), "repeat_pm": (200, False), "word_len10": (40, True)}
 
 
 def document_stats(docs: DataFrame) -> DataFrame:
