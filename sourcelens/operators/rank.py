@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import stored
 
 K1, B = 1.2, 0.75
 CONTENT_BASE = 25
@@ -56,17 +57,32 @@ def path_score(path: Column, terms: list[str]) -> Column:
     return T.count_contained(T.ascii_lower(path), terms)
 
 
+def with_scores(rows: DataFrame, terms: list[str], memory: Column | None = None) -> DataFrame:
+    """rows (path, dl, tf.., n_docs, avgdl, df..) with matched, path_bonus, bm25 and score; others than
+    matches of the content or the path go."""
+    n, m = len(terms), F.lit(0.0) if memory is None else memory
+    j = rows.withColumns({"bm25": bm25(n), "matched": matched(n), "path_bonus": path_score(F.col("path"), terms)})
+    content = CONTENT_BASE + 10 * F.col("matched") + 3 * F.col("path_bonus") + 12 * F.col("bm25") + m
+    score = F.when(F.col("matched") > 0, content).when(F.col("path_bonus") > 0, 3 * F.col("path_bonus") + F.least(m, F.lit(4.0)))
+    return j.withColumn("score", score).where("score is not null")
+
+
+def matches(corpus: DataFrame, terms: list[str]) -> DataFrame:
+    """The rows of term_statistics that match by content or path, with the corpus statistics (n_docs,
+    avgdl, df..), in one pass over the texts: the statistics of all documents are observed while the
+    matching rows, numbers only, are stored."""
+    n, seen = len(terms), Observation()
+    stats = term_statistics(corpus, terms).observe(seen, F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(n)))
+    kept = stored(stats.where((matched(n) > 0) | (path_score(F.col("path"), terms) > 0)), "matches")
+    known = seen.get
+    return kept.withColumns({k: F.lit(known[k] if known[k] is not None else 1.0) for k in ("n_docs", "avgdl", *(f"df{i}" for i in range(n)))})
+
+
 def scored(corpus: DataFrame, terms: list[str], memory: Column | None = None) -> DataFrame:
     """path, dl, tf.., matched, path_bonus, bm25, score: content matches and matches of the path only."""
-    n = len(terms)
     stats = term_statistics(corpus, terms)
     # One row of corpus statistics.
-    j = stats.crossJoin(F.broadcast(corpus_row(stats, n)))
-    j = j.withColumns({"bm25": bm25(n), "matched": matched(n), "path_bonus": path_score(F.col("path"), terms)})
-    m = F.lit(0.0) if memory is None else memory
-    content = CONTENT_BASE + 10 * F.col("matched") + 3 * F.col("path_bonus") + 12 * F.col("bm25") + m
-    score = F.when(F.col("matched") > 0, content).when(F.col("path_bonus") > 0, 3 * F.col("path_bonus") + F.least(m, F.lit(4.0)))
-    return j.withColumn("score", score).where("score is not null")
+    return with_scores(stats.crossJoin(F.broadcast(corpus_row(stats, len(terms)))), terms, memory)
 
 
 def top(df: DataFrame, k: int, *more: str) -> DataFrame:

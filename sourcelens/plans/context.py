@@ -11,6 +11,7 @@ from ..functions import query as Q
 from ..functions.redact import redact_udf
 from ..functions.text import compact
 from ..operators import adaptive, graph, memory, pack, policy, rank, symbols
+from ..storage import stored
 
 MAP_FILES = 16
 COLUMNS = ("seq bigint", "session_id string", "agent_id string", "terms array<string>", "paths array<string>")
@@ -34,16 +35,16 @@ class Engine:
         audited = corpus if "reason" in corpus.columns else policy.with_reason(corpus) if apply_policy else corpus.withColumn("reason", F.lit(None).cast("string"))
         self.audit, self.corpus = audited, audited.where(F.col("reason").isNull() & F.col("text").isNotNull()).select("path", "text")
         self.memory = spark.createDataFrame([], ", ".join(COLUMNS))
-        self.seq, self.graphs = 0, graph.GraphCache()
+        self.seq, self.graphs, self.texts = 0, graph.GraphCache(), None
 
     def search(self, q: Q.Query, session: str | None = None, agent: str | None = None) -> DataFrame:
         """The query's hits, best first: path, start_line, end_line, excerpt, score, fingerprint.
 
-        Statistics of all documents come first, without shuffling a text. Only the best candidates' texts
-        are redacted, and their evidence is found in what redaction leaves."""
+        One pass over the texts finds the matches and the statistics of all documents; a second one fetches
+        the candidates' texts, which are redacted and stored. Evidence is found in what redaction leaves."""
         terms, (k, _) = list(q.terms), Q.result_limits(len(q.terms))
         limit = Q.candidate_limit(k)
-        scored = rank.scored(self.corpus, terms)
+        scored = rank.with_scores(rank.matches(self.corpus, terms), terms)
         moves = memory.adjustments(self.memory, terms, session, agent) if self.seq else None
         if moves is not None:
             # At most 1024 paths: eight for each of 128 records.
@@ -54,6 +55,7 @@ class Engine:
         best = rank.top(scored.withColumn("score", F.col("score") + move), limit).select("path", "matched", "path_bonus", "bm25", "adjustment", "score")
         # `limit` rows: the texts of the candidates alone are redacted.
         texts = self.corpus.join(F.broadcast(best), "path").withColumn("fingerprint", F.sha2("text", 256)).withColumn("text", redact_udf("text"))
+        texts = self.texts = stored(texts, "candidates")
         seen = rank.evidence(texts, q.raw, terms, ("fingerprint", "matched", "path_bonus", "bm25", "adjustment", "score"))
         visible = seen.withColumn("score", F.col("score") + 8 * F.col("exact") + F.col("structure"))
         out = ["path", "start_line", "end_line", "excerpt", "score", "fingerprint"]
@@ -64,12 +66,12 @@ class Engine:
         return rank.top(shown.unionByName(bare.select(*out)), k, "start_line")
 
     def structural_map(self, hits: list[dict], terms: list[str], limit: int) -> list[tuple[str, float, list[str], list[tuple[str, str, float]]]]:
-        """Map entries of at most 16 hit files: path, score, symbols, links."""
+        """Map entries of at most 16 files that the last search hit: path, score, symbols, links."""
         top = hits[: min(limit, MAP_FILES)]
         if not top:
             return []
         paths = [h["path"] for h in top]
-        files = self.corpus.where(F.col("path").isin(paths)).withColumn("text", redact_udf("text"))
+        files = stored(self.texts.where(F.col("path").isin(paths)).select("path", "text").coalesce(1), "map")
         facts = symbols.syntax_facts(files)
         parsed = facts.where("fact = 'symbol'")
         found = symbols.combined_symbols(parsed, symbols.heuristic_symbols(files))
