@@ -13,7 +13,7 @@ from ..storage import stored
 K1, B = 1.2, 0.75
 CONTENT_BASE = 25
 CONTEXT, EXCERPT_BYTES = 4, 2048
-WITHHELD = "[REDACTED_MATCH: matching source content suppressed]"
+WITHHELD = "[REDACTED_MATCH]"
 
 
 def add(columns: list[Column]) -> Column:
