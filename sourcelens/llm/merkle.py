@@ -73,12 +73,14 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     fingerprint.
     """
     d = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    known = d.where(F.col("doc_id").isNotNull())
     order = materialize(successors(d), "merkle-next")
     wanted = order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("before"), F.floor(F.col("n_chars") / 2).cast("int").alias("half"))
-    heads = with_fingerprint(d.join(wanted, "doc_id").select("before", F.substr("text", F.lit(1), "half").alias("head"), "text"), "text", "next_fingerprint", ["before", "head"])
+    heads = with_fingerprint(known.join(wanted, "doc_id").select("before", F.substr("text", F.lit(1), "half").alias("head"), "text"), "text", "next_fingerprint", ["before", "head"])
     heads = heads.groupBy("before").agg(F.min(F.struct("head", "next_fingerprint")).alias("next")).select(F.col("before").alias("doc_id"), "next.*")
     half = F.floor(F.length("text") / 2).cast("int")
-    own = d.join(heads, "doc_id", "left").withColumn("half", half)
+    # Both joins see the same rows with an id, so that their texts are dealt out once for both.
+    own = known.join(heads, "doc_id", "left").unionByName(d.where(F.col("doc_id").isNull()).withColumns({"head": F.lit(None).cast("string"), "next_fingerprint": F.lit(None).cast("string")})).withColumn("half", half)
     edited = F.concat(F.substr("text", F.lit(1), F.length("text") - F.col("half")), F.coalesce(F.substr("head", F.lit(1), "half"), F.lit("")))
     own = own.withColumn("edited", edited).select("doc_id", "text", "edited", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "next_fingerprint")
     own = with_fingerprint(own, "text", "fingerprint", ["doc_id", "edited", "n_chars", "edited_sha256", "next_fingerprint"])
