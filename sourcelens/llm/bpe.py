@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 #: piece, so a text may be cut there and equal segments encoded once.
 SEGMENT = re.compile(r"(?= \S)(?<!^)")
 _ODD_SPACE = re.compile(r" (?!\S)")
+#: A newline with no other white space at its sides but such a space is always a piece of its own.
+_GAPS = re.compile(r"[^\S ]{2}")
 #: Entries of a memo's young half; when it is full, it becomes the old half, and the old half goes.
 MEMO = 400_000
 _NONE = 1 << 62
@@ -55,13 +57,20 @@ def merge_by_rank(data: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def segments(text: str) -> list[str]:
-    """The text cut before every space that a visible character follows."""
+    """The text cut before every space that a visible character follows, and around lone newlines."""
     if not text:
         return []
     if _ODD_SPACE.search(text):
         return [s for s in SEGMENT.split(text) if s]
-    first, *rest = text.split(" ")
-    return [first, *[f" {s}" for s in rest]] if first else [f" {s}" for s in rest]
+    out: list[str] = []
+    for k, line in enumerate([text] if _GAPS.search(text) else text.split("\n")):
+        if k:
+            out.append("\n")
+        first, *rest = line.split(" ")
+        if first:
+            out.append(first)
+        out += [f" {s}" for s in rest]
+    return out
 
 
 class Codec:

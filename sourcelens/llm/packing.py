@@ -30,6 +30,7 @@ CAPACITY = 2048
 RANKED_TOGETHER = 20_000
 #: Segments in the young half of the tokenizer's memo; when it is full, it becomes the old half.
 MEMO = 800_000
+SIGNS = ".,;:!?*$%&#|"
 SLOTS = "length bigint, low bigint, high bigint, base bigint, per bigint, place bigint"
 
 
@@ -55,19 +56,31 @@ class SegmentTokenizer:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def alone(self, parts: list[str]) -> list[bytes]:
-        """The ids of each segment. Those that start with a space are encoded end to end, as each starts a
-        new piece; the bytes that the ids stand for show where each one ends."""
-        spaced = [s for s in parts if s[0] == " "]
-        out = {}
-        for k in range(0, len(spaced), 8192):
-            some = spaced[k : k + 8192]
-            ids = np.frombuffer(self.packed(["".join(some)])[0], "<u4")
-            ends = np.cumsum([len(s.encode()) for s in some])
-            cuts = np.searchsorted(np.cumsum(self.size[ids]), ends) + 1
-            out |= {s: ids[a:b].tobytes() for s, a, b in zip(some, [0, *cuts[:-1]], cuts, strict=True)}
-        rest = [s for s in parts if s[0] != " "]
-        out |= zip(rest, self.packed(rest), strict=True)
-        return [out[s] for s in parts]
+        """The ids of each segment. Signs at the end of a word are pieces of their own, so word and signs
+        are encoded apart, each once."""
+        cut = {s: s.rstrip(SIGNS) for s in parts}
+        cut = {s: b if b and b[-1].isalnum() else s for s, b in cut.items()}
+        need = {*cut.values(), *(s[len(b) :] for s, b in cut.items() if len(b) < len(s))}
+        known, young = {}, self.young
+        fresh = list(need.difference(young))
+        for s in need.difference(fresh):
+            known[s] = young[s]
+        spaced = [s for s in fresh if s[0] == " "]
+        bare = [s for s in fresh if s[0] != " " and s.split() == [s]]
+        rest = [s for s in fresh if s[0] != " " and s.split() != [s]]
+        known |= zip(rest, self.packed(rest), strict=True)
+        # Others are encoded end to end, as each starts a new piece or stands between lone newlines; the
+        # bytes that the ids stand for show where each one ends.
+        for some, gap in ((spaced, ""), (bare, "\n")):
+            for k in range(0, len(some), 8192):
+                part = some[k : k + 8192]
+                ids = np.frombuffer(self.packed([gap.join(part)])[0], "<u4")
+                ends = np.cumsum([len(s.encode()) + len(gap) for s in part]) - len(gap)
+                at = np.searchsorted(np.cumsum(self.size[ids]), ends) + 1
+                data = ids.tobytes()
+                starts = [0, *(4 * (at[:-1] + len(gap))).tolist()]
+                known |= {s: data[a:b] for s, a, b in zip(part, starts, (4 * at).tolist(), strict=True)}
+        return [known[s] if len(b) == len(s) else known[b] + known[s[len(b) :]] for s, b in cut.items()]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
@@ -79,10 +92,10 @@ class SegmentTokenizer:
         young, old, new = self.young, self.old, set()
         for c in cut:
             new.update(c or ())
-        new -= young.keys()
-        known = new & old.keys()
-        young.update((s, old[s]) for s in known)
-        fresh = list(new - known)
+        new = new.difference(young)  # looks the new ones up, however large the memo
+        fresh = list(new.difference(old))
+        for s in new.difference(fresh):
+            young[s] = old[s]
         young.update(zip(fresh, self.alone(fresh), strict=True))
         out = [long[t] if c is None else b"".join(map(young.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
         for s in fresh:
