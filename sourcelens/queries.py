@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import query as Q
@@ -289,6 +289,23 @@ planted("redact_urls", " https://u:", "@h.test/x ", " https://u:[0-9a-f]+@h", "
 planted("redact_auth", " Authorization: Bearer ", " end ", "Authorization: Bearer [0-9a-f]{32} end", "Authorization: Bearer [REDACTED_CREDENTIAL] end", ("header", "scheme"))
 
 
+#: What planted() puts into texts, for whole texts: column, before and after the digest, rules.
+PLANTED = (("tokens", " ghp_", " end ", ("token",)), ("jwt", " eyJhbGci.", ".c2lnbmF0 end ", ("jwt",)), ("urls", " https://u:", "@h.test/x ", ("url",)), ("auth", " Authorization: Bearer ", " end ", ("header", "scheme")))
+
+
+@query()
+def redact_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text with a secret of each kind planted in it and once more after it, redacted by the kind's
+    rules. The queries above see the first 120 characters only, as their SQL does."""
+    digest = F.md5(F.col("doc_id").cast("string"))
+
+    def whole(before: str, after: str) -> Column:
+        secret = F.concat(F.lit(before), digest, F.lit(after))
+        return F.concat(F.substr("text", F.lit(1), F.lit(80)), secret, F.expr("substr(text, 81)"), secret)
+
+    return table(spark, sf_dir, "documents").select("doc_id", *(R.by_rule(whole(a, b), *rules).alias(n) for n, a, b, rules in PLANTED))
+
+
 @query("""select doc_id, regexp_replace(text, 'token = "[0-9a-f]{40}"', 'token = "[REDACTED_LITERAL]"', 'g') redacted from documents where contains(text, 'token = "')""")
 def redact_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").where(F.contains("text", F.lit('token = "')))

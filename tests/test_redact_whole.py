@@ -1,0 +1,22 @@
+import re
+
+from sourcelens import queries as Q
+from sourcelens.operators.corpus import table
+
+SECRET = re.compile("ghp_[0-9a-f]{32}|eyJhbGci[.][0-9a-f]{32}[.]c2lnbmF0|u:[0-9a-f]{32}@|Bearer [0-9a-f]{32}")
+#: What stands where a planted secret stood.
+MARKED = {"tokens": " [REDACTED_TOKEN] end ", "jwt": " [REDACTED_JWT] end ", "urls": " https://[REDACTED_URL_CREDENTIAL]@h.test/x ", "auth": " Authorization: Bearer [REDACTED_CREDENTIAL] end "}
+
+
+def test_whole_texts_are_redacted(spark, data):
+    texts = {r["doc_id"]: r["text"] for r in table(spark, data, "documents").select("doc_id", "text").collect()}
+    rows = Q.queries()["redact_planted"](spark, data).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts) and max(map(len, texts.values())) > 1000
+    same = dict.fromkeys(MARKED, 0)
+    for r in rows:
+        text = texts[r["doc_id"]]
+        for kind, mark in MARKED.items():
+            assert not SECRET.search(r[kind]) and r[kind].endswith(mark)
+            same[kind] += r[kind] == text[:80] + mark + text[80:] + mark
+    # Texts with no secret of the kind of their own come back whole.
+    assert all(n > 0.8 * len(texts) for n in same.values()), same
