@@ -127,6 +127,9 @@ _BRACKETED = re.compile(r"(?i)[ ]?[\[({<][ ]?(?:(at|@)|(dot|punto|punkt|point|\.
 _AT_WORDS = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9_%+-]{{1,64}}(?:\.|[ ]dot[ ])){{0,6}}[A-Za-z0-9_%+-]{{1,64}}([ ]at[ ])[A-Za-z0-9-]{{1,63}}(?:(?:\.|[ ]dot[ ])[A-Za-z0-9-]{{1,63}}){{0,4}}[ ]dot[ ](?:{ENDINGS})(?![A-Za-z0-9-])")
 _DOT_WORD = re.compile(r"(?i)[ ]dot[ ]")
 _DOT_AFTER_AT = re.compile(rf"(?i)@[A-Za-z0-9-]{{1,63}}(?:(?:\.|[ ]dot[ ])[A-Za-z0-9-]{{1,63}}){{0,4}}[ ]dot[ ](?:{ENDINGS})(?![A-Za-z0-9-])")
+_DOT_BEFORE_AT = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9_%+-]{1,64}(?:\.|[ ]dot[ ])){1,6}[A-Za-z0-9_%+-]{1,64}@(?=[A-Za-z0-9-]+\.[A-Za-z0-9-])")
+#: Words before which "dot" is a noun (fixed values).
+ARTICLES = frozenset("a an the this that these those each every any some no my your his her its our their one der die das le la les el un una".split())
 
 
 class Tape:
@@ -212,6 +215,9 @@ def normalise(text: str) -> Tape | None:
             edits |= {d.span(): "." for d in _DOT_WORD.finditer(now, m.start(), m.end())}
         for m in _DOT_AFTER_AT.finditer(now):
             edits |= {d.span(): "." for d in _DOT_WORD.finditer(now, m.start(), m.end())}
+        for m in _DOT_BEFORE_AT.finditer(now):
+            if re.split("[ .]", m[0], maxsplit=1)[0].lower() not in ARTICLES:
+                edits |= {d.span(): "." for d in _DOT_WORD.finditer(now, m.start(), m.end())}
         tape.rewrite([(*s, edits[s]) for s in sorted(edits)])
         now = tape.text
     if _SPELLED_HINT.search(now):
@@ -228,17 +234,17 @@ def normalise(text: str) -> Tape | None:
 
 
 def disguised(text: str, base: list[Span]) -> list[Span]:
-    """Spans found in disguise that touch no base span."""
+    """Spans found in disguise, but for those that a base span of the same kind covers wholly."""
     tape = normalise(text)
     if tape is None:
         return []
     changed, out = tape.rewritten(), []
     ends = [b for _, b in changed]
     for kind, a, b in detect(tape.text):
-        k = bisect_right(ends, a)
-        if k < len(changed) and changed[k][0] < b:
+        i = bisect_right(ends, a)
+        if i < len(changed) and changed[i][0] < b:
             start, end = tape.source(a, b)
-            if not any(s < end and start < e for _, s, e in base):
+            if not any(k == kind and s <= start and end <= e for k, s, e in base):
                 out.append((kind, start, end))
     return out
 
