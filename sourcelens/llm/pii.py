@@ -127,9 +127,24 @@ _BRACKETED = re.compile(r"(?i)[ ]?[\[({<][ ]?(?:(at|@)|(dot|punto|punkt|point|\.
 _AT_WORDS = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9_%+-]{{1,64}}(?:\.|[ ]dot[ ])){{0,6}}[A-Za-z0-9_%+-]{{1,64}}([ ]at[ ])[A-Za-z0-9-]{{1,63}}(?:(?:\.|[ ]dot[ ])[A-Za-z0-9-]{{1,63}}){{0,4}}[ ]dot[ ](?:{ENDINGS})(?![A-Za-z0-9-])")
 _DOT_WORD = re.compile(r"(?i)[ ]dot[ ]")
 _DOT_AFTER_AT = re.compile(rf"(?i)@[A-Za-z0-9-]{{1,63}}(?:(?:\.|[ ]dot[ ])[A-Za-z0-9-]{{1,63}}){{0,4}}[ ]dot[ ](?:{ENDINGS})(?![A-Za-z0-9-])")
+_DOT_AFTER_LOCAL = re.compile(r"(?i)(?<=[A-Za-z0-9_%+-])@[A-Za-z0-9-]{1,63}(?:(?:\.|[ ]dot[ ])[A-Za-z0-9-]{1,63}){0,4}[ ]dot[ ]([A-Za-z]{2,63})(?![A-Za-z0-9-])")
 _DOT_BEFORE_AT = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9_%+-]{1,64}(?:\.|[ ]dot[ ])){1,6}[A-Za-z0-9_%+-]{1,64}@(?=[A-Za-z0-9-]+\.[A-Za-z0-9-])")
 #: Words before which "dot" is a noun (fixed values).
 ARTICLES = frozenset("a an the this that these those each every any some no my your his her its our their one der die das le la les el un una".split())
+#: " at " before a domain with plain or spelled dots, and what may be a local part before it.
+_AT_DOMAIN = re.compile(r"[ ][aA][tT][ ](?=((?:[A-Za-z0-9-]{1,63}(?:\.|[ ][dD][oO][tT][ ])){1,5})([A-Za-z]{2,63})(?![A-Za-z0-9-]))")
+_LOCAL_BEFORE = re.compile(r"(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9_%+-]{1,64}(?:\.|[ ][dD][oO][tT][ ])){0,6}[A-Za-z0-9_%+-]{1,64}\Z")
+_STRUCTURED = re.compile(r"[._%+]|[ ][dD][oO][tT][ ]|[A-Za-z][0-9]")
+#: Words that say that an address follows (fixed values), and places where one may begin.
+_CUE = re.compile(r"(?i)(?<![a-z])(?:e-?mails?|mail(?:to)?|contact|reach|write|ping|address|inbox|courriel|correo|kontakt|adresse)(?![a-z])[^\n.!?]{0,30}\Z")
+_BEGINS = re.compile(r"(?:\A|[\n:;,(<\"'=|\[])[ \t]*\Z")
+#: Words that stand before "at" or after "dot" in plain prose (fixed values).
+COMMON = ARTICLES | frozenset(
+    "i you he she it we they me him us them who what where when why how is are was were be been am do does did done go goes going gone went come comes came and or but nor so if as by in on to of for from with out off up down over "
+    "about back here there now then today yet still only just also even again not all both more most much many less least few first last next best better early late online live open free new old look looks looked looking stare stared "
+    "laugh laughed point pointed points aim aimed arrive arrived arrives meet meets met stay stayed stop stopped work works worked working live lives lived sit sat stand stood stands start started end ended held hosted host find found "
+    "available visit visited see seen read more shop buy sold sell sale join joined try tried learn check call called people man men woman women time day night home page pages site website blog team code data file files product matrix".split()
+)
 
 
 class Tape:
@@ -195,6 +210,27 @@ class Tape:
         return sorted(out)
 
 
+def spelled_at(text: str, at: re.Match) -> int | None:
+    """Where the address begins whose " at " is the given match of _AT_DOMAIN; None if it reads as prose.
+
+    A domain with plain dots needs a cue before the local part, a local part that isn't one plain word, or one
+    in lower case where a line or a phrase begins. One with a spelled dot needs just an uncommon local part.
+    """
+    low = max(0, at.start() - 400)
+    m = _LOCAL_BEFORE.search(text[low : at.start()])
+    labels, ending = re.split("[ .]+", at[1].lower()), at[2]
+    if not m or not re.search("[A-Za-z]", m[0]) or not (ending.islower() or ending.isupper()) or not ARTICLES.isdisjoint(labels):
+        return None
+    before = text[max(0, low + m.start() - 60) : low + m.start()]
+    if re.split("[^a-z]+", before.lower().rstrip(" "))[-1] in ARTICLES or m[0].lower() in COMMON:
+        return None
+    if " " in at[1]:
+        sure = ending.lower() not in COMMON
+    else:
+        sure = _STRUCTURED.search(m[0]) or m[0].islower() and _BEGINS.search(before)
+    return low + m.start() if sure or _CUE.search(before) else None
+
+
 def normalise(text: str) -> Tape | None:
     """The text with disguises rewritten; None if it holds none."""
     tape = Tape(text)
@@ -208,13 +244,21 @@ def normalise(text: str) -> Tape | None:
     if any(c in now for c in "[({<"):
         tape.rewrite([(*m.span(), "@" if m[1] else ".") for m in _BRACKETED.finditer(now)])
         now = tape.text
-    if _DOT_WORD.search(now):
+    ats = list(_AT_DOMAIN.finditer(now))
+    if ats or _DOT_WORD.search(now):
         edits = {}
         for m in _AT_WORDS.finditer(now):
             edits[m.span(1)] = "@"
             edits |= {d.span(): "." for d in _DOT_WORD.finditer(now, m.start(), m.end())}
         for m in _DOT_AFTER_AT.finditer(now):
             edits |= {d.span(): "." for d in _DOT_WORD.finditer(now, m.start(), m.end())}
+        for m in _DOT_AFTER_LOCAL.finditer(now):
+            if m[1].lower() not in COMMON:
+                edits |= {d.span(): "." for d in _DOT_WORD.finditer(now, m.start(), m.end())}
+        for m in ats:
+            if m.span() not in edits and (start := spelled_at(now, m)) is not None:
+                edits[m.span()] = "@"
+                edits |= {d.span(): "." for d in _DOT_WORD.finditer(now, start, m.end(2))}
         for m in _DOT_BEFORE_AT.finditer(now):
             if re.split("[ .]", m[0], maxsplit=1)[0].lower() not in ARTICLES:
                 edits |= {d.span(): "." for d in _DOT_WORD.finditer(now, m.start(), m.end())}
