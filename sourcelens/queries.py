@@ -535,6 +535,13 @@ def rate_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limiter.limit_calls(e, window=3600.0)
 
 
+@query()
+def rate_limiter_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same calls under both limits: each actor's, and the one over all actors."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("actor"), "ts")
+    return limiter.limit_all(e, window=3600.0)
+
+
 # --- Unions, overrides, invalidation. ---
 @query(f"with {PAGES} select path, {number(low('path'), _PATH_TERMS)}::int path_bonus, 3.0::double * {number(low('path'), _PATH_TERMS)} score from paged where length(html) % 3 <> 0 and {some(low('path'), _PATH_TERMS)}")
 def path_only_union(spark: SparkSession, sf_dir: str) -> DataFrame:
