@@ -17,7 +17,7 @@ from .quality_rules import GAPS, SYMBOLS
 
 #: About so many labelled documents at most are learnt from, chosen by hash.
 TRAINING = 10_000
-TREES, DEPTH, CUTS, MIN_LEAF, MAX_RULES = 40, 3, 15, 10, 250
+TREES, DEPTH, CUTS, MIN_LEAF = 40, 3, 15, 10
 #: Lasso strengths tried; the one of least loss on a fifth of the training documents is used.
 STRENGTHS = (0.0003, 0.001, 0.003, 0.01)
 THRESHOLD = 0.3
@@ -153,7 +153,7 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> RuleModel:
     rules, r, seen = [], [], set()
     for rule in paths:
         hit = applies(rule, x)
-        if hit.any() and not hit.all() and (mark := hit.tobytes()) not in seen and len(rules) < MAX_RULES:
+        if hit.any() and not hit.all() and (mark := hit.tobytes()) not in seen:
             seen.add(mark)
             rules.append(rule)
             r.append(hit)
