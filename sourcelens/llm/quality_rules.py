@@ -2,8 +2,13 @@
 
 Each metric is sketched for each language and source as counts over buckets whose width is 1/64 of the
 value or less (a relative-error quantile sketch). Sketches merge by adding counts: the ones of sources
-merge into their language's, and those into one of all. The thresholds come from quartiles read off the
-sketches, and documents are filtered by joining them.
+merge into their language's, and those into one of all. Every threshold is read off the sketches, and
+documents are filtered by joining them.
+
+A fence lies REACH interdecile ranges above the upper decile (a low one likewise below the lower decile).
+Most documents have no symbol and no repeat at all, so that range is often 0; the fence then still leaves room for one event in a short document of the group: one symbol, one
+repeated line, one repeated window, as a share of the lower decile of the group's own sizes, which are
+sketched as the metrics are. No metric has a cutoff of its own.
 """
 
 from __future__ import annotations
@@ -17,10 +22,11 @@ SYMBOLS = "#*$%&|<>"
 GAPS = " \t\n\x0b\x0c\r"
 #: A source of fewer documents takes its language's thresholds, and a language of fewer those of all.
 MIN_DOCS = 100
-#: Fences lie FENCE interquartile ranges outside the quartiles, or `slack` if that is more.
-FENCE = 3
-#: Metric: its slack, and whether low values count against a document too.
-METRICS = {"symbol_pm": (60, False), "dup_line_pm": (400, False), "repeat_pm": (200, False), "word_len10": (40, True)}
+REACH = 2
+#: Metric: the size it is a share of, how much of that one event takes up (a window's first repeat: five words
+#: twice), and whether low values count against a document too.
+METRICS = {"symbol_pm": ("word_chars", 1, False), "dup_line_pm": ("n_lines", 1, False), "repeat_pm": ("n_words", 10, False), "word_len10": (None, 0, True)}
+SIZES = ("word_chars", "n_lines", "n_words")
 
 
 def document_stats(docs: DataFrame) -> DataFrame:
@@ -76,10 +82,17 @@ def bucket(x: Column) -> Column:
     return x - F.pmod(x, width)
 
 
+def bucket_width(low: Column) -> Column:
+    """How many values the bucket holds whose least value is given."""
+    return F.pow(F.lit(2.0), F.greatest(F.length(F.bin(low)) - 7, F.lit(0))).cast("bigint")
+
+
 def quantile_sketches(metrics: DataFrame) -> DataFrame:
-    """lang, source, level (0 source, 1 language, 3 all), metric, value, n: the sketches of documents that
-    pass the base rules. At most some 4000 rows a group and metric, whatever the number of documents."""
-    each = metrics.where(~F.col("base_failed")).select("lang", "source", F.explode(F.create_map(*(x for m in METRICS for x in (F.lit(m), bucket(F.col(m)))))).alias("metric", "value"))
+    """lang, source, level (0 source, 1 language, 3 all), metric, value, n: the sketches of the metrics and
+    sizes of documents that pass the base rules. At most some 4000 rows a group and metric, whatever the
+    number of documents."""
+    names = [*METRICS, *SIZES]
+    each = metrics.where(~F.col("base_failed")).select("lang", "source", F.explode(F.create_map(*(x for m in names for x in (F.lit(m), bucket(F.col(m)))))).alias("metric", "value"))
     fine = each.groupBy("lang", "source", "metric", "value").agg(F.count("*").alias("n"))
     coarse = fine.groupBy("lang", "metric", "value").agg(F.sum("n").alias("n"))
     every = coarse.groupBy("metric", "value").agg(F.sum("n").alias("n"))
@@ -92,13 +105,17 @@ def fences(sketches: DataFrame) -> DataFrame:
     """lang, source, level, docs and, for each metric, <metric>_low and <metric>_high."""
     group = ["level", "lang", "source", "metric"]
     cum = sketches.withColumn("cum", F.sum("n").over(Window.partitionBy(group).orderBy("value"))).withColumn("all", F.sum("n").over(Window.partitionBy(group)))
-    quart = lambda k: F.min(F.when(F.col("cum") * 4 >= F.col("all") * k, F.col("value")))
-    q = cum.groupBy(group).agg(F.max("all").alias("docs"), quart(1).alias("q1"), quart(3).alias("q3"))
-    slack = F.create_map(*(F.lit(x) for m, (s, _) in METRICS.items() for x in (m, s)))[F.col("metric")]
-    reach = F.greatest(F.lit(FENCE) * (F.col("q3") - F.col("q1")), slack)
-    q = q.select(*group, "docs", (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
-    bound = lambda m, side: F.max(F.when(F.col("metric") == m, F.col(side))).alias(f"{m}_{side}")
-    return q.groupBy("level", "lang", "source").agg(F.max("docs").alias("docs"), *(bound(m, s) for m in METRICS for s in ("low", "high")))
+    tenths = lambda k: F.min(F.when(F.col("cum") * 10 >= F.col("all") * k, F.col("value")))
+    q = cum.groupBy(group).agg(F.max("all").alias("docs"), *(tenths(k).alias(f"q{k}") for k in (1, 9)))
+    of = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c)))
+    wide = q.groupBy("level", "lang", "source").agg(F.max("docs").alias("docs"), *(of(m, f"q{k}").alias(f"{m}_q{k}") for m in (*METRICS, *SIZES) for k in (1, 9)))
+
+    def bounds(m: str, size: str | None, event: int) -> list[Column]:
+        low, high = F.col(f"{m}_q1"), F.col(f"{m}_q9")
+        room = F.expr(f"{1000 * event} div greatest({size}_q1, 1)") if size else F.lit(0)
+        return [(low - REACH * (high - low) - bucket_width(low)).alias(f"{m}_low"), (high + REACH * (high - low) + bucket_width(high) + room).alias(f"{m}_high")]
+
+    return wide.select("level", "lang", "source", "docs", *(c for m, (size, event, _) in METRICS.items() for c in bounds(m, size, event)))
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -121,7 +138,7 @@ def judge(docs: DataFrame) -> DataFrame:
     j = j.join(F.broadcast(every), F.lit(True), "left")
     pick = lambda b: F.when(F.col("d0") >= MIN_DOCS, F.col(f"{b}0")).when(F.col("d1") >= MIN_DOCS, F.col(f"{b}1")).otherwise(F.col(f"{b}3"))
     out = F.lit(False)
-    for m, (_, low_too) in METRICS.items():
+    for m, (_, _, low_too) in METRICS.items():
         out = out | F.coalesce(F.col(m) > pick(f"{m}_high"), F.lit(False))
         if low_too:
             out = out | F.coalesce(F.col(m) < pick(f"{m}_low"), F.lit(False))
@@ -141,13 +158,15 @@ s as (select doc_id, lang, source, coalesce(n_words, 0)::bigint n_words, length(
     from d left join r using (doc_id) left join l using (doc_id)),
 m as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed, 1000 * n_symbols // greatest(word_chars, 1) symbol_pm, 1000 * n_dup_lines // greatest(n_lines, 1) dup_line_pm,
     1000 * n_repeat_words // greatest(n_words, 1) repeat_pm, 10 * word_chars // greatest(n_words, 1) word_len10 from s),
-e as (select doc_id, lang, source, unnest(['symbol_pm', 'dup_line_pm', 'repeat_pm', 'word_len10']) metric, unnest([symbol_pm, dup_line_pm, repeat_pm, word_len10]) x from m where not base_failed),
+e as (select doc_id, lang, source, unnest({[*METRICS, *SIZES]}) metric, unnest([{", ".join([*METRICS, *SIZES])}]) x from m where not base_failed),
 b as (select lang, source, metric, x - x % (1 << greatest(length(bin(x)) - 7, 0))::bigint v from e),
 k as (select 0 level, lang, source, metric, v, count(*) n from b group by all union all select 1, lang, null, metric, v, count(*) from b group by all union all select 3, null, null, metric, v, count(*) from b group by all),
-q as (select level, lang, source, metric, max(a) docs, min(v) filter (4 * cum >= a) q1, min(v) filter (4 * cum >= 3 * a) q3 from
+q as (select level, lang, source, metric, max(a) docs, min(v) filter (10 * cum >= a) q1, min(v) filter (10 * cum >= 9 * a) q9 from
     (select *, sum(n) over (partition by level, lang, source, metric order by v) cum, sum(n) over (partition by level, lang, source, metric) a from k) group by all),
-f as (select level, lang, source, metric, docs, q1 - greatest({FENCE} * (q3 - q1), slack) low, q3 + greatest({FENCE} * (q3 - q1), slack) high, low_too
-    from q join (values {", ".join(f"('{m}', {s}, {t})" for m, (s, t) in METRICS.items())}) z (metric, slack, low_too) using (metric)),
+f as (select q.level, q.lang, q.source, q.metric, q.docs, q.q1 - {REACH} * (q.q9 - q.q1) - (1 << greatest(length(bin(q.q1)) - 7, 0))::bigint low,
+    q.q9 + {REACH} * (q.q9 - q.q1) + (1 << greatest(length(bin(q.q9)) - 7, 0))::bigint + coalesce(1000 * event // greatest(z.q1, 1), 0) high, low_too
+    from q join (values {", ".join(f"('{m}', '{s}', {e}, {t})" for m, (s, e, t) in METRICS.items())}) r (metric, size, event, low_too) on r.metric = q.metric
+    left join q z on z.metric = r.size and z.level = q.level and z.lang is not distinct from q.lang and z.source is not distinct from q.source),
 x as (select e.doc_id, bool_or(e.x > h or low_too and e.x < lo) fenced from (
     select e.doc_id, e.metric, e.x, f3.low_too, case when f0.docs >= {MIN_DOCS} then f0.high when f1.docs >= {MIN_DOCS} then f1.high else f3.high end h,
         case when f0.docs >= {MIN_DOCS} then f0.low when f1.docs >= {MIN_DOCS} then f1.low else f3.low end lo
