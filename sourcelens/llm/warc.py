@@ -1,6 +1,7 @@
 """WARC archives, written in shards that are the same for the same rows, and read back.
 
-Records are range-sorted by page id. Each task writes its range into files that roll once they reach a
+Records are range-sorted by page id. Ranges are cut at exact running byte counts over the sorted ids, so they
+hold about the same whatever the ids are. Each task writes its range into files that roll once they reach a
 size in compressed bytes, every record a gzip member of its own. Headers and digests are made anew from the
 payload, so nothing depends on time or place. A file is written under a temporary name of its own; after all
 tasks have ended, a second job renames the files that the successful attempts reported to their final names
@@ -18,16 +19,19 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 
 #: A file is closed once it holds so many compressed bytes; shorter payloads than DEDUP_BYTES aren't deduplicated.
 ROLL_BYTES, DEDUP_BYTES = 8_000_000, 100
-#: Payload bytes of one range of ids, about. Ids are counted in BUCKETS intervals (or four for each range,
-#: if that is more); an interval that holds more than a range is counted again in FINE ones.
-RANGE_BYTES, BUCKETS, FINE = 64_000_000, 4096, 64
+#: Payload bytes of one range, about; more if there would be over MAX_RANGES ranges, as their first keys are
+#: part of the plan (at most some 700 kB).
+RANGE_BYTES, MAX_RANGES = 32_000_000, 16_384
+#: Tasks that read an archive, at most.
+READERS = 8192
+LOWEST = -(1 << 63)
 DATE = "2000-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -61,49 +65,63 @@ def record(page_id: object, url: str | None, payload: bytes, digest: str, refers
     return ("\r\n".join(lines) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
 
-def with_references(pages: DataFrame, dedup_bytes: int = DEDUP_BYTES) -> DataFrame:
-    """page_id, url, payload, digest and refers_to: the smallest page_id among equal payloads of at least
-    dedup_bytes bytes, or null for that page itself and for shorter payloads. Of equal rows with that id,
-    one is the response. Only ids and digests are grouped; a hot payload costs one row a task."""
+def prepared(pages: DataFrame) -> DataFrame:
+    """page_id, url, payload, digest, and the order of records: key (page_id, null ids first) and mark, a
+    hash of the digest, so that equal payloads of one id stay together; rows without an id are told apart
+    by url too."""
     p = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     p = p.withColumn("digest", F.sha2("payload", 256))
-    long = p.where(F.octet_length("payload") >= dedup_bytes)
-    first = long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    # Few payloads repeat: the stored table's size decides between a broadcast and a shuffle by digest.
-    return p.join(materialize(first, "warc-first"), "digest", "left").select("page_id", "url", "payload", "digest", F.col("first").alias("refers_to"))
-
-
-def with_ranges(rows: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """rows (page_id and payload) with `range`: consecutive intervals of ids of about range_bytes each, from
-    0, which depend on the rows alone (a sampled range partitioning differs from run to run). The driver
-    gets byte counts of intervals, at most 4 + FINE for each range; null ids are in range 0."""
-    spark = rows.sparkSession
-    sized = rows.select(F.col("page_id").cast("decimal(20,0)").alias("id"), F.octet_length("payload").alias("bytes"))
-    low, high, size = sized.agg(F.min("id"), F.max("id"), F.sum("bytes")).first()
-    if low is None:
-        return rows.withColumn("range", F.lit(0).cast("bigint"))
-    buckets = max(BUCKETS, 4 * -(-int(size) // range_bytes))
-    wide = max(1, -(-(int(high) - int(low) + 1) // buckets))
-    narrow = max(1, -(-wide // FINE))
-    offset = lambda c: F.col(c).cast("decimal(20,0)") - F.lit(int(low)).cast("decimal(20,0)")
-    coarse = lambda c: F.floor(offset(c) / wide).cast("bigint")
-    fine = lambda c: F.floor((offset(c) % wide) / narrow).cast("bigint")
-    first = {r["b"]: r["n"] for r in sized.where("id is not null").groupBy(coarse("id").alias("b")).agg(F.sum("bytes").alias("n")).collect()}
-    heavy = [b for b, n in first.items() if n > range_bytes]
-    parts = [(b, -1, n) for b, n in first.items() if n <= range_bytes]
-    if heavy:
-        again = sized.withColumn("b", coarse("id")).join(F.broadcast(spark.createDataFrame([(b,) for b in heavy], "b bigint")), "b")
-        parts += [(r["b"], r["f"], r["n"]) for r in again.groupBy("b", fine("id").alias("f")).agg(F.sum("bytes").alias("n")).collect()]
-    whole, split, at, filled = [], [], 0, 0
-    for b, f, n in sorted(parts):
-        if filled and filled + n > range_bytes:
-            at, filled = at + 1, 0
-        filled += n
-        (whole if f < 0 else split).append((b, at) if f < 0 else (b, f, at))
-    d = rows.withColumn("b", coarse("page_id")).withColumn("f", fine("page_id"))
-    d = d.join(F.broadcast(spark.createDataFrame(whole, "b bigint, range1 bigint")), "b", "left")
-    d = d.join(F.broadcast(spark.createDataFrame(split, "b bigint, f bigint, range2 bigint")), ["b", "f"], "left")
-    return d.select(*rows.columns, F.coalesce("range1", "range2", F.lit(0)).alias("range"))
+    key = F.coalesce(F.expr("try_cast(page_id as bigint)"), F.lit(LOWEST))
+    return p.withColumns({"key": key, "mark": F.when(F.col("page_id").isNull(), F.xxhash64("digest", "url")).otherwise(F.xxhash64("digest"))})
+
+
+def references(slim: DataFrame, dedup_bytes: int = DEDUP_BYTES) -> DataFrame:
+    """page_id, digest, key, mark, refers_to, once for each page with a payload of at least dedup_bytes bytes
+    that occurs more than once: the smallest page_id with that payload (the page itself too refers to it).
+    slim: prepared rows without the payload, but `bytes`. A hot payload costs one row a task, and its join
+    meets rows of a few bytes, which AQE splits."""
+    long = slim.where(F.col("bytes") >= dedup_bytes)
+    first = long.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").select("digest", "refers_to")
+    # The stored table's size decides between a broadcast and a shuffle by digest.
+    return long.join(materialize(first, "warc-first"), "digest").select("page_id", "digest", "key", "mark", "refers_to").distinct()
+
+
+def range_starts(slim: DataFrame, range_bytes: int = RANGE_BYTES) -> list[tuple[int, int]]:
+    """The first (key, mark) of each range but the first, in order: ranges hold about range_bytes payload
+    bytes of consecutive (key, mark). They depend on the rows alone, not on how they are dealt.
+
+    Rows without payloads are sorted in tasks and their running sums taken there; the sums of the tasks,
+    one row each, are added up over all. Only the starts, at most MAX_RANGES, reach the driver.
+    """
+    dealt = materialize(slim.select("key", "mark", "bytes").repartitionByRange("key", "mark").withColumn("task", F.spark_partition_id()), "warc-order")
+    each = dealt.groupBy("task").agg(F.sum("bytes").alias("n"))
+    before = each.select("task", (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("whole"))
+    own = F.sum("bytes").over(Window.partitionBy("task").orderBy("key", "mark").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    # A row for each task.
+    summed = dealt.withColumn("own", own).join(F.broadcast(before), "task")
+    size = F.greatest(F.lit(range_bytes), F.ceil(F.col("whole") / MAX_RANGES))
+    at = summed.select("key", "mark", F.floor((F.col("before") + F.col("own") - 1) / size).alias("at"))
+    starts = at.groupBy("at").agg(F.min(F.struct("key", "mark")).alias("s")).select("s.*")
+    return sorted(map(tuple, starts.collect()))[1:]
+
+
+def range_of(starts: list[tuple[int, int]]) -> Column:
+    """The number of starts at or below the row's (key, mark), by bisection in a constant array."""
+    if not starts:
+        return F.lit(0)
+    numbers = lambda i: F.split(F.lit(",".join(str(s[i]) for s in starts)), ",").cast("array<bigint>")
+    steps = F.sequence(F.lit(1), F.lit(len(starts).bit_length()))
+    keys, marks = numbers(0), numbers(1)
+
+    def narrower(span: Column, _: Column) -> Column:
+        middle = ((span["low"] + span["high"]) / 2).cast("int")
+        k = F.get(keys, middle)
+        below = (k < F.col("key")) | ((k == F.col("key")) & (F.get(marks, middle) <= F.col("mark")))
+        open_ = span["low"] < span["high"]
+        low = F.when(open_ & below, middle + 1).otherwise(span["low"])
+        return F.struct(low.alias("low"), F.when(open_ & ~below, middle).otherwise(span["high"]).alias("high"))
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(len(starts)).alias("high")), narrower)["low"]
 
 
 def write_archive(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -111,19 +129,29 @@ def write_archive(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, ran
     share, and returns the manifest (also stored at <path>/manifest): file, records, bytes, sha256.
 
     Null html is an empty payload, a null url leaves out its header, a null page_id sorts first and is
-    never referred to. Repeated page ids stay together; the first of them by url and payload is the
-    response. An empty table writes no file and an empty manifest. The same rows make the same files.
+    never referred to. Equal payloads of one page id stay together; the first of them by url is the
+    response. An empty table writes no file and an empty manifest. The same rows make the same files. Rows
+    equal in id, url and payload are one unit of a range; a payload larger than a range is a range itself.
+
+    Payloads are shuffled once, straight into their range; what they refer to comes to them there in rows
+    without payloads.
     """
     spark = pages.sparkSession
-    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = with_ranges(with_references(pages), range_bytes)
-    dealt = rows.repartition(spread, "range").sortWithinPartitions("range", "page_id", "url", "payload")
+    rows = prepared(pages)
+    slim = materialize(rows.select("page_id", "digest", "key", "mark", F.octet_length("payload").cast("bigint").alias("bytes")), "warc-slim")
+    starts = range_starts(slim, range_bytes)
+    notes = references(slim).withColumns({"url": F.lit(None).cast("string"), "payload": F.lit(None).cast("binary")})
+    columns = ["page_id", "url", "payload", "digest", "refers_to", "key", "mark"]
+    both = rows.withColumn("refers_to", F.lit(None).cast(slim.schema["page_id"].dataType)).select(columns).unionByName(notes.select(columns))
+    # A range is a task; within one, what a payload refers to comes before its rows.
+    dealt = both.withColumn("range", range_of(starts)).repartitionById(len(starts) + 1, "range")
+    dealt = dealt.sortWithinPartitions("key", "mark", "page_id", "digest", F.col("payload").isNotNull(), "url", "payload").select("page_id", "url", "payload", "digest", "refers_to", "range")
     root = path
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = store(root)
         fs.create_dir(folder, recursive=True)
-        attempt, done, last = uuid.uuid4().hex, [], None
+        attempt, done, last, note = uuid.uuid4().hex, [], None, (None, None, None)
         out = at = None
         shard = 0
 
@@ -134,6 +162,10 @@ def write_archive(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, ran
         for b in batches:
             for i in range(b.num_rows):
                 page, url, payload, digest, first, where = (c[i].as_py() for c in b.columns)
+                if payload is None:
+                    note = page, digest, first
+                    continue
+                first = note[2] if note[:2] == (page, digest) else None
                 own = first is not None and first == page and (page, digest) != last
                 last = (page, digest) if own else last
                 data = gzip.compress(record(page, url, payload, digest, None if own else first), 6, mtime=0)
@@ -218,7 +250,7 @@ def read_archive(spark: SparkSession, path: str, page_type: str = "bigint") -> D
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     files = spark.read.parquet(f"{path}/manifest").select("file")
-    spread = files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file")
+    spread = files.repartition(max(1, min(files.count(), READERS)))
     out = spread.mapInArrow(run, "page_id string, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to string, payload binary")
     return out.withColumn("page_id", F.col("page_id").cast(page_type)).withColumn("refers_to", F.col("refers_to").cast(page_type))
 
