@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..storage import stored
+from ..storage import discard, stored
 
 #: Edge weights by kind (fixed values).
 WEIGHTS = {"implementation": 0.95, "call": 0.90, "type": 0.85, "reference": 0.80, "import": 0.40, "lexical": 0.15}
@@ -93,9 +93,11 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS) -
     share = edges.join(out, "src").select("src", "dst", (F.col("weight") / F.greatest("out", F.lit(1.0))).alias("share"))
     lack = nodes.join(out, F.col("id") == F.col("src"), "left").select(F.col("id").alias("src"), F.lit(None).cast(edges.schema["dst"].dataType).alias("dst"), (1 - F.least(F.coalesce("out", F.lit(0.0)), F.lit(1.0))).alias("share"))
     flow = stored(share.unionByName(lack.where("share > 0")), "pagerank-flow")
-    rank = nodes.withColumn("rank", F.lit(1.0 / n))
+    rank, got = nodes.withColumn("rank", F.lit(1.0 / n)), None
     for _ in range(iterations):
-        got = stored(rank.join(flow, F.col("id") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got")), "pagerank")
+        before, got = got, stored(rank.join(flow, F.col("id") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got")), "pagerank")
+        if before is not None:
+            discard(before)
         even = got.where("dst is null").agg(F.coalesce(F.sum("got"), F.lit(0.0))).first()[0]
         rank = nodes.join(got, F.col("id") == F.col("dst"), "left").select("id", ((1 - DAMPING) / n + DAMPING * (F.coalesce("got", F.lit(0.0)) + even / n)).alias("rank"))
     return rank
