@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
+
 #: The characters that end a word: space and U+0009 to U+000D.
 WORD_GAP = "[\\x20\\x09-\\x0D]"
 
@@ -17,28 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset, as in
-    tests on one machine, a fresh temporary folder is set and used."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="sourcelens-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 def shared_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path in the folder of spark.checkpoint.dir."""
+    return f"{storage.shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cuts the lineage: df as a Parquet table in the shared folder. A lost executor costs at most the
-    tasks that read it again."""
-    spark, path = df.sparkSession, shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Cuts the lineage: a Parquet table in the shared folder. A lost executor costs at most the tasks that read it again.
+materialize, discard = storage.stored, storage.discard
 
 
 def total(columns: list[Column]) -> Column:
@@ -63,7 +49,7 @@ def star_components(edges: DataFrame, label: str = "components", rounds: int = 6
     edges: two bigint columns a and b, a row for each link (repeats and loops allowed).
     Returns node, root: each node that has a link to another, with the smallest node of its component.
     Each round is two aggregations and two joins on node; a written table between the rounds cuts the
-    lineage, and only a count and a checksum reach the driver. The number of rounds grows with the
+    lineage (it is deleted once the next one is there), and only a count and a checksum reach the driver. The number of rounds grows with the
     logarithm of the longest path.
     """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label)
@@ -80,7 +66,8 @@ def star_components(edges: DataFrame, label: str = "components", rounds: int = 6
         # Small star: the neighbours below u, and u, go to the least of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), label)
+        before, now = now, materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), label)
+        discard(before)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_name, materialize
 
 #: A line is boilerplate if more than RATIO of its host's pages contain it, and at least MIN_PAGES do.
 RATIO, MIN_PAGES = 0.08, 3
+#: Hashes in a bucket of a host's line set, about.
+SLOT = 4
 
 
 def boilerplate_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """host, pages (its rows), lines array<bigint>: hashes of the host's boilerplate lines.
+    """host, pages (its rows), lines array<array<bigint>>: hashes of the host's boilerplate lines, dealt into
+    buckets by their remainder, so that a look-up reads about SLOT hashes.
 
     A page is a row of docs, counted once for each different line with visible characters. Pages of a null
     host form a group of their own. The lines of a host are at most its mean number of lines a page
@@ -24,8 +27,20 @@ def boilerplate_lines(docs: DataFrame, host: str = "source", text: str = "text",
     line = page.select("host", F.explode("ls").alias("l")).where(F.trim("l") != "").select("host", F.xxhash64("l").alias("l"), F.xxhash64(F.lit("line"), "l").alias("check"))
     counted = line.groupBy("host", "l", "check").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     # The few sites' totals meet counts, not texts.
-    kept = counted.join(pages.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") > ratio * F.col("pages"))
-    return kept.groupBy("host").agg(F.first("pages").alias("pages"), F.sort_array(F.collect_set("l")).alias("lines"))
+    same = lambda df: df.select(F.col("host").alias("h"), *(c for c in df.columns if c != "host"))
+    kept = counted.join(same(pages), F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") > ratio * F.col("pages")).select("host", "pages", "l")
+    kept = materialize(kept.distinct(), "boilerplate-lines")
+    sized = kept.groupBy("host").agg(F.first("pages").alias("pages"), F.expr(f"cast(greatest(1, count(*) div {SLOT}) as int)").alias("slots"))
+    # A row with no line for each bucket, so that none is missing and each stands at its number.
+    every = sized.select("*", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot")).withColumn("l", F.lit(None).cast("bigint"))
+    own = kept.select("host", "l").join(same(sized), F.col("host").eqNullSafe(F.col("h"))).drop("h").withColumn("slot", slot("l", "slots"))
+    dealt = own.unionByName(every).groupBy("host", "pages", "slot").agg(F.sort_array(F.collect_list("l")).alias("ls"))
+    listed = dealt.groupBy("host", "pages").agg(F.sort_array(F.collect_list(F.struct("slot", "ls"))).alias("x"))
+    return listed.select("host", "pages", F.transform("x", lambda b: b["ls"]).alias("lines"))
+
+
+def slot(line: str | Column, slots: str | Column) -> Column:
+    return F.pmod(line, F.col(slots) if isinstance(slots, str) else slots).cast("int")
 
 
 def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: bool = True) -> DataFrame:
@@ -41,7 +56,8 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     sets = materialize(boilerplate_lines(docs, host, text, ratio, min_pages), "boilerplate")
     joined = docs.join(sets.select(F.col("host").alias(h), F.col("lines").alias(bad)), F.col(host).eqNullSafe(F.col(h)), "left").drop(h)
     cut = joined.withColumn(lines, F.split(F.col(text).cast("string"), "\n", -1))
-    cut = cut.withColumn(kept, F.when(F.col(bad).isNotNull(), F.filter(lines, lambda x: ~F.array_contains(F.col(bad), F.xxhash64(x)))).otherwise(F.col(lines)))
+    listed = lambda x: F.array_contains(F.get(bad, slot(x, F.size(bad))), x)
+    cut = cut.withColumn(kept, F.when(F.col(bad).isNotNull(), F.filter(lines, lambda x: ~listed(F.xxhash64(x)))).otherwise(F.col(lines)))
     size = lambda c: F.when(F.col(lines).isNull(), 0).otherwise(F.size(c)).cast("bigint")
     out = cut.withColumns({"n_lines": size(lines), "n_dropped": size(lines) - size(kept)}) if counts else cut
     return out.withColumn(text, F.when(size(kept) < size(lines), F.array_join(kept, "\n")).otherwise(F.col(text))).drop(lines, bad, kept)

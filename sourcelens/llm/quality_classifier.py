@@ -177,15 +177,16 @@ def train(docs: DataFrame, labels: DataFrame) -> RuleModel:
     """Learns quality (0 or 1) of labels (doc_id, quality) from the texts of docs.
 
     About TRAINING labelled documents at most, chosen by a hash of their id; labels that are null or
-    belong to no document are left out, and the greatest of several labels counts. Only their statistics
-    reach the driver.
+    belong to no document are left out, and the greatest of several labels counts, as does one row of
+    statistics of several rows with one id. Only these statistics reach the driver.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     n = known.count()
     share = min(1.0, TRAINING / max(n, 1))
     some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < round(share * 1_000_000)).withColumnRenamed("quality", "__y")
-    # Bounded by TRAINING.
-    rows = features(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"), ["doc_id", "__y"]).toPandas()
+    # `some` is bounded by TRAINING, and so are the rows, one for each id.
+    rows = features(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"), ["doc_id", "__y"])
+    rows = rows.groupBy("doc_id", "__y").agg(F.min(F.struct(*FEATURES)).alias("f")).select("doc_id", "__y", "f.*").toPandas()
     rows = rows.sort_values(["doc_id", *FEATURES], ignore_index=True)
     return fit(rows[list(FEATURES)].to_numpy(np.float64), (rows["__y"].to_numpy() > 0).astype(np.float64))
 
