@@ -94,8 +94,15 @@ def detect(text: str) -> list[Span]:
 
 #: Letters of other scripts that look like Latin ones (fixed values).
 LOOKALIKES = dict(zip("авсԁеһіјкӏмпорԛѕтухуАВСЕНІЈКМОРЅТХУαεικνορτυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "abcdehijklmnopqstyxyABCEHIJKMOPSTXYaeiknoptuxABEZHIKMNOPTYX", strict=True))
-#: Spelled digits and signs (fixed values).
-DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+#: Spelled digits in English, French, German and Spanish (fixed values).
+DIGITS = {
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+}
+#: Spelled "@" that is no common word, spelled "." and spelled "+" in the same languages (fixed values).
+AT_SIGNS, DOTS, PLUSES = "arobase|arobas|arroba|klammeraffe|ät", "dot|point|punkt|punto", "plus|más|mas"
 #: Last labels of addresses whose dots are spelled without brackets (fixed values).
 ENDINGS = "com|org|net|edu|gov|info|biz|io|co|de|fr|es|it|uk|eu|us|ch|at"
 #: Characters that show nothing: soft hyphen, zero-width ones, byte order mark.
@@ -119,22 +126,27 @@ def look_of(c: str) -> str:
 _STRANGE = re.compile(r"[^\x00-\x7f]")
 #: White-space-free runs hold a look-alike only if they hold ASCII letters, digits or signs of an address too.
 _RUN = re.compile(r"[^\s]+")
+_AT_SIGNS = tuple(AT_SIGNS.split("|"))
 _WORD = "|".join(sorted(DIGITS, key=len, reverse=True))
-_SPELLED = re.compile(rf"(?i)(?<![A-Za-z0-9])(?:(plus)[ -]+)?((?:{_WORD}|[0-9]++)(?:(?:[ -]+|[ ]+dot[ ]+)(?:{_WORD}|[0-9]++))+)(?![A-Za-z])")
-_SPELLED_PART = re.compile(rf"(?i)({_WORD})(?![A-Za-z])|[ ]+(dot)[ ]+|([ -]+)")
-_SPELLED_HINT = re.compile(rf"(?i)(?<![A-Za-z])(?:{_WORD})[ -]+(?:dot[ ]+)?(?:{_WORD}|[0-9])(?![A-Za-z])|(?<![A-Za-z])(?:{_WORD})[ ]+dot[ ]|[ ]dot[ ](?:{_WORD}|[0-9])")
-_BRACKETED = re.compile(r"(?i)[ ]?[\[({<][ ]?(?:(at|@)|(dot|punto|punkt|point|\.))[ ]?[\])}>][ ]?")
+_NUMERAL = rf"(?:(?:{_WORD})(?![^\W\d_])|[0-9]++)"
+_SPELLED = re.compile(rf"(?i)(?<!\w)(?:(?:({PLUSES})[ -]+)?({_NUMERAL}(?:(?:[ -]+|[ ]+(?:{DOTS})[ ]+){_NUMERAL})+))(?![^\W\d_])")
+_SPELLED_PART = re.compile(rf"(?i)({_WORD})(?![^\W\d_])|[ ]+({DOTS})[ ]+|([ -]+)")
+_SPELLED_HINT = re.compile(rf"(?i)(?<!\w)(?:{_WORD})[ -]+(?:(?:{DOTS})[ ]+)?{_NUMERAL}|(?<!\w)(?:{_WORD})[ ]+(?:{DOTS})[ ]|[ ](?:{DOTS})[ ](?:{_WORD}|[0-9])")
+_BRACKETED = re.compile(rf"(?i)[ ]?[\[({{<][ ]?(?:(at|@|{AT_SIGNS})|({DOTS}|\.))[ ]?[\])}}>][ ]?")
+#: "at" and "dot" are told from prose by what stands around them; the other words need another of their kind, or an "@".
+_AT_SIGN = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9_%+-]{{1,64}}(?:\.|[ ](?:{DOTS})[ ])){{0,6}}[A-Za-z0-9_%+-]{{1,64}}([ ](?:{AT_SIGNS})[ ])[A-Za-z0-9-]{{1,63}}(?:(?:\.|[ ](?:{DOTS})[ ])[A-Za-z0-9-]{{1,63}}){{1,5}}")
+_POINTS_AFTER_AT = re.compile(rf"(?i)(?<=[A-Za-z0-9_%+-])@[A-Za-z0-9-]{{1,63}}(?:[ ](?:{DOTS})[ ][A-Za-z0-9-]{{1,63}}){{0,4}}[ ](?:{DOTS})[ ]([A-Za-z]{{2,63}})(?![A-Za-z0-9-])")
 _AT_WORDS = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9_%+-]{{1,64}}(?:\.|[ ]dot[ ])){{0,6}}[A-Za-z0-9_%+-]{{1,64}}([ ]at[ ])[A-Za-z0-9-]{{1,63}}(?:(?:\.|[ ]dot[ ])[A-Za-z0-9-]{{1,63}}){{0,4}}[ ]dot[ ](?:{ENDINGS})(?![A-Za-z0-9-])")
-_DOT_WORD = re.compile(r"(?i)[ ]dot[ ]")
+_DOT_WORD = re.compile(rf"(?i)[ ](?:{DOTS})[ ]")
 _DOT_AFTER_AT = re.compile(rf"(?i)@[A-Za-z0-9-]{{1,63}}(?:(?:\.|[ ]dot[ ])[A-Za-z0-9-]{{1,63}}){{0,4}}[ ]dot[ ](?:{ENDINGS})(?![A-Za-z0-9-])")
-_DOT_AFTER_LOCAL = re.compile(r"(?i)(?<=[A-Za-z0-9_%+-])@[A-Za-z0-9-]{1,63}(?:(?:\.|[ ]dot[ ])[A-Za-z0-9-]{1,63}){0,4}[ ]dot[ ]([A-Za-z]{2,63})(?![A-Za-z0-9-])")
-_DOT_BEFORE_AT = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9_%+-]{1,64}(?:\.|[ ]dot[ ])){1,6}[A-Za-z0-9_%+-]{1,64}@(?=[A-Za-z0-9-]+\.[A-Za-z0-9-])")
+_DOT_AFTER_LOCAL = re.compile(rf"(?i)(?<=[A-Za-z0-9_%+-])@[A-Za-z0-9-]{{1,63}}(?:(?:\.|[ ]dot[ ])[A-Za-z0-9-]{{1,63}}){{0,4}}[ ]dot[ ]([A-Za-z]{{2,63}})(?![A-Za-z0-9-])")
+_DOT_BEFORE_AT = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9_%+-]{{1,64}}(?:\.|[ ]dot[ ])){{1,6}}[A-Za-z0-9_%+-]{{1,64}}@(?=[A-Za-z0-9-]+\.[A-Za-z0-9-])")
 #: Words before which "dot" is a noun (fixed values).
 ARTICLES = frozenset("a an the this that these those each every any some no my your his her its our their one der die das le la les el un una".split())
 #: " at " before a domain with plain or spelled dots, and what may be a local part before it.
-_AT_DOMAIN = re.compile(r"[ ][aA][tT][ ](?=((?:[A-Za-z0-9-]{1,63}(?:\.|[ ][dD][oO][tT][ ])){1,5})([A-Za-z]{2,63})(?![A-Za-z0-9-]))")
-_LOCAL_BEFORE = re.compile(r"(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9_%+-]{1,64}(?:\.|[ ][dD][oO][tT][ ])){0,6}[A-Za-z0-9_%+-]{1,64}\Z")
-_STRUCTURED = re.compile(r"[._%+]|[ ][dD][oO][tT][ ]|[A-Za-z][0-9]")
+_AT_DOMAIN = re.compile(rf"[ ][aA][tT][ ](?=((?:[A-Za-z0-9-]{{1,63}}(?:\.|[ ](?i:dot)[ ])){{1,5}})([A-Za-z]{{2,63}})(?![A-Za-z0-9-]))")
+_LOCAL_BEFORE = re.compile(rf"(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9_%+-]{{1,64}}(?:\.|[ ](?i:dot)[ ])){{0,6}}[A-Za-z0-9_%+-]{{1,64}}\Z")
+_STRUCTURED = re.compile(rf"[._%+]|[ ](?i:dot)[ ]|[A-Za-z][0-9]")
 #: Words that say that an address follows (fixed values), and places where one may begin.
 _CUE = re.compile(r"(?i)(?<![a-z])(?:e-?mails?|mail(?:to)?|contact|reach|write|ping|address|inbox|courriel|correo|kontakt|adresse)(?![a-z])[^\n.!?]{0,30}\Z")
 _BEGINS = re.compile(r"(?:\A|[\n:;,(<\"'=|\[])[ \t]*\Z")
@@ -244,6 +256,13 @@ def normalise(text: str) -> Tape | None:
     if any(c in now for c in "[({<"):
         tape.rewrite([(*m.span(), "@" if m[1] else ".") for m in _BRACKETED.finditer(now)])
         now = tape.text
+    low = now.lower()
+    if any(w in low for w in _AT_SIGNS):
+        edits = []
+        for m in _AT_SIGN.finditer(now):
+            edits += [(*m.span(1), "@"), *((*d.span(), ".") for d in _DOT_WORD.finditer(now, m.start(), m.end()))]
+        tape.rewrite(sorted(edits))
+        now = tape.text
     ats = list(_AT_DOMAIN.finditer(now))
     if ats or _DOT_WORD.search(now):
         edits = {}
@@ -252,7 +271,7 @@ def normalise(text: str) -> Tape | None:
             edits |= {d.span(): "." for d in _DOT_WORD.finditer(now, m.start(), m.end())}
         for m in _DOT_AFTER_AT.finditer(now):
             edits |= {d.span(): "." for d in _DOT_WORD.finditer(now, m.start(), m.end())}
-        for m in _DOT_AFTER_LOCAL.finditer(now):
+        for m in (*_DOT_AFTER_LOCAL.finditer(now), *_POINTS_AFTER_AT.finditer(now)):
             if m[1].lower() not in COMMON:
                 edits |= {d.span(): "." for d in _DOT_WORD.finditer(now, m.start(), m.end())}
         for m in ats:
@@ -284,11 +303,15 @@ def disguised(text: str, base: list[Span]) -> list[Span]:
         return []
     changed, out = tape.rewritten(), []
     ends = [b for _, b in changed]
+    # Base spans of a kind lie apart, so of those the last one to begin at or before a span may cover it.
+    own = {k: [(s, e) for kind, s, e in base if kind == k] for k in KINDS}
+    starts = {k: [s for s, _ in own[k]] for k in KINDS}
     for kind, a, b in detect(tape.text):
         i = bisect_right(ends, a)
         if i < len(changed) and changed[i][0] < b:
             start, end = tape.source(a, b)
-            if not any(k == kind and s <= start and end <= e for k, s, e in base):
+            at = bisect_right(starts[kind], start) - 1
+            if at < 0 or own[kind][at][1] < end:
                 out.append((kind, start, end))
     return out
 
@@ -318,8 +341,9 @@ def joined(found: list[Span]) -> str:
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """For each row of docs (doc_id, text): the numbers of base spans of each kind, base_sha256 of the
-    joined base spans, and spans (all, joined). Null text counts as empty: no spans. Repeated rows repeat."""
+    """For each row of docs (doc_id, text; other columns are ignored): the numbers of base spans of each
+    kind, base_sha256 of the joined base spans, and spans (all, joined). Null text counts as empty: no spans.
+    Repeated rows repeat, and an empty table gives no rows. A text is held whole in one worker."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
 
@@ -340,7 +364,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
-    """docs with each personal-data span of `text` replaced; every row and column stays."""
+    """docs with each personal-data span of `text` replaced; every row and column stays. Null and empty texts
+    stay as they are, equal rows change alike, and an empty table stays empty."""
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
