@@ -1,10 +1,13 @@
-"""The query itself: its terms, who asks, and what follows from them. Driver-side and without Spark."""
+"""The query itself: its terms, who asks, and what follows from them. On the driver, but for tier_of."""
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 MAX_QUERY_BYTES, MAX_ID_BYTES, MAX_TERMS = 512, 96, 8
 #: Words that are no terms (fixed values).
 STOPWORDS = frozenset("and are for from how in into is of the this to where with".split())
@@ -69,12 +72,24 @@ def candidate_limit(k: int) -> int:
 TIERS = ((1800, 8192), (3600, 16384), (5400, 24576), (7200, 32768))
 
 
+#: The most confident tiers first: least confidence, most excerpts, structures and terms (fixed values).
+TIER_BOUNDS = ((0.88, 3, 6, MAX_TERMS), (0.72, 8, 12, MAX_TERMS), (0.0, 16, 16, 6))
+
+
 def tier(confidence: float, excerpts: int, structures: int, terms: int) -> int:
-    if confidence >= 0.88 and excerpts <= 3 and structures <= 6:
-        return 0
-    if confidence >= 0.72 and excerpts <= 8 and structures <= 12:
-        return 1
-    return 2 if excerpts <= 16 and structures <= 16 and terms <= 6 else 3
+    """The place in TIERS of the smallest budget that suffices."""
+    for i, (sure, most_excerpts, most_structures, most_terms) in enumerate(TIER_BOUNDS):
+        if confidence >= sure and excerpts <= most_excerpts and structures <= most_structures and terms <= most_terms:
+            return i
+    return len(TIER_BOUNDS)
+
+
+def tier_of(confidence: Column, excerpts: Column, structures: Column, terms: Column) -> Column:
+    """tier over columns."""
+    out = F.lit(len(TIER_BOUNDS))
+    for i, (sure, most_excerpts, most_structures, most_terms) in reversed(list(enumerate(TIER_BOUNDS))):
+        out = F.when((confidence >= sure) & (excerpts <= most_excerpts) & (structures <= most_structures) & (terms <= most_terms), i).otherwise(out)
+    return out
 
 
 def estimated_tokens(s: str) -> int:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column
@@ -87,16 +88,13 @@ def count_contained(c: Column, terms: list[str]) -> Column:
 
 def structural_bonus(line: Column, terms: list[str]) -> Column:
     """5 for a definition line that holds a term, 2 for an import line that does, else 0."""
-    low = ascii_lower(F.ltrim(line))
-    starts = lambda names: contains_start(low, names)
-    return F.when(~contains_any(low, terms), 0.0).when(starts(DEFINITION_STARTS), 5.0).when(starts(IMPORT_STARTS), 2.0).otherwise(0.0)
+    return structural_bonus_lower(ascii_lower(line), terms)
 
 
-def contains_start(c: Column, starts: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for s in starts:
-        out = out | F.startswith(c, F.lit(s))
-    return out
+def structural_bonus_lower(low: Column, terms: list[str]) -> Column:
+    """structural_bonus of a line in lower case. The starts are one anchored pattern each."""
+    starts = lambda names: F.rlike(low, F.lit("^ *(?:" + "|".join(re.escape(n) for n in names) + ")"))
+    return F.when(~contains_any(low, terms), 0.0).when(starts(DEFINITION_STARTS), 5.0).when(starts(IMPORT_STARTS), 2.0).otherwise(0.0)
 
 
 def estimated_tokens(c: Column) -> Column:

@@ -6,8 +6,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: A single Parquet file of this many bytes is dealt out, as it often is one row group, which one task reads.
+SINGLE_FILE = (1 << 20, 64 << 20)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A Parquet table. A small one in a single file is dealt out over the cores, whole rows; a folder of
+    files, or a large file, is read as it is split."""
+    where = f"{sf_dir}/{name}.parquet"
+    df, path = spark.read.parquet(where), spark._jvm.org.apache.hadoop.fs.Path(where)
+    status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+    small = status.isFile() and SINGLE_FILE[0] <= status.getLen() <= SINGLE_FILE[1]
+    return df.repartition(spark.sparkContext.defaultParallelism) if small else df
 
 
 def of_documents(df: DataFrame) -> DataFrame:

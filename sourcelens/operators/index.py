@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+#: Limits that a caller may ask for, and the highest frequency kept.
 MAX_TERMS, MAX_GRAMS, MAX_ENTRIES, MAX_TF = 32_768, 16_384, 4_000_000, 65_535
 
 
@@ -15,31 +16,49 @@ def document_lengths(corpus: DataFrame) -> DataFrame:
     return corpus.select("path", F.greatest(F.size(T.tokens(F.col("text"))), F.lit(1)).cast("bigint").alias("dl"))
 
 
-def postings(corpus: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
-    """path, term, tf. A token counts as itself and as each of its fragments, so one that can't be split
-    counts twice. A document keeps its max_terms terms of smallest spelling at most."""
-    token = corpus.select("path", F.explode(T.tokens(F.col("text"))).alias("t"))
-    term = token.select("path", F.explode(F.concat(F.array(T.ascii_lower(F.col("t"))), T.fragments(F.col("t")))).alias("term"))
+def _terms(text: Column) -> Column:
+    """Each token in lower case, and its fragments: one that can't be split counts twice."""
+    return F.flatten(F.transform(T.tokens(text), lambda t: F.concat(F.array(T.ascii_lower(t)), T.fragments(t))))
+
+
+def postings(corpus: DataFrame, max_terms: int | None = None) -> DataFrame:
+    """path, term, tf, truncated. A token counts as itself and as each of its fragments, so one that can't be
+    split counts twice. All terms are kept; with max_terms, a document keeps its terms of smallest spelling,
+    and the rows of one that lost any say truncated."""
+    term = corpus.select("path", F.explode(_terms(F.col("text"))).alias("term"))
     counted = term.groupBy("path", "term").agg(F.least(F.count("*"), F.lit(MAX_TF)).alias("tf"))
-    return counted.withColumn("r", F.row_number().over(Window.partitionBy("path").orderBy("term"))).where(F.col("r") <= max_terms).drop("r")
+    if max_terms is None:
+        return counted.withColumn("truncated", F.lit(False))
+    own = Window.partitionBy("path")
+    ranked = counted.withColumns({"r": F.row_number().over(own.orderBy("term")), "truncated": F.count("*").over(own) > max_terms})
+    return ranked.where(F.col("r") <= max_terms).drop("r")
 
 
-def gram_sketch(corpus: DataFrame) -> DataFrame:
-    """path, gram: ASCII pairs and triples of token runs, and the characters of other tokens."""
+def gram_sketch(corpus: DataFrame, max_grams: int | None = None) -> DataFrame:
+    """path, gram, truncated: ASCII pairs and triples of token runs, and the characters of other tokens. All
+    are kept; with max_grams, the first ones, and the rows of a document that lost any say truncated."""
     text = F.col("text")
-    return corpus.select("path", F.explode(F.slice(F.array_distinct(F.concat(T.ascii_grams(text), T.scalars(text))), 1, MAX_GRAMS)).alias("gram"))
+    every = corpus.select("path", F.array_distinct(F.concat(T.ascii_grams(text), T.scalars(text))).alias("grams"))
+    if max_grams is None:
+        return every.select("path", F.explode("grams").alias("gram"), F.lit(False).alias("truncated"))
+    return every.select("path", F.explode(F.slice("grams", 1, max_grams)).alias("gram"), (F.size("grams") > max_grams).alias("truncated"))
 
 
 def gram_candidates(sketch: DataFrame, term: str) -> DataFrame:
-    """path of documents whose sketch holds every gram of the term: a superset of those that contain it.
-    Only the wanted grams are shuffled."""
+    """path of documents whose sketch holds every gram of the term: a superset of those that contain it, but
+    for truncated documents. Only the wanted grams are shuffled."""
     wanted = T.query_grams(term)
     held = sketch.where(F.col("gram").isin(wanted)).groupBy("path").agg(F.count_distinct("gram").alias("n"))
     return held.where(F.col("n") == len(wanted)).select("path")
 
 
-def document_frequencies(post: DataFrame) -> DataFrame:
-    return post.groupBy("term").agg(F.count("*").alias("df"))
+def document_frequencies(corpus: DataFrame) -> DataFrame:
+    """term, df (documents that hold it), total (occurrences). A document is one row, so its terms are made
+    distinct within it; counts are summed in each task before the only shuffle, which is by term."""
+    terms = corpus.select(_terms(F.col("text")).alias("ts"))
+    once = lambda df, total: lambda t: F.struct(t.alias("term"), F.lit(df).alias("df"), F.lit(total).alias("total"))
+    each = terms.select(F.explode(F.concat(F.transform("ts", once(0, 1)), F.transform(F.array_distinct("ts"), once(1, 0)))).alias("x"))
+    return each.groupBy(F.col("x.term").alias("term")).agg(F.sum("x.df").alias("df"), F.sum("x.total").alias("total"))
 
 
 def corpus_stats(lengths: DataFrame) -> DataFrame:
@@ -50,7 +69,7 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
 def indexed_frequency(post: DataFrame, sketch: DataFrame, terms: list[str]) -> DataFrame:
     """path, term, tf for the query's terms: the exact frequency, or 1 where only the sketch holds all
     grams of the term."""
-    exact = post.where(F.col("term").isin(terms))
+    exact = post.where(F.col("term").isin(terms)).select("path", "term", "tf")
     spark = post.sparkSession
     grams = spark.createDataFrame([(t, g) for t in terms for g in T.query_grams(t)], "term string, gram string")
     need = spark.createDataFrame([(t, len(T.query_grams(t))) for t in terms], "term string, need int")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, Window
@@ -14,6 +15,7 @@ K1, B = 1.2, 0.75
 CONTENT_BASE = 25
 CONTEXT, EXCERPT_BYTES = 4, 2048
 WITHHELD = "[REDACTED_MATCH]"
+CUT_BEFORE, CUT_AFTER = "[truncated] ", " [truncated]"
 
 
 def add(columns: list[Column]) -> Column:
@@ -80,9 +82,7 @@ def matches(corpus: DataFrame, terms: list[str]) -> DataFrame:
 
 def scored(corpus: DataFrame, terms: list[str], memory: Column | None = None) -> DataFrame:
     """path, dl, tf.., matched, path_bonus, bm25, score: content matches and matches of the path only."""
-    stats = term_statistics(corpus, terms)
-    # One row of corpus statistics.
-    return with_scores(stats.crossJoin(F.broadcast(corpus_row(stats, len(terms)))), terms, memory)
+    return with_scores(matches(corpus, terms), terms, memory)
 
 
 def top(df: DataFrame, k: int, *more: str) -> DataFrame:
@@ -90,63 +90,77 @@ def top(df: DataFrame, k: int, *more: str) -> DataFrame:
     return df.orderBy(F.desc("score"), "path", *more).limit(k)
 
 
-def evidence(corpus: DataFrame, query: str, terms: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
-    """path, keep, start_line, end_line, line, excerpt, exact, structure, prelim: each document's best line
-    that holds a term, with four lines around it. Windows stay inside the document's array of lines, so
-    nothing is shuffled and no line table is made."""
-    d = corpus.select("path", *keep, T.lines(F.col("text")).alias("_ls")).where(F.size("_ls") > 0)
-    d = d.withColumns({"_n": F.size("_ls"), "_bonus": path_score(F.col("path"), terms)})
-    hits = F.filter(F.sequence(F.lit(1), F.col("_n")), lambda i: T.contains_any(T.ascii_lower(F.element_at("_ls", i)), terms))
-    start, end = (lambda i: F.greatest(i - CONTEXT, F.lit(1))), (lambda i: F.least(i + CONTEXT, F.col("_n")))
-
-    def judged(i: Column) -> Column:
-        window = F.array_join(F.slice("_ls", start(i), end(i) - start(i) + 1), "\n")
-        low = T.ascii_lower(window)
-        structure = T.structural_bonus(F.element_at("_ls", i), terms)
-        exact = F.contains(low, F.lit(query)).cast("int")
-        prelim = CONTENT_BASE + 10 * T.count_contained(low, terms) + 8 * exact + 3 * F.col("_bonus") + structure
-        return F.struct((-prelim).alias("order"), start(i).alias("start_line"), i.alias("line"), end(i).alias("end_line"), window.alias("excerpt"), exact.alias("exact"), structure.alias("structure"))
-
-    best = d.withColumn("_hits", hits).where(F.size("_hits") > 0).select("path", *keep, F.array_min(F.transform("_hits", judged)).alias("e"))
-    return best.select("path", *keep, "e.start_line", "e.end_line", "e.line", "e.excerpt", "e.exact", "e.structure", (-F.col("e.order")).alias("prelim"))
-
-
-def shrink(lines: list[str], focus: int, match: int, limit: int = EXCERPT_BYTES) -> tuple[int, int, str]:
-    """The frame of lines around `focus` cut to `limit` bytes: (first, last, text). The larger outer line
-    goes first, the left one on a tie; a focus that is too large itself is cut around byte `match`."""
-    first, last = max(focus - CONTEXT, 0), min(focus + CONTEXT, len(lines) - 1)
-    size = sum(len(x.encode()) + 1 for x in lines[first : last + 1]) - 1
-    while size > limit and first < last:
-        left, right = len(lines[first].encode()) if first < focus else -1, len(lines[last].encode()) if last > focus else -1
-        if left >= right:
-            first, size = first + 1, size - left - 1
-        else:
-            last, size = last - 1, size - right - 1
-    if size <= limit:
-        return first, last, "\n".join(lines[first : last + 1])
-    data, before, after = lines[focus].encode(), "[truncated] ", " [truncated]"
-    room = limit - len(before) - len(after)
-    start = max(0, min(match - room // 2, len(data) - room))
-    cut = data[start : start + room].decode(errors="ignore")
-    return focus, focus, (before if start else "") + cut + (after if start + room < len(data) else "")
-
-
-def bounded_excerpts(best: DataFrame, terms: list[str], limit: int = EXCERPT_BYTES) -> DataFrame:
-    """Evidence rows (path, excerpt, start_line, line) with the excerpt cut to `limit` bytes."""
-    import pandas as pd
-
-    def run(batches):  # noqa: ANN001, ANN202
-        for pdf in batches:
-            rows = []
-            for path, excerpt, start, line in zip(pdf["path"], pdf["excerpt"], pdf["start_line"], pdf["line"], strict=True):
-                lines, focus = excerpt.split("\n"), line - start
-                low = lines[focus].lower()
-                at = min((low.encode().find(t.encode()) for t in terms if t in low), default=0)
-                a, b, cut = shrink(lines, focus, at, limit)
-                rows.append((path, start + a, start + b, cut))
-            yield pd.DataFrame(rows, columns=["path", "start_line", "end_line", "excerpt"])
-
-    return best.select("path", "excerpt", "start_line", "line").mapInPandas(run, "path string, start_line int, end_line int, excerpt string")
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body over value, which is computed once a row, however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def focus_cut(line: Column, match: Column, limit: int = EXCERPT_BYTES) -> Column:
+    """line, cut to `limit` bytes around byte `match` where it is longer: whole characters, marks at cut ends."""
+    room = limit - len(CUT_BEFORE) - len(CUT_AFTER)
+    data = F.encode(line, "utf-8")
+    inner = lambda p: F.hex(F.substring(data, p + 1, F.lit(1))).between("80", "BF")
+    up = lambda p: p + F.when(~inner(p), 0).when(~inner(p + 1), 1).when(~inner(p + 2), 2).otherwise(3)
+    down = lambda p: p - F.when(~inner(p), 0).when(~inner(p - 1), 1).when(~inner(p - 2), 2).otherwise(3)
+    size = F.octet_length(line)
+    text = lambda s, e: F.concat(F.when(s > 0, CUT_BEFORE).otherwise(""), F.decode(F.substring(data, s + 1, e - s), "utf-8"), F.when(e < size, CUT_AFTER).otherwise(""))
+    start = lambda s, e: F.when((e == size) & (e - s < room), up(F.greatest(e - room, F.lit(0)))).otherwise(s)
+    cut = bound(up(F.greatest(match - room // 2, F.lit(0))), lambda s: bound(down(F.least(s + room, size)), lambda e: bound(start(s, e), lambda s: text(s, e))))
+    return F.when(size <= limit, line).otherwise(cut)
+
+
+def frame(lines: Column, i: Column, limit: int = EXCERPT_BYTES) -> Column:
+    """The struct (a, b, size) of the lines around line i (from 1) and their bytes. While they are more than
+    `limit` bytes, the larger outer line goes, the left one on a tie."""
+    of = lambda k: F.octet_length(F.element_at(lines, k))
+    a, b = F.greatest(i - CONTEXT, F.lit(1)), F.least(i + CONTEXT, F.size(lines))
+    first = F.struct(a.alias("a"), b.alias("b"), F.octet_length(F.array_join(F.slice(lines, a, b - a + 1), "\n")).alias("size"))
+
+    def step(f: Column, _: Column) -> Column:
+        left, right = F.when(f["a"] < i, of(f["a"])).otherwise(-1), F.when(f["b"] > i, of(f["b"])).otherwise(-1)
+        out = F.when(left >= right, F.struct((f["a"] + 1).alias("a"), f["b"].alias("b"), (f["size"] - left - 1).alias("size")))
+        return F.when((f["size"] <= limit) | (f["a"] == f["b"]), f).otherwise(out.otherwise(F.struct(f["a"].alias("a"), (f["b"] - 1).alias("b"), (f["size"] - right - 1).alias("size"))))
+
+    return bound(first, lambda f: F.when(f["size"] <= limit, f).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(2 * CONTEXT)), f, step)))
+
+
+def evidence(corpus: DataFrame, query: str, terms: list[str], keep: tuple[str, ...] = (), limit: int = EXCERPT_BYTES) -> DataFrame:
+    """path, keep, start_line, end_line, line, excerpt, exact, structure, prelim: of each document that holds
+    a term, the line that holds one and whose excerpt scores best. The excerpt is the line with four lines
+    around it, bound to `limit` bytes before it is scored: outer lines go first, then the line is cut around
+    its first match.
+
+    Lines are split once and bound as a variable of one expression, so that the optimizer can't put the
+    split into the loops over lines. Nothing is shuffled and no line table is made.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    joined = lambda ls, f: F.array_join(F.slice(ls, f["a"], f["b"] - f["a"] + 1), "\n")
+    match = lambda low: F.array_min(F.array(*(F.when(F.contains(low, F.lit(t)), F.octet_length(F.substring_index(low, t, 1))) for t in terms), F.octet_length(low)))
+
+    def excerpt(ls: Column, low: Column, i: Column, f: Column) -> Column:
+        return F.when(f["size"] <= limit, joined(ls, f)).otherwise(focus_cut(F.element_at(ls, i), match(F.element_at(low, i)), limit))
+
+    def judged(low: Column, i: Column) -> Column:
+        def scored(f: Column) -> Column:
+            def rated(x: Column) -> Column:
+                exact, structure = F.contains(x, F.lit(query)).cast("int"), T.structural_bonus_lower(F.element_at(low, i), terms)
+                prelim = CONTENT_BASE + 10 * T.count_contained(x, terms) + 8 * exact + 3 * F.col("_bonus") + structure
+                return F.struct((-prelim).alias("order"), f["a"].alias("start_line"), i.alias("line"), f["b"].alias("end_line"), exact.alias("exact"), structure.alias("structure"), f["size"].alias("size"))
+
+            return bound(excerpt(low, low, i, f), rated)
+
+        return bound(frame(low, i, limit), scored)
+
+    def best(s: Column) -> Column:
+        hits = F.filter(F.sequence(F.lit(1), F.size(s["low"])), lambda i: T.contains_any(F.element_at(s["low"], i), terms))
+        found = F.array_min(F.transform(hits, lambda i: judged(s["low"], i)))
+        shown = lambda e: excerpt(s["ls"], s["low"], e["line"], F.struct(e["start_line"].alias("a"), e["end_line"].alias("b"), e["size"].alias("size")))
+        return bound(found, lambda e: F.struct(e["start_line"].alias("start_line"), e["end_line"].alias("end_line"), e["line"].alias("line"), shown(e).alias("excerpt"), e["exact"].alias("exact"), e["structure"].alias("structure"), (-e["order"]).alias("prelim")))
+
+    # A term holds no line end, so a text that contains one has a line that does.
+    d = corpus.where(T.contains_any(T.ascii_lower(F.col("text")), terms)).withColumn("_bonus", path_score(F.col("path"), terms))
+    both = F.struct(T.lines(text).alias("ls"), T.lines(T.ascii_lower(text)).alias("low"))
+    return d.select("path", *keep, bound(both, best).alias("e")).select("path", *keep, "e.*")
 
 
 def interleaved(files: DataFrame) -> DataFrame:

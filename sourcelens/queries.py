@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import query as Q
@@ -138,8 +138,7 @@ _FRAG = lambda t: f"list_transform(list_filter(regexp_split_to_array(regexp_repl
 @query(f"""with {DOCS}, t as (select path, unnest({toks("text")}) t from docs), u as (select path, {low("t")} term from t union all select path, unnest({_FRAG("t")}) from t)
 select term, count(distinct path) df, sum(tf)::bigint total from (select path, term, count(*) tf from u group by all) group by term""")
 def document_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    post = index.postings(docs(spark, sf_dir))
-    return post.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    return index.document_frequencies(docs(spark, sf_dir))
 
 
 @query(f"with {row_sql()} select n_docs, round(avgdl, 6) avgdl, df0, df1, df2 from r")
@@ -204,25 +203,52 @@ def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- Evidence. ---
-_EV = f"""{DOCS}, l as (select path, {LINES} ls, {number(low("path"))} bonus from docs), e as (select path, ls, bonus, unnest(generate_series(1, len(ls))) i from l where len(ls) > 0),
-w as (select path, bonus, i line, greatest(i - 4, 1) start_line, least(i + 4, len(ls)) end_line, ls[i] own, array_to_string(ls[greatest(i - 4, 1):least(i + 4, len(ls))], chr(10)) excerpt from e where {some(low("ls[i]"))}),
-j as (select *, contains({low("excerpt")}, '{QUERY}')::int exact, {structure_sql("own")} structure from w),
+def _shrinking(limit: int, steps: int = 8) -> str:
+    """CTEs w1.. that each take one outer line from the frames of w0 that are too large."""
+    size = lambda k: f"case when {k} then strlen(ls[{'a' if k == 'a < i' else 'b'}]) else -1 end"
+    large = f"a < b and strlen(array_to_string(ls[a:b], chr(10))) > {limit}"
+    left = f"{size('a < i')} >= {size('b > i')}"
+    return ", ".join(f"w{k} as (select * replace (case when {large} and {left} then a + 1 else a end as a, case when {large} and not ({left}) then b - 1 else b end as b) from w{k - 1})" for k in range(1, steps + 1))
+
+
+_INNER = lambda p: f"hex[2 * ({p}) + 1] in ('8', '9', 'A', 'B')"
+_UPTO = lambda p: f"({p} + case when not {_INNER(p)} then 0 when not {_INNER(p + ' + 1')} then 1 when not {_INNER(p + ' + 2')} then 2 else 3 end)"
+_DOWNTO = lambda p: f"({p} - case when {p} = n or not {_INNER(p)} then 0 when not {_INNER(p + ' - 1')} then 1 when not {_INNER(p + ' - 2')} then 2 else 3 end)"
+_AT = "list_min([" + ", ".join(f"case when contains({low('ls[i]')}, '{t}') then strlen(split_part({low('ls[i]')}, '{t}', 1)) end" for t in TERMS) + "])"
+
+
+def evidence_sql(limit: int = rank.EXCERPT_BYTES) -> str:
+    """`best`, the best line of each document. Frames that fit stand in `fit`; a lone line that doesn't is cut
+    in bytes."""
+    room = limit - len(rank.CUT_BEFORE) - len(rank.CUT_AFTER)
+    return f"""{DOCS}, l as (select path, {LINES} ls, {number(low("path"))} bonus from docs), e as (select path, ls, bonus, unnest(generate_series(1, len(ls))) i from l where len(ls) > 0),
+w0 as (select path, bonus, i, ls, greatest(i - 4, 1) a, least(i + 4, len(ls)) b from e where {some(low("ls[i]"))}), {_shrinking(limit)},
+fit as (select path, bonus, i, a, b, ls[i] own, array_to_string(ls[a:b], chr(10)) excerpt from w8 where strlen(array_to_string(ls[a:b], chr(10))) <= {limit}),
+c0 as (select path, bonus, i, ls[i] own, hex(encode(ls[i])) hex, strlen(ls[i]) n, greatest({_AT} - {room // 2}, 0) s from w8 where strlen(array_to_string(ls[a:b], chr(10))) > {limit}),
+c1 as (select * replace ({_UPTO("s")} as s) from c0), c2 as (select *, least(s + {room}, n) e0 from c1), c3 as (select *, {_DOWNTO("e0")} e from c2),
+c4 as (select * replace (case when e = n and e - s < {room} then greatest(e - {room}, 0) else s end as s) from c3), c5 as (select * replace ({_UPTO("s")} as s) from c4),
+w as (select * from fit union all select path, bonus, i, i, i, own, case when s > 0 then '{rank.CUT_BEFORE}' else '' end || decode(unhex(hex[2 * s + 1:2 * e])) || case when e < n then '{rank.CUT_AFTER}' else '' end from c5),
+j as (select path, bonus, i line, a start_line, b end_line, excerpt, contains({low("excerpt")}, '{QUERY}')::int exact, {structure_sql("own")} structure from w),
 best as (select *, 25 + 10 * {number(low("excerpt"))} + 8 * exact + 3 * bonus + structure prelim from j qualify row_number() over (partition by path order by 25 + 10 * {number(low("excerpt"))} + 8 * exact + 3 * bonus + structure desc, start_line, line) = 1)"""
 
 
-@query(f"with {_EV} select path, start_line::int start_line, end_line::int end_line, line::int line, exact, structure, prelim from best")
+@query(f"with {evidence_sql()} select path, start_line::int start_line, end_line::int end_line, line::int line, exact, structure, prelim from best")
 def evidence_best_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.evidence(docs(spark, sf_dir), QUERY, TERMS).drop("excerpt")
 
 
-@query(f"with {_EV} select path, excerpt from best")
+@query(f"with {evidence_sql()} select path, excerpt from best")
 def context_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.evidence(docs(spark, sf_dir), QUERY, TERMS).select("path", "excerpt")
 
 
-@query()
+_BOUND = 200
+
+
+@query(f"with {evidence_sql(_BOUND)} select path, start_line::int start_line, end_line::int end_line, excerpt from best")
 def excerpt_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rank.bounded_excerpts(rank.evidence(docs(spark, sf_dir), QUERY, TERMS), TERMS)
+    """With a bound of 200 bytes, which most frames and many lines exceed."""
+    return rank.evidence(docs(spark, sf_dir), QUERY, TERMS, limit=_BOUND).select("path", "start_line", "end_line", "excerpt")
 
 
 _CONV = "(text || '   ' || chr(10) || chr(10) || ' ' || chr(10) || role || chr(10))"
@@ -248,9 +274,7 @@ def estimated_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 select event_id, case when conf >= 0.88 and ex <= 3 and st <= 6 then 0 when conf >= 0.72 and ex <= 8 and st <= 12 then 1 when ex <= 16 and st <= 16 and terms <= 6 then 2 else 3 end tier from t""")
 def budget_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "events").selectExpr("event_id", "value / 100 - floor(value / 100) conf", "user_id % 20 ex", "user_id % 18 st", "user_id % 9 terms")
-    c, ex, st = F.col("conf"), F.col("ex"), F.col("st")
-    tier = F.when((c >= 0.88) & (ex <= 3) & (st <= 6), 0).when((c >= 0.72) & (ex <= 8) & (st <= 12), 1).when((ex <= 16) & (st <= 16) & (F.col("terms") <= 6), 2).otherwise(3)
-    return t.select("event_id", tier.alias("tier"))
+    return t.select("event_id", Q.tier_of(F.col("conf"), F.col("ex"), F.col("st"), F.col("terms")).alias("tier"))
 
 
 _MARKED = "['def ', 'import ', 'pub fn ', '  class ', '', 'use ', 'return ']"
@@ -271,13 +295,14 @@ _HEX = "md5(doc_id::varchar)"
 
 
 def planted(name: str, before: str, after: str, pattern: str, new: str, rules: tuple[str, ...]) -> None:
-    """A query that redacts by rules what stands between the first characters of each text."""
-    text = f"substr(text, 1, 80) || '{before}' || {_HEX} || '{after}' || substr(text, 81, 40)"
+    """A query that redacts whole texts by rules, with a secret planted in them and once more after them."""
+    secret = f"'{before}' || {_HEX} || '{after}'"
 
-    @query(f"select doc_id, regexp_replace({text}, '{pattern}', '{new}', 'g') redacted from documents")
+    @query(f"select doc_id, regexp_replace(substr(text, 1, 80) || {secret} || substr(text, 81) || {secret}, '{pattern}', '{new}', 'g') redacted from documents")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        c = F.concat(F.substr("text", F.lit(1), F.lit(80)), F.lit(before), F.md5(F.col("doc_id").cast("string")), F.lit(after), F.substr("text", F.lit(81), F.lit(40)))
-        return table(spark, sf_dir, "documents").select("doc_id", R.by_rule(c, *rules).alias("redacted"))
+        own = F.concat(F.lit(before), F.md5(F.col("doc_id").cast("string")), F.lit(after))
+        whole = F.concat(F.substr("text", F.lit(1), F.lit(80)), own, F.expr("substr(text, 81)"), own)
+        return table(spark, sf_dir, "documents").select("doc_id", R.by_rule(whole, *rules).alias("redacted"))
 
     _QUERIES[name], _SQL[name] = run, _SQL.pop("run")
     del _QUERIES["run"]
@@ -289,27 +314,10 @@ planted("redact_urls", " https://u:", "@h.test/x ", " https://u:[0-9a-f]+@h", "
 planted("redact_auth", " Authorization: Bearer ", " end ", "Authorization: Bearer [0-9a-f]{32} end", "Authorization: Bearer [REDACTED_CREDENTIAL] end", ("header", "scheme"))
 
 
-#: What planted() puts into texts, for whole texts: column, before and after the digest, rules.
-PLANTED = (("tokens", " ghp_", " end ", ("token",)), ("jwt", " eyJhbGci.", ".c2lnbmF0 end ", ("jwt",)), ("urls", " https://u:", "@h.test/x ", ("url",)), ("auth", " Authorization: Bearer ", " end ", ("header", "scheme")))
-
-
-@query()
-def redact_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every whole text with a secret of each kind planted in it and once more after it, redacted by the kind's
-    rules. The queries above see the first 120 characters only, as their SQL does."""
-    digest = F.md5(F.col("doc_id").cast("string"))
-
-    def whole(before: str, after: str) -> Column:
-        secret = F.concat(F.lit(before), digest, F.lit(after))
-        return F.concat(F.substr("text", F.lit(1), F.lit(80)), secret, F.expr("substr(text, 81)"), secret)
-
-    return table(spark, sf_dir, "documents").select("doc_id", *(R.by_rule(whole(a, b), *rules).alias(n) for n, a, b, rules in PLANTED))
-
-
-@query("""select doc_id, regexp_replace(text, 'token = "[0-9a-f]{40}"', 'token = "[REDACTED_LITERAL]"', 'g') redacted from documents where contains(text, 'token = "')""")
+@query("""select doc_id, regexp_replace(text, 'token = "[0-9a-f]{40}"', 'token = "[REDACTED_LITERAL]"', 'g') redacted from documents""")
 def redact_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where(F.contains("text", F.lit('token = "')))
-    return d.select("doc_id", R.redact_udf("text").alias("redacted"))
+    """Every document by all rules; the only secrets of the table are such literals."""
+    return table(spark, sf_dir, "documents").select("doc_id", R.redact_udf("text").alias("redacted"))
 
 
 @query()
@@ -319,12 +327,16 @@ def redact_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", R.redact_udf(F.concat(head, "text")).alias("redacted"))
 
 
-@query("""select doc_id, case when regexp_matches(regexp_replace(text, 'token = "[0-9a-f]{40}"', 'token = "[REDACTED_LITERAL]"', 'g'), '[0-9a-f]{40}') then 'visible' else 'withheld' end kind
-from documents where regexp_matches(text, '[0-9a-f]{40}')""")
+_SECRET = "0[0-9a-f]{39}"
+
+
+@query(f"""with s as (select doc_id, text, regexp_replace(text, 'token = "[0-9a-f]{{40}}"', 'token = "[REDACTED_LITERAL]"', 'g') safe from documents)
+select doc_id, case when contains(safe, 'ther') then 'visible' else '{rank.WITHHELD}' end body from s where contains(text, 'ther') or regexp_matches(text, '{_SECRET}')""")
 def redaction_suppressed_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a 40-digit secret: whether it is still there after redaction."""
-    d = table(spark, sf_dir, "documents").where(F.rlike("text", F.lit("[0-9a-f]{40}")))
-    return d.select("doc_id", F.when(F.rlike(R.redact_udf("text"), F.lit("[0-9a-f]{40}")), "visible").otherwise("withheld").alias("kind"))
+    """Documents that hold "ther" or a secret that begins with 0: whether a match is left in what may be
+    shown. One whose only match lies in a secret is shown as withheld."""
+    d = table(spark, sf_dir, "documents").where(F.contains("text", F.lit("ther")) | F.rlike("text", F.lit(_SECRET)))
+    return d.select("doc_id", F.when(F.contains(R.redact_udf("text"), F.lit("ther")), "visible").otherwise(rank.WITHHELD).alias("body"))
 
 
 @query("select sha256(text) fingerprint, count(*) n, min(doc_id) first from documents group by text having count(*) > 1")

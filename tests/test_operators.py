@@ -88,11 +88,70 @@ def test_delta(spark):
     assert sorted(map(tuple, index.apply_delta(held, states, files).collect())) == [("a", 1), ("b", 2), ("c", 3)]
 
 
-def test_shrink():
-    lines = ["x" * 900, "y" * 900, "match", "z" * 1000]
-    assert rank.shrink(lines, 2, 0)[:2] == (0, 2)
-    a, b, cut = rank.shrink(["é" * 3000 + "hit" + "é" * 3000], 0, 6000)
-    assert "hit" in cut and len(cut.encode()) <= rank.EXCERPT_BYTES and cut.startswith("[truncated]")
+def naive_best(text, query, terms, limit):
+    """The reading of the rules, line by line: (start, end, line, excerpt, exact, structure, score)."""
+    low = lambda s: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s)
+    lines = [x.removesuffix("\r") for x in text.split("\n")]
+    lines = lines[:-1] if lines[-1] == "" else lines
+    best = None
+    for i, line in enumerate(lines):
+        hits = [low(line).encode().find(t.encode()) for t in terms if t in low(line)]
+        if not hits:
+            continue
+        a, b = max(i - 4, 0), min(i + 5, len(lines))
+        while len("\n".join(lines[a:b]).encode()) > limit and b - a > 1:
+            left, right = len(lines[a].encode()) if a < i else -1, len(lines[b - 1].encode()) if b > i + 1 else -1
+            a, b = (a + 1, b) if left >= right else (a, b - 1)
+        cut = "\n".join(lines[a:b])
+        if len(cut.encode()) > limit:
+            data, room = line.encode(), limit - 24
+            inside = lambda p: p < len(data) and 0x80 <= data[p] < 0xC0  # noqa: E731, B023
+            s = max(min(hits) - room // 2, 0)
+            while inside(s):
+                s += 1
+            e = min(s + room, len(data))
+            while inside(e):
+                e -= 1
+            if e == len(data) and e - s < room:
+                s = max(e - room, 0)
+                while inside(s):
+                    s += 1
+            cut = ("[truncated] " if s else "") + data[s:e].decode() + (" [truncated]" if e < len(data) else "")
+        own, exact = low(line.lstrip(" ")), int(query in low(cut))
+        structure = 0.0 if not any(t in own for t in terms) else 5.0 if own.startswith(T.DEFINITION_STARTS) else 2.0 if own.startswith(T.IMPORT_STARTS) else 0.0
+        score = 25 + 10 * sum(t in low(cut) for t in terms) + 8 * exact + structure
+        if best is None or (score, -a) > (best[-1], -best[0] + 1):
+            best = (a + 1, b, i + 1, cut, exact, structure, score)
+    return best
+
+
+@pytest.mark.parametrize("limit", [40, 90, 2048])
+def test_evidence(spark, limit):
+    import random
+
+    rng = random.Random(limit)
+    bits = ["alpha", "Beta", "alpha beta", "def ", "use ", "é", "😀", "x" * 30, " ", "-", "\r\n", "\n", "\n", "日本語" * 20]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(40))) for _ in range(150)] + ["alpha", "", "x\n" * 300 + "  def beta()", "é" * 3000 + "alpha" + "é" * 3000, None, "a" * 100 + "\nbeta"]
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, text string")
+    got = {int(r["path"]): (r["start_line"], r["end_line"], r["line"], r["excerpt"], r["exact"], r["structure"], r["prelim"]) for r in rank.evidence(rows, "alpha beta", ["alpha", "beta"], limit=limit).collect()}
+    want = {i: b for i, t in enumerate(texts) if t and (b := naive_best(t, "alpha beta", ["alpha", "beta"], limit))}
+    assert got == want and len(got) > 80
+    assert all(len(x[3].encode()) <= limit for x in got.values())
+
+
+def test_huge_neighbour_line(spark):
+    """A minified line beside the match doesn't push it out of the hit."""
+    hits = Engine(spark, corpus(spark, a_rs="y" * 50_000 + "\nfn alpha() {}\n" + "z" * 50_000)).context("alpha").hits
+    assert [(h["start_line"], h["end_line"], h["excerpt"]) for h in hits] == [(2, 2, "fn alpha() {}")]
+
+
+def test_index_limits(spark):
+    c = spark.createDataFrame([("a", "aa bb cc dd"), ("b", "aa")], "path string, text string")
+    assert {(r["path"], r["term"], r["truncated"]) for r in index.postings(c, 3).collect()} == {("a", "aa", True), ("a", "bb", True), ("a", "cc", True), ("b", "aa", False)}
+    assert index.postings(c).where("truncated").count() == 0 and index.postings(c).count() == 5
+    assert {(r["path"], r["truncated"]) for r in index.gram_sketch(c, 2).collect()} == {("a", True), ("b", False)}
+    many = spark.createDataFrame([("m", " ".join(f"w{i}" for i in range(40_000)))], "path string, text string")
+    assert index.postings(many).count() == 40_000
 
 
 def test_symbols(spark):
