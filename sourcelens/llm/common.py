@@ -9,15 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import storage
+from ..operators.corpus import table  # noqa: F401
 
 #: The characters that end a word: space and U+0009 to U+000D.
 WORD_GAP = "[\\x20\\x09-\\x0D]"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new path in the folder of spark.checkpoint.dir."""
     return f"{storage.shared_root(spark)}/{label}-{uuid.uuid4().hex}"

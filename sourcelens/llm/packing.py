@@ -28,8 +28,9 @@ from .common import materialize
 CAPACITY = 2048
 #: Pieces of one length that one task ranks, about; longer runs of equal lengths are salted.
 RANKED_TOGETHER = 20_000
-#: Segments in the young half of the tokenizer's memo; when it is full, it becomes the old half.
-MEMO = 800_000
+#: Bytes of the young half of the tokenizer's memo, about; when it is full, it becomes the old half. A segment
+#: takes SEGMENT_BYTES (a string, its ids and their place in the table), and more if it is long.
+MEMO_BYTES, SEGMENT_BYTES = 160_000_000, 190
 SIGNS = ".,;:!?*$%&#|"
 SLOTS = "length bigint, low bigint, high bigint, base bigint, per bigint, place bigint"
 
@@ -51,6 +52,7 @@ class SegmentTokenizer:
         self.size = size
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.young_bytes = 0
 
     def packed(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -87,8 +89,8 @@ class SegmentTokenizer:
         cut = [None if any(a in t for a in self.added) else segments(t) for t in texts]
         whole = [t for t, c in zip(texts, cut, strict=True) if c is None]
         long = dict(zip(whole, self.packed(whole), strict=True)) if whole else {}
-        if len(self.young) >= MEMO:
-            self.young, self.old = {}, self.young
+        if self.young_bytes >= MEMO_BYTES:
+            self.young, self.old, self.young_bytes = {}, self.young, 0
         young, old, new = self.young, self.old, set()
         for c in cut:
             new.update(c or ())
@@ -97,6 +99,7 @@ class SegmentTokenizer:
         for s in new.difference(fresh):
             young[s] = old[s]
         young.update(zip(fresh, self.alone(fresh), strict=True))
+        self.young_bytes += SEGMENT_BYTES * len(new) + sum(map(len, new))
         out = [long[t] if c is None else b"".join(map(young.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
         for s in fresh:
             if len(s) > 64:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sourcelens.llm import line_dedup, merkle, quality_rules
+from sourcelens.llm import common, line_dedup, merkle, quality_rules
 from sourcelens.llm import queries as Q
 from tests.oracle import same
 
@@ -88,3 +88,72 @@ def test_merkle_locates_edits(spark):
     p = merkle.with_fingerprint(p, "b", "fb", ["fa"])
     got = p.select(merkle.differing_sections(F.col("fa"), F.col("fb")).alias("at"), merkle.nodes(F.col("fa")).alias("x"), merkle.nodes(F.col("fb")).alias("y")).select("at", merkle.likeness("x", "y").alias("near")).first()
     assert got["at"] == [3] and 0.7 < got["near"] < 1
+
+
+def stored_stats(docs):
+    return common.materialize(quality_rules.with_metrics(quality_rules.document_stats(docs)), "stats")
+
+
+def page(i, words, extra=""):
+    return " ".join(f"{chr(97 + (i * 7 + k) % 26)}{i}w{k:02d}" for k in range(words)) + "\n" + "\n".join(f"line {i} {k} of it" for k in range(8)) + extra
+
+
+@pytest.mark.parametrize(
+    ("metric", "odd"),
+    [
+        ("symbol_pm", "".join(f" ${k}%" for k in range(30))),
+        ("dup_line_pm", "".join(f"\nxy\nu{k}a u{k}b u{k}c u{k}d" for k in range(30))),
+        ("repeat_pm", "\nqa qb qc qd qe qf qg" * 2),
+        ("word_len10", " " + "longer" * 200),
+        ("word_len10", "".join(f" {a} {b}" for a in "abcdefghijklm" for b in "nopqrstuvwxyz")),
+    ],
+)
+def test_each_metric_can_reject(spark, metric, odd):
+    """Nothing but the group's own sketches decides; a document far from them goes by that metric."""
+    rows = [(i, page(i, 40 + i % 20), "en", "s") for i in range(200)] + [(900, page(900, 50, odd), "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    stats = stored_stats(docs)
+    fence = quality_rules.fences(quality_rules.quantile_sketches(stats)).where("level = 0").first().asDict()
+    row = stats.where("doc_id = 900").first()
+    assert not row["base_failed"] and not fence[f"{metric}_low"] <= row[metric] <= fence[f"{metric}_high"]
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.judge(docs).collect()}
+    assert not kept.pop(900) and all(kept.values())
+
+
+def test_fences_follow_their_group(spark):
+    """Sources and languages of other habits get other fences for every metric, at every level."""
+    rows = []
+    for g, (words, extra) in enumerate([(40, ""), (90, " 5 % of $ 7 #\nsame line\nsame line")]):
+        for i in range(150):
+            long = "" if g == 0 else "".join(f" andaverylongone{i}x{k}" for k in range(30))
+            rows.append((1000 * g + i, page(i, words + i % 30, extra * (i % 4)) + long, ["en", "de"][g], ["s", "t"][g]))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    fences = quality_rules.fences(quality_rules.quantile_sketches(stored_stats(docs)))
+    for level in (0, 1):
+        fence = fences.where(f"level = {level}").orderBy("lang").collect()
+        assert len(fence) == 2
+        for m in quality_rules.METRICS:
+            assert fence[0][f"{m}_high"] != fence[1][f"{m}_high"], m
+
+
+def test_fences_on_documents(spark):
+    """Recomputed from each group's rows with exact quantiles: every fence is the deciles and sizes of its own
+    group, and clean labelled documents stay."""
+    data = "/root/testdata/sf0.01"
+    stats = stored_stats(common.table(spark, data, "documents"))
+    rows = [r.asDict() for r in stats.where("not base_failed").collect()]
+    got = {(r["level"], r["lang"], r["source"]): r.asDict() for r in quality_rules.fences(quality_rules.quantile_sketches(stats)).collect()}
+    low = lambda x: x >> max(x.bit_length() - 7, 0) << max(x.bit_length() - 7, 0)
+    width = lambda x: 1 << max(x.bit_length() - 7, 0)
+    decile = lambda xs, k: sorted(map(low, xs))[-(-len(xs) * k // 10) - 1]
+    for (level, lang, source), f in got.items():
+        own = [r for r in rows if level == 3 or r["lang"] == lang and (level == 1 or r["source"] == source)]
+        assert f["docs"] == len(own)
+        for m, (size, event, _) in quality_rules.METRICS.items():
+            a, b = decile([r[m] for r in own], 1), decile([r[m] for r in own], 9)
+            room = 1000 * event // max(decile([r[size] for r in own], 1), 1) if size else 0
+            assert (f[f"{m}_low"], f[f"{m}_high"]) == (a - 2 * (b - a) - width(a), b + 2 * (b - a) + width(b) + room)
+    labels = {r["doc_id"] for r in common.table(spark, data, "labels").where("quality = 1").collect()}
+    judged = {r["doc_id"]: r for r in quality_rules.judge(common.table(spark, data, "documents")).collect()}
+    clean = [judged[i]["kept"] for i in labels if i in judged and not judged[i]["base_failed"]]
+    assert len(clean) > 200 and sum(clean) > 0.98 * len(clean)
