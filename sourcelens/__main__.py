@@ -25,7 +25,8 @@ def main() -> None:
     conf = {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "8"}
     spark = SparkSession.builder.master("local[*]").config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    print(Engine(spark, files.load(spark, root).cache()).context(given.query, given.session, given.agent).text)
+    corpus, cut = files.load_capped(spark, root)
+    print(Engine(spark, corpus.cache(), truncated=cut).context(given.query, given.session, given.agent).text)
     spark.stop()
 
 

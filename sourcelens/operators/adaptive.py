@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import rank
+from . import policy, rank
 from ..functions import text as T
 
 MIB = 1 << 20
@@ -48,10 +48,12 @@ def fit_budget(items: DataFrame, group: str, order: list[str], size: str, budget
 
 
 def coverage(audit: DataFrame) -> DataFrame:
-    """One row of counters over an audit table (path, reason, indexed): files, excluded, indexed, failed,
-    complete, percent (of eligible files; 100 without any)."""
-    excluded = F.col("reason").isNotNull()
-    c = audit.agg(F.count("*").alias("files"), F.count_if(excluded).alias("excluded"), F.count_if(~excluded & F.col("indexed")).alias("indexed"), F.count_if(~excluded).alias("eligible"))
+    """One row of counters over an audit table (path, reason, indexed): files, excluded, indexed, eligible,
+    complete, percent (of eligible files; 100 without any). A file that couldn't be read is eligible all
+    the same, so the scan is then incomplete."""
+    failed = policy.makes_incomplete(F.col("reason"))
+    excluded = F.col("reason").isNotNull() & ~failed
+    c = audit.agg(F.count("*").alias("files"), F.count_if(excluded).alias("excluded"), F.count_if(F.col("reason").isNull() & F.col("indexed")).alias("indexed"), F.count_if(~excluded).alias("eligible"))
     return c.select("*", (F.col("indexed") == F.col("eligible")).alias("complete"), F.expr("case when eligible = 0 then 100 else 100 * indexed div eligible end").alias("percent"))
 
 

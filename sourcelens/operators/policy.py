@@ -76,9 +76,10 @@ def language(path: Column) -> Column:
     return out.when(e.isin("ts", "mts", "cts"), "typescript").when(e == "tsx", "tsx").when(e == "go", "go")
 
 
-#: Reasons for which a file that couldn't be read leaves the scan complete.
-HARMLESS = ("denied", "pruned", "non_utf8", "cancelled")
+#: Reasons that leave the scan complete: exclusions by policy, and files that are no text.
+HARMLESS = ("denied", "pruned", "binary", "metadata", "ignore_file", "not_regular", "non_utf8", "cancelled")
 
 
 def makes_incomplete(reason: Column) -> Column:
+    """Whether a file that should have been searched couldn't be read."""
     return reason.isNotNull() & ~reason.isin(*HARMLESS)

@@ -175,6 +175,12 @@ def path_only(files: DataFrame, indexed: DataFrame, terms: list[str]) -> DataFra
     return rest.where("path_bonus > 0").select("path", "path_bonus", (3.0 * F.col("path_bonus")).alias("score"))
 
 
+def candidates(scored: DataFrame, by_path: DataFrame) -> DataFrame:
+    """path, path_bonus, score of what may be shown: matches among indexed files, and path matches elsewhere."""
+    columns = ["path", "path_bonus", "score"]
+    return scored.select(columns).unionByName(by_path.select(columns))
+
+
 def revalidated(hits: DataFrame, fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Hits (path, fingerprint) whose source still has the fingerprint, and the paths of the others."""
     now = fresh.select("path", F.col("fingerprint").alias("_now"))

@@ -161,6 +161,12 @@ def combined_symbols(parsed: DataFrame, heuristic: DataFrame, limit: int = MAX_S
     return first.withColumn("r", F.row_number().over(Window.partitionBy("path").orderBy("o", "line"))).where(F.col("r") <= limit).select("path", "name", "kind", "line")
 
 
+def with_signatures(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """symbols (path, line, ..) with signature: their own lines of files (path, text), trimmed and cut."""
+    lines = files.select("path", T.lines(F.col("text")).alias("_lines"))
+    return symbols.join(lines, "path").withColumn("signature", F.coalesce(T.signature(F.try_element_at("_lines", "line")), F.lit(""))).drop("_lines")
+
+
 def symbol_score(name: Column, signature: Column, terms: list[str]) -> Column:
     """For each term: 6 if it is the name, else 4 if in the name, else 2 if in the signature."""
     low, sig = T.ascii_lower(name), T.ascii_lower(signature)

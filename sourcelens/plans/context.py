@@ -28,10 +28,11 @@ class Context:
 
 
 class Engine:
-    """Queries over one corpus (path, text; a `reason` column marks rows that policy excludes)."""
+    """Queries over one corpus (path, text; a `reason` column marks rows that policy excludes or that couldn't
+    be read). truncated: the corpus is known not to be all there is."""
 
-    def __init__(self, spark: SparkSession, corpus: DataFrame, apply_policy: bool = True):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, corpus: DataFrame, apply_policy: bool = True, truncated: bool = False):
+        self.spark, self.truncated = spark, truncated
         audited = corpus if "reason" in corpus.columns else policy.with_reason(corpus) if apply_policy else corpus.withColumn("reason", F.lit(None).cast("string"))
         self.audit, self.corpus = audited, audited.where(F.col("reason").isNull() & F.col("text").isNotNull()).select("path", "text")
         self.memory = spark.createDataFrame([], ", ".join(COLUMNS))
@@ -87,7 +88,7 @@ class Engine:
         rows, central = kept
         bonus = {r["path"]: r["bonus"] for r in graph.semantic_bonus(refs, terms).collect()}
         names: dict[str, list] = {}
-        for r in symbols.ranked_symbols(found.withColumn("signature", F.col("name")), terms).orderBy("path", "rank").collect():
+        for r in symbols.ranked_symbols(symbols.with_signatures(found, files), terms).orderBy("path", "rank").collect():
             names.setdefault(r["path"], []).append(f"{r['kind']} {r['name']} {r['line']}")
         out = []
         for h in top:
@@ -103,10 +104,11 @@ class Engine:
         terms, (_, n_map) = list(query.terms), Q.result_limits(len(query.terms))
         hits = [r.asDict() for r in self.search(query, session, agent).collect()]
         cover = adaptive.coverage(self.audit.select("path", "reason", F.col("text").isNotNull().alias("indexed"))).first().asDict()
+        cut = self.truncated or not cover["complete"]
         schema = "path string, start_line int, end_line int, excerpt string, score double, fingerprint string"
         table = self.spark.createDataFrame([tuple(h.values()) for h in hits], schema)
         lit = lambda x: F.lit(x)
-        sure = adaptive.confidence(table, terms, lit(cover["indexed"]), lit(cover["eligible"]), lit(not cover["complete"]), lit(cover["excluded"])).first()[0]
+        sure = adaptive.confidence(table, terms, lit(cover["indexed"]), lit(cover["eligible"]), lit(cut), lit(cover["excluded"])).first()[0]
         if hits:
             self.seq += 1
             row = [(self.seq, session, agent, terms, [h["path"] for h in hits])]
@@ -118,7 +120,7 @@ class Engine:
         tokens, size = Q.TIERS[Q.tier(sure, len(excerpts), len(entries), len(terms))]
         head = f"[UNTRUSTED SOURCE EXCERPTS]\nCONTEXT {' '.join(terms)} confidence {sure:.3f}\nCOVERAGE {cover['percent']}% of {cover['eligible']} files, {cover['excluded']} excluded\n"
         block = pack.structure(entries, min(max(size // 4, 2200), 6000))
-        tail = Q.status(len(hits), not cover["complete"], cover["excluded"])
+        tail = Q.status(len(hits), cut, cover["excluded"])
         used = len((head + block + tail).encode()) + 16
         body = pack.render(excerpts, tokens - Q.estimated_tokens(head + block), size - used)
         return Context(hits, sure, Q.prefix(f"{head}{block}EVIDENCE\n{body}{tail}", size), cover)

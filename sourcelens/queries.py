@@ -469,9 +469,16 @@ def lexical_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BEST = "best as (select src, dst, max(weight) weight, arg_max(kind, weight) kind from e where src <> dst and weight > 0 group by all)"
 
 
-@query(f"with {REFS}, {_IMPORT_EDGES.replace(CODE + ', ', '')}, e as (select * from re union all select * from ie), {_BEST} select * from best")
+@query(f"with {REFS}, {_IMPORT_EDGES.replace(CODE + ', ', '')}, {_LEX}, e as (select * from re union all select * from ie union all select * from le), {_BEST} select * from best")
 def best_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.best_edges(reference_edges(spark, sf_dir).unionByName(import_edges(spark, sf_dir)))
+    return graph.best_edges(reference_edges(spark, sf_dir).unionByName(import_edges(spark, sf_dir)).unionByName(lexical(spark, sf_dir)))
+
+
+@query(f"""with {REFS}, {_IMPORT_EDGES.replace(CODE + ', ', '')}, e as (select * from re union all select * from ie), {_BEST}
+select src, dst, kind, weight, row_number() over (partition by src order by weight desc, dst)::int "rank" from best qualify row_number() over (partition by src order by weight desc, dst) <= 6""")
+def top_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The six heaviest links of each file."""
+    return graph.links(graph.best_edges(reference_edges(spark, sf_dir).unionByName(import_edges(spark, sf_dir))))
 
 
 def trade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -555,10 +562,17 @@ def rate_limiter_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- Unions, overrides, invalidation. ---
-@query(f"with {PAGES} select path, {number(low('path'), _PATH_TERMS)}::int path_bonus, 3.0::double * {number(low('path'), _PATH_TERMS)} score from paged where length(html) % 3 <> 0 and {some(low('path'), _PATH_TERMS)}")
+_INDEXED = scored_sql(_PATH_TERMS).replace(DOCS, f"{PAGES}, docs as (select path, html text from paged where length(html) % 3 = 0)")
+
+
+@query(f"""with {_INDEXED} select path, path_bonus::int path_bonus, round(score, 6) score from s where score is not null
+union all select path, {number(low('path'), _PATH_TERMS)}::int, 3.0::double * {number(low('path'), _PATH_TERMS)} from paged where length(html) % 3 <> 0 and {some(low('path'), _PATH_TERMS)}""")
 def path_only_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the pages are indexed, by their length; of the others, paths alone count."""
     p = corpus.of_pages(table(spark, sf_dir, "pages"))
-    return rank.path_only(p.select("path"), p.where(F.length("text") % 3 == 0), _PATH_TERMS)
+    indexed = p.where(F.length("text") % 3 == 0)
+    both = rank.candidates(rank.scored(indexed, _PATH_TERMS), rank.path_only(p.select("path"), indexed, _PATH_TERMS))
+    return both.withColumn("score", F.round("score", 6))
 
 
 @query("select doc_id::varchar path, doc_id % 6 = 0 invalid from documents")

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators import policy as P
@@ -201,14 +202,23 @@ class _Part(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, root: str, texts: bool):
-        self.root, self.texts = root, texts
+    """The root must be the same directory (device and inode) when it is listed and read as when it was loaded:
+    this is checked before and after each partition's walk, where the walk runs."""
+
+    def __init__(self, root: str, texts: bool, identity: str):
+        self.root, self.texts, self.identity = root, texts, identity
+
+    def guard(self) -> None:
+        if identity(self.root) != self.identity:
+            raise RuntimeError("the root was replaced since it was opened")
 
     def partitions(self) -> list[InputPartition]:
+        self.guard()
         tops = sorted(e.name for e in os.scandir(self.root) if e.is_dir(follow_symlinks=False))
         return [_Part(None), *(_Part(t) for t in tops)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
+        self.guard()
         rows = walk(self.root, partition.top, shallow=partition.top is None)
         for path, reason, *stamp in rows:
             if not self.texts:
@@ -218,6 +228,7 @@ class _Reader(DataSourceReader):
             else:
                 text, why, now = read_source(self.root, path)
                 yield path, text, why, *(now or stamp)
+        self.guard()
 
 
 class RepoFiles(DataSource):
@@ -231,7 +242,7 @@ class RepoFiles(DataSource):
         return FILES
 
     def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
-        return _Reader(self.options["path"], texts=False)
+        return _Reader(self.options["path"], False, self.options["identity"])
 
 
 class RepoSources(RepoFiles):
@@ -245,25 +256,35 @@ class RepoSources(RepoFiles):
         return SOURCES
 
     def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
-        return _Reader(self.options["path"], texts=True)
+        return _Reader(self.options["path"], True, self.options["identity"])
 
 
 def load(spark: SparkSession, root: str, texts: bool = True) -> DataFrame:
-    """The tree at root, whose identity (device and inode) is checked before and after it is listed."""
-    before = os.stat(root)
+    """The tree at root, which must still be the same directory whenever it is read."""
+    root = os.path.realpath(root)
     kind = RepoSources if texts else RepoFiles
     spark.dataSource.register(kind)
-    df = spark.read.format(kind.name()).load(os.path.realpath(root))
-    after = os.stat(root)
-    if (before.st_dev, before.st_ino) != (after.st_dev, after.st_ino):
-        raise RuntimeError("the root was replaced while it was opened")
-    return df
+    return spark.read.format(kind.name()).option("identity", identity(root)).load(root)
+
+
+def identity(root: str) -> str:
+    found = os.stat(root)
+    return f"{found.st_dev}:{found.st_ino}"
+
+
+def load_capped(spark: SparkSession, root: str) -> tuple[DataFrame, bool]:
+    """load, but at most MAX_FILES searchable files, and whether a discovery cap cut any."""
+    good, cut = capped(load(spark, root, texts=False))
+    sources = load(spark, root)
+    if not cut:
+        return sources, False
+    # At most MAX_FILES paths.
+    kept = sources.where("reason is null").join(F.broadcast(good.select("path")), "path", "left_semi")
+    return kept.unionByName(sources.where("reason is not null")), True
 
 
 def capped(files: DataFrame) -> tuple[DataFrame, bool]:
     """At most MAX_FILES searchable files by path, and whether that or another discovery cap cut any."""
-    from pyspark.sql import functions as F
-
     good = files.where("reason is null")
     n, entries, size = files.agg(F.count_if(F.col("reason").isNull()), F.count("*"), F.sum(F.octet_length("path"))).first()
     cut = n > MAX_FILES or entries > MAX_ENTRIES or (size or 0) > MAX_PATH_BYTES

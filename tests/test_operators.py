@@ -235,3 +235,50 @@ def test_limiter(spark):
     calls = spark.range(9).select("id", F.lit("a").alias("actor"), F.lit(0).cast("timestamp").alias("ts"))
     assert limiter.limit_calls(calls).where("accepted").count() == 8
     assert limiter.limit_all(calls).where("accepted").count() == 8
+
+
+def test_incomplete_reasons(spark):
+    """Failed reads make the scan incomplete, exclusions don't."""
+    for reason, whole in (("io", False), ("changed", False), ("not_found", False), ("too_large", False), ("hard_linked", False), ("non_utf8", True), ("denied", True), ("binary", True)):
+        rows = [("a.rs", "fn alpha() {}", None), ("b.rs", None, reason)]
+        c = Engine(spark, spark.createDataFrame(rows, "path string, text string, reason string")).context("alpha")
+        assert c.coverage["complete"] == whole
+        assert ("incomplete" in c.text) != whole
+    assert "incomplete" in Engine(spark, corpus(spark, a_rs="fn alpha() {}"), truncated=True).context("alpha").text
+
+
+def test_limits_and_languages(spark):
+    from sourcelens.functions import query as Q
+
+    assert [Q.result_limits(n) for n in (1, 2, 4, 5, 8)] == [(8, 6), (16, 12), (16, 12), (24, 16), (24, 16)]
+    assert [Q.candidate_limit(k) for k in (1, 8, 16, 24, 32)] == [64, 128, 256, 384, 512]
+    assert Q.status(1, False, 0) == "" and "incomplete" in Q.status(1, True, 0) and "excluded" in Q.status(0, False, 1) and Q.status(0, False, 0) == "No match."
+    paths = {"a.rs": "rust", "a.pyi": "python", "b.MJS": "javascript", "c.cts": "typescript", "d.tsx": "tsx", "e.go": "go", "f.txt": None, ".rs": None}
+    rows = spark.createDataFrame([(p,) for p in paths], "path string").select("path", policy.language(F.col("path")).alias("l"))
+    assert {r["path"]: r["l"] for r in rows.collect()} == paths
+    rng = [(c, e, s, t) for c in (0.0, 0.71, 0.72, 0.88) for e in (3, 4, 8, 17) for s in (6, 12, 17) for t in (1, 7)]
+    got = spark.createDataFrame(rng, "c double, e int, s int, t int").select("*", Q.tier_of(F.col("c"), F.col("e"), F.col("s"), F.col("t")).alias("x")).collect()
+    assert all(r["x"] == Q.tier(r["c"], r["e"], r["s"], r["t"]) for r in got)
+
+
+def test_graph_cache():
+    c = graph.GraphCache(2)
+    c.put("a", 1), c.put("b", 2)
+    assert c.get("a") == 1
+    c.put("c", 3)
+    assert c.get("b") is None and c.get("a") == 1 and c.get("c") == 3
+
+
+def test_signature_points(spark):
+    """A term that only the definition's line holds moves the symbol up."""
+    text = "pub fn first() {}\npub fn second(token: u8) {}\n"
+    e = Engine(spark, corpus(spark, a_rs=text))
+    hits = [r.asDict() for r in e.search(__import__("sourcelens.functions.query", fromlist=["x"]).normalize("token")).collect()]
+    assert e.structural_map(hits, ["token"], 6)[0][2] == ["function second 2", "function first 1"]
+
+
+@pytest.mark.parametrize(("line", "want"), [("x Bearer abcdefghij0123456789 y", "x Bearer [REDACTED_CREDENTIAL] y"), ("Basic dXNlcjpwYXNz= z", "Basic [REDACTED_CREDENTIAL] z"), ("Bearer short", "Bearer short"), ("forbearer abcdefghij0123456789", "forbearer abcdefghij0123456789"), ("a bearer aaaaaaaaaaaaaaaa, basic bbbbbbbbbbbb", "a bearer [REDACTED_CREDENTIAL], basic [REDACTED_CREDENTIAL]")])
+def test_bare_schemes(spark, line, want):
+    from sourcelens.functions import redact
+
+    assert one(spark, redact.by_rule(F.col("x"), "scheme"), x=line) == want

@@ -40,3 +40,27 @@ def test_root(tmp_path):
     assert S.project_root(str(project / "src"), home="/nobody") == str(project)
     with pytest.raises(ValueError):
         S.project_root(str(project / "src"), home=str(project))
+
+
+def test_replaced_root(spark, tmp_path):
+    """A root that another directory has taken the place of is refused when it is read, not only when loaded."""
+    root = tmp_path / "r"
+    root.mkdir()
+    tree(str(root))
+    df = S.load(spark, str(root))
+    assert df.count() > 3
+    os.rename(root, tmp_path / "old")
+    root.mkdir()
+    tree(str(root))
+    with pytest.raises(Exception, match="root was replaced"):
+        df.count()
+
+
+def test_discovery_caps(spark, tmp_path, monkeypatch):
+    tree(str(tmp_path))
+    whole, cut = S.load_capped(spark, str(tmp_path))
+    assert not cut and whole.where("text is not null").count() == 5
+    monkeypatch.setattr(S, "MAX_FILES", 2)
+    some, cut = S.load_capped(spark, str(tmp_path))
+    assert cut and [r["path"] for r in some.where("text is not null").orderBy("path").collect()] == [".env.example", "build.rs"]
+    assert some.where("reason is not null").count() == whole.where("reason is not null").count()
