@@ -171,7 +171,8 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
 
     Returns a row for each row of docs (repeated rows repeat): doc_id, ids array<int> (only with ids=True),
     n_tokens, ids_sha256 (of the decimal ids, joined by one space), decoded_sha256 (of the decoded bytes).
-    Null text counts as empty: no ids. The rank file is read on the executors from `path`, which every
+    Null text counts as empty: no ids. An empty table gives no rows. A very long text is encoded in time
+    linear in it, as is a long run without a space. The rank file is read on the executors from `path`, which every
     machine must have. Memory: one codec, its memos (at most MEMO short segments) and one text at a time.
     """
     path, pattern = path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN

@@ -28,6 +28,8 @@ _REST = BLOCKS * WIDTH - WIDTH
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Meetings of at most this many fingerprints are verified pair by pair; larger ones by lookups.
 PAIRWISE = 2048
+#: Fingerprints whose variants one task emits, and as many variants one task meets, at most on average.
+EMITTED_TOGETHER = 25_000
 
 
 def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
@@ -174,12 +176,13 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fingerprint_links(fps: DataFrame) -> DataFrame:
-    """Links a, b between the distinct values of fps.fp at RADIUS or fewer bits: within each component of
+    """Links a, b between the distinct values of fps.fp (a stored table) at RADIUS or fewer bits: within each component of
     close fingerprints, enough links to connect it (no link is lost to a component)."""
-    # Eight bytes a row here, 196 rows each after: AQE mustn't join these partitions by their size.
-    spread = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Eight bytes a row here, 196 rows each after: AQE mustn't join these partitions by their size, so their
+    # number follows from the rows of the stored table.
+    spread = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-fps.count() // EMITTED_TOGETHER))
     keyed = fps.select("fp").distinct().repartition(spread).mapInArrow(_emit, "key bigint, fp bigint")
-    met = keyed.repartition("key").sortWithinPartitions("key")
+    met = keyed.repartition(spread, "key").sortWithinPartitions("key")
     return met.mapInArrow(_verify, "a bigint, b bigint").distinct()
 
 
