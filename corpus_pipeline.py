@@ -41,15 +41,18 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Classes are op7's: fingerprints of three-word shingles that differ in three bits or fewer."""
+    """Classes are op7's: fingerprints of three-word shingles that differ in three bits or fewer. Null and
+    blank texts are one class."""
     return simhash.drop_near_duplicates(docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every span, plain or disguised, becomes its kind in brackets; null and empty texts stay, no row goes."""
     return _counted(pii.redact_documents(docs)).select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each text (null and empty ones have one piece of one id), with its slot."""
     return packing.pack_documents(docs)
 
 
