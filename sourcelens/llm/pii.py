@@ -131,7 +131,9 @@ _WORD = "|".join(sorted(DIGITS, key=len, reverse=True))
 _NUMERAL = rf"(?:(?:{_WORD})(?![^\W\d_])|[0-9]++)"
 _SPELLED = re.compile(rf"(?i)(?<!\w)(?:(?:({PLUSES})[ -]+)?({_NUMERAL}(?:(?:[ -]+|[ ]+(?:{DOTS})[ ]+){_NUMERAL})+))(?![^\W\d_])")
 _SPELLED_PART = re.compile(rf"(?i)({_WORD})(?![^\W\d_])|[ ]+({DOTS})[ ]+|([ -]+)")
-_SPELLED_HINT = re.compile(rf"(?i)(?<!\w)(?:{_WORD})[ -]+(?:(?:{DOTS})[ ]+)?{_NUMERAL}|(?<!\w)(?:{_WORD})[ ]+(?:{DOTS})[ ]|[ ](?:{DOTS})[ ](?:{_WORD}|[0-9])")
+_LETTERS = re.compile(r"[^\W\d_]+")
+#: Of a text in lower case.
+_SPELLED_HINT = re.compile(rf"(?<!\w)(?:{_WORD})[ -]+(?:(?:{DOTS})[ ]+)?{_NUMERAL}|(?<!\w)(?:{_WORD})[ ]+(?:{DOTS})[ ]|[ ](?:{DOTS})[ ](?:{_WORD}|[0-9])")
 _BRACKETED = re.compile(rf"(?i)[ ]?[\[({{<][ ]?(?:(at|@|{AT_SIGNS})|({DOTS}|\.))[ ]?[\])}}>][ ]?")
 #: "at" and "dot" are told from prose by what stands around them; the other words need another of their kind, or an "@".
 _AT_SIGN = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9_%+-]{{1,64}}(?:\.|[ ](?:{DOTS})[ ])){{0,6}}[A-Za-z0-9_%+-]{{1,64}}([ ](?:{AT_SIGNS})[ ])[A-Za-z0-9-]{{1,63}}(?:(?:\.|[ ](?:{DOTS})[ ])[A-Za-z0-9-]{{1,63}}){{1,5}}")
@@ -263,8 +265,8 @@ def normalise(text: str) -> Tape | None:
             edits += [(*m.span(1), "@"), *((*d.span(), ".") for d in _DOT_WORD.finditer(now, m.start(), m.end()))]
         tape.rewrite(sorted(edits))
         now = tape.text
-    ats = list(_AT_DOMAIN.finditer(now))
-    if ats or _DOT_WORD.search(now):
+    ats, dots = list(_AT_DOMAIN.finditer(now)), _DOT_WORD.search(now)
+    if ats or dots:
         edits = {}
         for m in _AT_WORDS.finditer(now):
             edits[m.span(1)] = "@"
@@ -283,7 +285,8 @@ def normalise(text: str) -> Tape | None:
                 edits |= {d.span(): "." for d in _DOT_WORD.finditer(now, m.start(), m.end())}
         tape.rewrite([(*s, edits[s]) for s in sorted(edits)])
         now = tape.text
-    if _SPELLED_HINT.search(now):
+    low = now.lower()
+    if (dots or not DIGITS.keys().isdisjoint(_LETTERS.findall(low))) and _SPELLED_HINT.search(low):
         edits = []
         for m in _SPELLED.finditer(now):
             if not re.search("[A-Za-z]", m[2]):
