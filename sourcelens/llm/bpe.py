@@ -60,10 +60,22 @@ def segments(text: str) -> list[str]:
     """The text cut before every space that a visible character follows, and around lone newlines."""
     if not text:
         return []
+    words, lines = text.split(), text.split("\n")
+    if len(words) == text.count(" ") + len(lines) and sum(map(len, words)) + len(words) == len(text) + 1:
+        # Every gap is one character, none stands at an end, and all are spaces or newlines.
+        out, at = [], 0
+        for line in lines:
+            end = at + line.count(" ") + 1
+            out.append(words[at])
+            out += [f" {w}" for w in words[at + 1 : end]]
+            out.append("\n")
+            at = end
+        out.pop()
+        return out
     if _ODD_SPACE.search(text):
         return [s for s in SEGMENT.split(text) if s]
-    out: list[str] = []
-    for k, line in enumerate([text] if _GAPS.search(text) else text.split("\n")):
+    out = []
+    for k, line in enumerate([text] if _GAPS.search(text) else lines):
         if k:
             out.append("\n")
         first, *rest = line.split(" ")

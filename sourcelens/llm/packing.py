@@ -15,6 +15,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -60,9 +61,11 @@ class SegmentTokenizer:
     def alone(self, parts: list[str]) -> list[bytes]:
         """The ids of each segment. Signs at the end of a word are pieces of their own, so word and signs
         are encoded apart, each once."""
-        cut = {s: s.rstrip(SIGNS) for s in parts}
-        cut = {s: b if b and b[-1].isalnum() else s for s, b in cut.items()}
-        need = {*cut.values(), *(s[len(b) :] for s, b in cut.items() if len(b) < len(s))}
+        apart = {}
+        for s in [s for s in parts if s[-1] in SIGNS]:
+            if (b := s.rstrip(SIGNS)) and b[-1].isalnum():
+                apart[s] = b, s[len(b) :]
+        need = set(parts).difference(apart).union(chain.from_iterable(apart.values()))
         known, young = {}, self.young
         fresh = list(need.difference(young))
         for s in need.difference(fresh):
@@ -82,7 +85,7 @@ class SegmentTokenizer:
                 data = ids.tobytes()
                 starts = [0, *(4 * (at[:-1] + len(gap))).tolist()]
                 known |= {s: data[a:b] for s, a, b in zip(part, starts, (4 * at).tolist(), strict=True)}
-        return [known[s] if len(b) == len(s) else known[b] + known[s[len(b) :]] for s, b in cut.items()]
+        return [known[s] if s not in apart else known[apart[s][0]] + known[apart[s][1]] for s in parts]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
