@@ -81,13 +81,13 @@ class ActorLimit(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         held = [t for (t,) in self.times.get()]
-        for pdf in rows:
-            pdf, seen = pdf.sort_values(["t", "id"]), []
-            for t in pdf["t"]:
-                held = [h for h in held if t - h < self.window]
-                seen.append(len(held) < self.per_actor)
-                held += [t] if seen[-1] else []
-            yield pd.DataFrame({"id": pdf["id"], "actor": key[0], "accepted": seen})
+        # A micro-batch of one actor may come in several pieces, in any order: all of it is put in order.
+        pdf, seen = pd.concat(list(rows)).sort_values(["t", "id"]), []
+        for t in pdf["t"]:
+            held = [h for h in held if t - h < self.window]
+            seen.append(len(held) < self.per_actor)
+            held += [t] if seen[-1] else []
+        yield pd.DataFrame({"id": pdf["id"], "actor": key[0], "accepted": seen})
         if held:
             self.times.put([(t,) for t in held])
 

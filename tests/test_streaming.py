@@ -24,3 +24,24 @@ def test_actor_limit_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = {r["actor"]: r["n"] for r in spark.table("admitted").where("accepted").groupBy("actor").agg(F.count("*").alias("n")).collect()}
     assert got == {"a": 8, "b": 8}
+
+
+def test_pieces_of_a_batch_are_put_in_order():
+    import pandas as pd
+
+    class State:
+        def __init__(self):
+            self.kept = []
+
+        def get(self):
+            return iter(self.kept)
+
+        def put(self, rows):
+            self.kept = rows
+
+    p = limiter.ActorLimit(window=60.0, per_actor=2)
+    p.times = State()
+    pieces = [pd.DataFrame({"t": [100.0, 30.0], "id": [4, 2]}), pd.DataFrame({"t": [10.0, 20.0], "id": [0, 1]})]
+    got = pd.concat(list(p.handleInputRows(("a",), iter(pieces), None)))
+    assert dict(zip(got["id"], got["accepted"])) == {0: True, 1: True, 2: False, 4: True}
+    assert p.times.kept == [(100.0,)]
