@@ -31,7 +31,7 @@ CAPACITY = 2048
 RANKED_TOGETHER = 20_000
 #: Bytes of the young half of the tokenizer's memo, about; when it is full, it becomes the old half. A segment
 #: takes SEGMENT_BYTES (a string, its ids and their place in the table), and more if it is long.
-MEMO_BYTES, SEGMENT_BYTES = 160_000_000, 190
+MEMO_BYTES, SEGMENT_BYTES = 90_000_000, 190
 SIGNS = ".,;:!?*$%&#|"
 SLOTS = "length bigint, low bigint, high bigint, base bigint, per bigint, place bigint"
 
