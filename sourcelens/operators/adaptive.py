@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import policy, rank
+from . import order, policy, rank
 from ..functions import text as T
 
 MIB = 1 << 20
@@ -23,14 +23,15 @@ def sample_hash(path: Column) -> Column:
 
 def lanes(files: DataFrame) -> DataFrame:
     """files (path, path_bonus, changed) with lane and place: changed files and ones whose path holds a
-    term come first, then an eighth by hash, then the rest in turn over the top directories."""
+    term come first, then an eighth by hash, then the rest in turn over the top directories. A lane of any size is split
+    over tasks."""
     h = sample_hash(F.col("path"))
     lane = F.when(F.col("changed") | (F.col("path_bonus") > 0), "priority").when(h % SAMPLE_OF == 0, "sample").otherwise("broad")
     d = files.withColumns({"lane": lane, "h": h, "top": F.split("path", "/")[0]})
-    d = d.withColumn("turn", F.row_number().over(Window.partitionBy("lane", "top").orderBy("path")))
+    d = order.running(d, ["lane", "top"], ["path"], "turn")
     key = lambda name, c: F.when(F.col("lane") == name, c)
-    order = [key("priority", (~F.col("changed")).cast("int")), key("priority", -F.col("path_bonus")), key("sample", F.col("h")), key("broad", F.col("turn")), key("broad", F.col("top")), F.col("path")]
-    return d.withColumn("place", F.row_number().over(Window.partitionBy("lane").orderBy(*order))).drop("h", "top", "turn")
+    by = [key("priority", (~F.col("changed")).cast("int")), key("priority", -F.col("path_bonus")), key("sample", F.col("h")), key("broad", F.col("turn")), key("broad", F.col("top")), F.col("path")]
+    return order.running(d, ["lane"], by, "place").drop("h", "top", "turn")
 
 
 def fit_budget(items: DataFrame, group: str, order: list[str], size: str, budget: int) -> DataFrame:

@@ -56,12 +56,31 @@ def import_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
     return both.select("src", "dst", F.lit("import").alias("kind"), F.lit(WEIGHTS["import"]).alias("weight"))
 
 
+#: Characters of a name by which it is looked up in texts.
+START = 4
+
+
+def _starts(low: Column) -> Column:
+    """What a name of four bytes or more may begin with in the text: runs of START characters, and shorter ones
+    of as many bytes (which need characters beyond ASCII)."""
+    return F.transform(
+        F.array(F.split(low, "")),
+        lambda c: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.size(c)), lambda i: F.filter(F.array(*(F.array_join(F.slice(c, i, k), "") for k in range(1, START + 1))), lambda g: F.octet_length(g) >= 4)))),
+    )[0]
+
+
 def lexical_edges(files: DataFrame, definitions: DataFrame) -> DataFrame:
     """src, dst, kind, weight: the lower-cased text of src contains a name of four bytes or more that dst
-    defines. For the files of one map, at most 16, so the definitions are small enough to send to each."""
+    defines.
+
+    A text that contains a name contains its first four characters, or all of fewer ones: candidates come from
+    an equi join on these. Each text then meets its own candidates once, so no text is joined to all names."""
     d = definitions.select(F.col("path").alias("dst"), T.ascii_lower(F.col("name")).alias("name")).where(F.octet_length("name") >= 4).distinct()
     low = files.select(F.col("path").alias("src"), T.ascii_lower(F.col("text")).alias("low"))
-    hit = low.join(d, (F.col("src") != F.col("dst")) & F.contains("low", F.col("name")))
+    names = d.select("name", F.substring("name", 1, START).alias("start")).distinct()
+    found = low.select("src", F.explode(_starts(F.col("low"))).alias("start")).distinct().join(names, "start")
+    hit = low.join(found.groupBy("src").agg(F.collect_list("name").alias("names")), "src")
+    hit = hit.select("src", F.explode(F.filter("names", lambda n: F.contains("low", n))).alias("name")).distinct().join(d, "name").where("src <> dst")
     return hit.select("src", "dst").distinct().select("src", "dst", F.lit("lexical").alias("kind"), F.lit(WEIGHTS["lexical"]).alias("weight"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import order
 
 #: Limits that a caller may ask for, and the highest frequency kept.
 MAX_TERMS, MAX_GRAMS, MAX_ENTRIES, MAX_TF = 32_768, 16_384, 4_000_000, 65_535
@@ -98,8 +99,8 @@ def apply_delta(index: DataFrame, states: DataFrame, fresh: DataFrame) -> DataFr
 
 def saturated(entries: DataFrame, cap: int = MAX_ENTRIES) -> DataFrame:
     """entries (seq, path, n) with total and kept: documents join the index in order of seq until the
-    running total would pass the cap. One window over document counts, for an index built on one driver."""
-    total = entries.withColumn("total", F.sum("n").over(Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)))
+    running total would pass the cap."""
+    total = order.running(entries, [], ["seq"], "total", F.col("n"))
     return total.withColumn("kept", F.col("total") <= cap)
 
 

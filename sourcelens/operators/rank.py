@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..storage import stored
+from . import order
 
 K1, B = 1.2, 0.75
 CONTENT_BASE = 25
@@ -166,7 +167,7 @@ def evidence(corpus: DataFrame, query: str, terms: list[str], keep: tuple[str, .
 def interleaved(files: DataFrame) -> DataFrame:
     """files with top (the first path component), turn and the order of a round over the components."""
     top_dir = F.split("path", "/")[0]
-    return files.withColumn("top", top_dir).withColumn("turn", F.row_number().over(Window.partitionBy("top").orderBy("path")))
+    return order.running(files.withColumn("top", top_dir), ["top"], ["path"], "turn")
 
 
 def path_only(files: DataFrame, indexed: DataFrame, terms: list[str]) -> DataFrame:

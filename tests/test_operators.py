@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sourcelens.functions import text as T
-from sourcelens.operators import adaptive, graph, index, memory, pack, policy, rank, symbols
+from sourcelens.operators import adaptive, graph, index, memory, order, pack, policy, rank, symbols
 from sourcelens.plans.context import Engine
 from sourcelens.streaming import limiter
 
@@ -282,3 +282,31 @@ def test_bare_schemes(spark, line, want):
     from sourcelens.functions import redact
 
     assert one(spark, redact.by_rule(F.col("x"), "scheme"), x=line) == want
+
+
+def test_running_over_a_hot_key(spark):
+    """Places and sums across ranges: one key holds most rows, others one; null keys are a key."""
+    rows = [("hot", (i * 37) % 500, i % 7) for i in range(500)] + [(k, 1, 5) for k in ("a", "b", None)] + [(None, 2, 6)]
+    got = order.running(spark.createDataFrame(rows, "k string, o int, n int"), ["k"], ["o"], "place")
+    got = order.running(got, ["k"], ["o"], "total", F.col("n")).collect()
+    assert len(got) == len(rows)
+    for k in {r[0] for r in rows}:
+        own = sorted((o, n) for x, o, n in rows if x == k)
+        want = [(o, i + 1, sum(n for _, n in own[: i + 1])) for i, (o, _) in enumerate(own)]
+        assert sorted((r["o"], r["place"], r["total"]) for r in got if r["k"] == k) == want
+    assert order.running(spark.createDataFrame([], "k string, o int"), ["k"], ["o"], "place").count() == 0
+
+
+def test_running_repeats(spark):
+    """Equal rows take different places, and the whole table is one key if there is none."""
+    got = order.running(spark.createDataFrame([(1,)] * 40 + [(0,)], "o int"), [], ["o"], "place").collect()
+    assert sorted((r["o"], r["place"]) for r in got) == [(0, 1)] + [(1, i) for i in range(2, 42)]
+
+
+def test_lexical_edges_by_brute_force(spark):
+    texts = {"a": "Call_Token here; éé and 𝐱", "b": "token", "c": "", "d": None, "e": "x" * 70_000 + "tail_name", "f": "abctoken_abc"}
+    names = [("b", "Token"), ("c", "éé"), ("d", "𝐱"), ("a", "tail_name"), ("f", "abc"), ("e", "token_abc"), ("b", None), ("b", "token"), ("c", "")]
+    files = spark.createDataFrame(list(texts.items()), "path string, text string")
+    got = graph.lexical_edges(files, spark.createDataFrame(names, "path string, name string")).collect()
+    want = {(s, d) for s, t in texts.items() for d, n in names if t and n and s != d and len(n.encode()) >= 4 and n.lower() in t.lower()}
+    assert {(r["src"], r["dst"]) for r in got} == want and len(got) == len(want) and len(want) >= 6
