@@ -18,6 +18,7 @@ def main() -> None:
     args.add_argument("--allow-broad-root", action="store_true")
     args.add_argument("--session")
     args.add_argument("--agent")
+    args.add_argument("--seconds", type=float, help="the time within which there must be an answer")
     given = args.parse_args()
     root = os.path.realpath(given.root) if given.root else files.project_root(os.getcwd())
     if files.is_broad(root, os.path.realpath(os.path.expanduser("~"))) and not given.allow_broad_root:
@@ -26,7 +27,7 @@ def main() -> None:
     spark = SparkSession.builder.master("local[*]").config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     corpus, cut = files.load_capped(spark, root)
-    print(Engine(spark, corpus.cache(), truncated=cut).context(given.query, given.session, given.agent).text)
+    print(Engine(spark, corpus.cache(), truncated=cut).context(given.query, given.session, given.agent, seconds=given.seconds).text)
     spark.stop()
 
 

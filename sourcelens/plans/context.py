@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from ..functions.redact import redact_udf
 from ..functions.text import compact
 from ..operators import adaptive, graph, memory, pack, policy, rank, symbols
 from ..storage import stored
+from .calls import Calls
 
 MAP_FILES = 16
 COLUMNS = ("seq bigint", "session_id string", "agent_id string", "terms array<string>", "paths array<string>")
@@ -36,7 +38,7 @@ class Engine:
         audited = corpus if "reason" in corpus.columns else policy.with_reason(corpus) if apply_policy else corpus.withColumn("reason", F.lit(None).cast("string"))
         self.audit, self.corpus = audited, audited.where(F.col("reason").isNull() & F.col("text").isNotNull()).select("path", "text")
         self.memory = spark.createDataFrame([], ", ".join(COLUMNS))
-        self.seq, self.graphs, self.texts = 0, graph.GraphCache(), None
+        self.seq, self.graphs, self.texts, self.calls = 0, graph.GraphCache(), None, Calls()
 
     def search(self, q: Q.Query, session: str | None = None, agent: str | None = None) -> DataFrame:
         """The query's hits, best first: path, start_line, end_line, excerpt, score, fingerprint.
@@ -97,10 +99,28 @@ class Engine:
             out.append((p, h["score"] + 3 * bonus.get(p, 0.0) + 50 * central[p], names.get(p, []), links))
         return sorted(out, key=lambda e: (-e[1], e[0]))
 
-    def context(self, q: str, session_id: str | None = None, agent_id: str | None = None) -> Context:
-        """Answers q (one to eight terms). Raises QueryError for what isn't a query."""
+    def cancel(self, request: str) -> bool:
+        """Whether this ended the call in flight of that request; its `context` then raises Cancelled."""
+        return self.calls.cancel(request)
+
+    def context(self, q: str, session_id: str | None = None, agent_id: str | None = None, request: str | None = None, seconds: float | None = None) -> Context:
+        """Answers q (one to eight terms). Raises QueryError for what isn't a query, and DeadlineExceeded where
+        there is no answer within `seconds`. A call that is late or cancelled isn't remembered."""
         query = Q.normalize(q)
         session, agent = Q.coordination(session_id, agent_id)
+        call = self.calls.begin(self.spark, request, seconds)
+        try:
+            with call:
+                answer, remembered = self._answer(query, session, agent, call.check)
+                if call.commit() and remembered is not None:
+                    self.seq, self.memory = self.seq + 1, remembered
+        finally:
+            self.calls.end(call)
+        return answer
+
+    def _answer(self, query: Q.Query, session: str | None, agent: str | None, check: Callable[[], None]) -> tuple[Context, DataFrame | None]:
+        """The answer and the memory that holds it; `check` raises once the call has ended."""
+        remembered = None
         terms, (_, n_map) = list(query.terms), Q.result_limits(len(query.terms))
         hits = [r.asDict() for r in self.search(query, session, agent).collect()]
         cover = adaptive.coverage(self.audit.select("path", "reason", F.col("text").isNotNull().alias("indexed"))).first().asDict()
@@ -109,11 +129,12 @@ class Engine:
         table = self.spark.createDataFrame([tuple(h.values()) for h in hits], schema)
         lit = lambda x: F.lit(x)
         sure = adaptive.confidence(table, terms, lit(cover["indexed"]), lit(cover["eligible"]), lit(cut), lit(cover["excluded"])).first()[0]
+        check()
         if hits:
-            self.seq += 1
-            row = [(self.seq, session, agent, terms, [h["path"] for h in hits])]
-            self.memory = self.spark.createDataFrame([tuple(r) for r in memory.remember(self.memory, self.spark.createDataFrame(row, "seq bigint, session_id string, agent_id string, terms array<string>, hits array<string>")).collect()], ", ".join(COLUMNS))
+            row = [(self.seq + 1, session, agent, terms, [h["path"] for h in hits])]
+            remembered = self.spark.createDataFrame([tuple(r) for r in memory.remember(self.memory, self.spark.createDataFrame(row, "seq bigint, session_id string, agent_id string, terms array<string>, hits array<string>")).collect()], ", ".join(COLUMNS))
         entries = self.structural_map(hits, terms, n_map)
+        check()
         scores = {e[0]: e[1] for e in entries}
         bodies = {r[0]: r[1] for r in table.select("path", compact(F.col("excerpt"))).collect()} if hits else {}
         excerpts = [pack.Excerpt(h["path"], h["start_line"], h["end_line"], bodies[h["path"]].rstrip("\n"), scores.get(h["path"], h["score"])) for h in hits]
@@ -123,4 +144,4 @@ class Engine:
         tail = Q.status(len(hits), cut, cover["excluded"])
         used = len((head + block + tail).encode()) + 16
         body = pack.render(excerpts, tokens - Q.estimated_tokens(head + block), size - used)
-        return Context(hits, sure, Q.prefix(f"{head}{block}EVIDENCE\n{body}{tail}", size), cover)
+        return Context(hits, sure, Q.prefix(f"{head}{block}EVIDENCE\n{body}{tail}", size), cover), remembered
