@@ -6,7 +6,7 @@ for each order a sorted array of the hashes it has with their log2 probabilities
 their log2 weights, by which other 4-grams back off. The arrays are a stored table of four rows a language.
 The driver sees the languages' names and the calibration only; a Python worker reads the table once. It holds
 what the languages have and nothing for what they lack. A text goes to the language of least cross-entropy
-per unit.
+per unit. The score's temperature and the limits of rejection, too, come from every training text.
 """
 
 from __future__ import annotations
@@ -23,17 +23,19 @@ import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from ..operators.order import running
+from .common import discard, materialize
 from .warc import store
 
 ORDER = 4
-#: About so many training documents fit the temperature of scores and the rejection limits.
-CALIBRATION = 4000
+#: Temperatures of scores that calibration chooses from.
+TEMPERATURES = (0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0)
 #: Units handled at once.
 CHUNK = 400_000
 SPACE, PAD = 32, "\0" * (ORDER - 1)
-#: Rejected: cross-entropies above this quantile of the language's calibration texts, times SLACK.
-QUANTILE, SLACK = 0.995, 1.1
+#: Rejected: cross-entropies above this quantile of the language's training texts, times SLACK; no limit
+#: for a language of fewer than LEAST texts.
+QUANTILE, SLACK, LEAST = 0.995, 1.1, 20
 UNKNOWN = "und"
 #: The lowest order gives each unit a share of 2**-UNITS.
 UNITS = 12
@@ -247,9 +249,9 @@ class Model:
 def train(labelled: DataFrame) -> Model | None:
     """A model of labelled (lang, text); rows with a null are left out, None if no text is left.
 
-    Counts cover all rows, and the model keeps every 4-gram counted: discounts, totals and continuation
-    counts rest on all of them. One task holds the distinct 4-grams of one language, each worker those of
-    all languages; neither grows with the rows.
+    Counts and calibration cover all rows, and the model keeps every 4-gram counted: discounts, totals and
+    continuation counts rest on all of them. One task holds the distinct 4-grams of one language, each worker
+    those of all languages; neither grows with the rows.
     """
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = materialize(gram_counts(labelled), "lang-grams")
@@ -258,35 +260,53 @@ def train(labelled: DataFrame) -> Model | None:
     if not langs:
         return None
     model = Model(langs, made._stored_at, 0.1, np.full(len(langs), np.inf))
-    docs = labelled.count()
-    share = min(1.0, CALIBRATION / max(docs, 1))
-    sample = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < round(share * 1_000_000))
-    calibrate(model, sample)
+    calibrate(model, labelled)
     return model
 
 
-def calibrate(model: Model, sample: DataFrame) -> None:
-    """Fits the temperature by log loss, and each language's rejection limit, on the sample's numbers."""
-    n_langs = len(model.langs)
+def calibrate(model: Model, labelled: DataFrame) -> None:
+    """Fits the temperature by log loss, and each language's rejection limit, on all texts of labelled.
+
+    A text's cross-entropy under its own language and its loss at each temperature are a stored row. The
+    driver sees the sums of the losses and a row for each language.
+    """
+    at = {x: i for i, x in enumerate(model.langs)}
+    losses = [f"loss_{i}" for i in range(len(TEMPERATURES))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for start, some in chunks(texts):
-                e, n = model.tables().entropies(some)
-                yield pa.RecordBatch.from_arrays([pa.array(langs[start : start + len(some)]), pa.array(list(e), pa.list_(pa.float64())), pa.array(n, pa.int64())], ["lang", "e", "n"])
-
-    rows = sample.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, "lang string, e array<double>, n bigint").where("n > 0").toPandas()
-    if rows.empty:
-        return
-    e, n = np.stack(rows["e"]).reshape(-1, n_langs), rows["n"].to_numpy()
-    truth = rows["lang"].map({x: i for i, x in enumerate(model.langs)}).to_numpy()
-    loss = lambda t: -np.log(np.maximum(model.confidence(e, n, t)[np.arange(len(e)), truth], 1e-9)).mean()
-    model.temperature = min((0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0), key=loss)
-    own = e[np.arange(len(e)), truth]
-    for i in range(n_langs):
-        if (truth == i).sum() >= 20:
-            model.limit[i] = np.quantile(own[truth == i], QUANTILE) * SLACK
+            for k in range(0, b.num_rows, 512):
+                part = b.slice(k, 512).to_pydict()
+                for start, some in chunks(part["text"]):
+                    e, n = model.tables().entropies(some)
+                    there = np.flatnonzero(n)
+                    e, n, langs = e[there], n[there], [part["lang"][start + i] for i in there]
+                    own = np.arange(len(there)), np.array([at[x] for x in langs], int)
+                    loss = [-np.log(np.maximum(model.confidence(e, n, t)[own], 1e-9)) for t in TEMPERATURES]
+                    yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(e[own]), *map(pa.array, loss)], ["lang", "own", *losses])
+
+    rows = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    values = materialize(rows.mapInArrow(run, ", ".join(["lang string", "own double", *(f"{c} double" for c in losses)])), "lang-values")
+    sums = values.agg(*map(F.sum, losses)).first()
+    if sums[0] is not None:
+        model.temperature = TEMPERATURES[int(np.argmin(sums))]
+        for lang, (texts, own) in quantiles(values, QUANTILE).items():
+            if texts >= LEAST:
+                model.limit[at[lang]] = own * SLACK
+    discard(values)
+
+
+def quantiles(values: DataFrame, q: float) -> dict[str, tuple[int, float]]:
+    """For each lang of values (lang, own): its rows, and the quantile q of own, exact, between two values in
+    proportion. Equal values are counted first, and places are running counts over ranges, so that neither a
+    common language nor many copies of a text are one task."""
+    upto = running(values.groupBy("lang", "own").agg(F.count("*").alias("n")), ["lang"], ["own"], "upto", F.col("n"))
+    sizes = values.groupBy("lang").agg(F.count("*").alias("texts"))
+    place = (F.col("texts") - 1) * F.lit(q)
+    low, high = (F.min(F.when(F.col("upto") > edge(place), F.col("own"))) for edge in (F.floor, F.ceil))
+    # A row for each language.
+    found = upto.join(F.broadcast(sizes), "lang").groupBy("lang", "texts").agg(low.alias("low"), high.alias("high"))
+    return {r["lang"]: (r["texts"], r["low"] + (r["high"] - r["low"]) * ((r["texts"] - 1) * q % 1)) for r in found.collect()}
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:

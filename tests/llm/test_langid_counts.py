@@ -98,3 +98,29 @@ def test_long_texts_and_ties(spark, monkeypatch):
     whole = model.tables().entropies(["two three " * 300])[0]
     monkeypatch.setattr(langid, "CHUNK", 100)
     assert np.allclose(model.tables().entropies(["two three " * 300])[0], whole)
+
+
+def test_calibration_is_of_all_texts(spark):
+    """More than 4000 texts, and a language that a share of them would leave with fewer than 20."""
+    rng = random.Random(5)
+    words = {x: ["".join(rng.choices(letters, k=rng.randint(2, 7))) for _ in range(60)] for x, letters in (("en", "etaoinshr"), ("fr", "etaoinsué"))}
+    texts = [(x, " ".join(rng.choices(words[x], k=rng.randint(1, 8)))) for x, n in (("en", 6000), ("fr", 25)) for _ in range(n)]
+    odd = [("en", "".join(rng.choices("qxzjk", k=12))) for _ in range(60)]
+    rows = [*texts, *odd, ("en", ""), ("fr", "12"), ("en", None), (None, "x")]
+    model = langid.train(spark.createDataFrame(rows, "lang string, text string"))
+    e, n = model.tables().entropies([t for _, t in texts + odd])
+    truth = np.array([model.langs.index(x) for x, _ in texts + odd])
+    own = np.arange(len(truth)), truth
+    assert np.allclose(model.limit, [np.quantile(e[own][truth == i], 0.995) * 1.1 for i in range(2)], rtol=1e-9)
+    loss = {t: -np.log(np.maximum(model.confidence(e, n, t)[own], 1e-9)).mean() for t in (0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0)}
+    assert model.temperature == min(loss, key=loss.get)
+
+
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(2)
+    own = {"a": rng.random(1234), "b": np.r_[np.full(3000, 0.25), rng.random(7)], "c": np.array([2.5]), "d": np.array([-1e-16, 0.0, 3.0])}
+    values = spark.createDataFrame([(x, float(v)) for x, vs in own.items() for v in vs], "lang string, own double")
+    for q in (0.0, 0.5, 0.995, 1.0):
+        got = langid.quantiles(values, q)
+        assert {x: n for x, (n, _) in got.items()} == {x: len(v) for x, v in own.items()}
+        assert all(np.isclose(got[x][1], np.quantile(v, q), rtol=1e-12) for x, v in own.items())
