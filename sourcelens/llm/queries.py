@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, line_dedup, merkle, merkle_manifest, packing, periodic, pii, quality_classifier, quality_rules, simhash, warc
+from . import bpe, langid, line_dedup, merkle, merkle_manifest, minhash, packing, periodic, pii, quality_classifier, quality_rules, simhash, warc
 from .common import shared_path, table
 
 
@@ -63,6 +63,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), ids=False)
 
 
+def op11_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     planted = docs.select("doc_id", periodic.with_planted_runs(F.col("text"), F.col("doc_id")).alias("text"))
@@ -74,8 +78,8 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_best_fit_packing, op4_quality_classifier, op5_merkle_fingerprints, op6_pii, op7_simhash, op8_language_id, op9_warc, op10_byte_bpe, op12_periodic_runs, op13_merkle_manifest)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_best_fit_packing, op4_quality_classifier, op5_merkle_fingerprints, op6_pii, op7_simhash, op8_language_id, op9_warc, op10_byte_bpe, op11_hyperminhash, op12_periodic_runs, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL, "op2_quality_rules": quality_rules.SQL, "op5_merkle_fingerprints": merkle.SQL, "op9_warc": warc.SQL, "op13_merkle_manifest": merkle_manifest.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op2_quality_rules": quality_rules.SQL, "op5_merkle_fingerprints": merkle.SQL, "op9_warc": warc.SQL, "op11_hyperminhash": minhash.SQL, "op13_merkle_manifest": merkle_manifest.SQL}
