@@ -6,7 +6,9 @@ for each order a sorted array of the hashes it has with their log2 probabilities
 their log2 weights, by which other 4-grams back off. The arrays are a stored table of four rows a language.
 The driver sees the languages' names and the calibration only; a Python worker reads the table once. It holds
 what the languages have and nothing for what they lack. A text goes to the language of least cross-entropy
-per unit. The score's temperature and the limits of rejection, too, come from every training text.
+per unit. The score's temperature and the limits of rejection, too, come from every training text, and each is
+scored by a model that was counted without it: texts are dealt into FOLDS by a hash, and for each fold there is
+a model of the others' counts. Copies of a text share a fold.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.order import running
-from .common import discard, materialize
+from .common import discard, materialize, shared_path
 from .warc import store
 
 ORDER = 4
@@ -33,9 +35,13 @@ TEMPERATURES = (0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0)
 #: Units handled at once.
 CHUNK = 400_000
 SPACE, PAD = 32, "\0" * (ORDER - 1)
-#: Rejected: cross-entropies above this quantile of the language's training texts, times SLACK; no limit
-#: for a language of fewer than LEAST texts.
-QUANTILE, SLACK, LEAST = 0.995, 1.1, 20
+#: Rejected: cross-entropies above this quantile of the language's training texts, each scored without itself.
+#: A language of fewer texts than show that quantile has a bound from their spread, one of fewer than LEAST none.
+QUANTILE, LEAST = 0.995, 20
+#: Training texts are scored by models of the other folds; model FOLDS is of all.
+FOLDS = 4
+#: Grams of one stored row.
+SHARD = 250_000
 UNKNOWN = "und"
 #: The lowest order gives each unit a share of 2**-UNITS.
 UNITS = 12
@@ -84,10 +90,10 @@ def chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
 
 
 def gram_counts(labelled: DataFrame) -> DataFrame:
-    """lang, gram, n over all of labelled (lang, text), neither null. Each task sums before the shuffle."""
+    """lang, fold, gram, n over all of labelled (lang, fold, text), none null. Each task sums before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
         size = 0
 
         def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -95,22 +101,22 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
             return keys, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for lang, parts in held.items():
+            for (lang, fold), parts in held.items():
                 keys, n = summed(parts)
                 for k in range(0, len(keys), 50_000):
                     m = len(keys[k : k + 50_000])
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * m), pa.array(keys[k : k + 50_000].view(np.int64)), pa.array(n[k : k + 50_000])], ["lang", "gram", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * m), pa.array([fold] * m, pa.int32()), pa.array(keys[k : k + 50_000].view(np.int64)), pa.array(n[k : k + 50_000])], ["lang", "fold", "gram", "n"])
             held.clear()
 
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512).to_pydict()
-                by: dict[str, list[str]] = {}
-                for lang, text in zip(part["lang"], part["text"], strict=True):
-                    by.setdefault(lang, []).append(text)
-                for lang, texts in by.items():
+                by: dict[tuple[str, int], list[str]] = {}
+                for lang, fold, text in zip(part["lang"], part["fold"], part["text"], strict=True):
+                    by.setdefault((lang, fold), []).append(text)
+                for key, texts in by.items():
                     for _, some in chunks(texts):
-                        parts = held.setdefault(lang, [])
+                        parts = held.setdefault(key, [])
                         parts.append(np.unique(windows(some)[0], return_counts=True))
                         size += len(parts[-1][0])
                         if len(parts) > 8:
@@ -122,8 +128,13 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
                     size = 0
         yield from flush()
 
-    rows = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return labelled.select("lang", "fold", "text").mapInArrow(run, "lang string, fold int, gram bigint, n bigint").groupBy("lang", "fold", "gram").agg(F.sum("n").alias("n"))
+
+
+def folded(labelled: DataFrame) -> DataFrame:
+    """lang, fold, text of labelled's rows without a null. A text's fold follows from the text."""
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    return rows.select("lang", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"), "text")
 
 
 class _Kneser:
@@ -160,20 +171,23 @@ class _Kneser:
         return np.where(known, direct + weight[c] * lower, lower)
 
 
-TABLES = "lang string, level int, keys binary, logs binary, contexts binary, weights binary"
+TABLES = "model int, lang string, level int, part int, keys binary, logs binary, contexts binary, weights binary"
 
 
 def _tables(counts: pa.Table) -> pa.Table:
-    """The stored rows of one language, from its rows of gram_counts."""
+    """The stored rows of one language's model, from its grams and counts: for each level, runs of SHARD grams and
+    contexts in order."""
     keys, n = counts["gram"].to_numpy().view(np.uint64), counts["n"].to_numpy()
     order = np.argsort(keys)
-    model, lang = _Kneser(keys[order], n[order]), counts["lang"][0].as_py()
+    model, lang, number = _Kneser(keys[order], n[order]), counts["lang"][0].as_py(), counts["model"][0].as_py()
     rows = []
     for order in range(ORDER, 0, -1):
         own, _, _, context, *_ = model.levels[order]
-        logs, weights = np.log2(model.probability(order, own)).astype("<f4"), np.log2(model.backoff(order, context)).astype("<f4")
-        rows.append({"lang": lang, "level": ORDER - order, "keys": own.tobytes(), "logs": logs.tobytes(), "contexts": context.tobytes(), "weights": weights.tobytes()})
-    return pa.Table.from_pylist(rows, pa.schema([("lang", pa.string()), ("level", pa.int32()), *((c, pa.binary()) for c in ("keys", "logs", "contexts", "weights"))]))
+        arrays = {"keys": own, "logs": np.log2(model.probability(order, own)).astype("<f4"), "contexts": context, "weights": np.log2(model.backoff(order, context)).astype("<f4")}
+        for part, k in enumerate(range(0, len(own), SHARD)):  # there are no more contexts than grams
+            rows.append({"model": number, "lang": lang, "level": ORDER - order, "part": part} | {c: x[k : k + SHARD].tobytes() for c, x in arrays.items()})
+    kinds = [("model", pa.int32()), ("lang", pa.string()), ("level", pa.int32()), ("part", pa.int32()), *((c, pa.binary()) for c in ("keys", "logs", "contexts", "weights"))]
+    return pa.Table.from_pylist(rows, pa.schema(kinds))
 
 
 class Tables:
@@ -181,16 +195,21 @@ class Tables:
 
     def __init__(self, rows: list[dict], langs: list[str]):
         self.langs = langs
-        at = {x: i for i, x in enumerate(langs)}
-        self.levels: list[list] = [[None] * ORDER for _ in langs]
-        for r in rows:
-            self.levels[at[r["lang"]]][r["level"]] = tuple(np.frombuffer(r[c], t) for c, t in (("keys", "<u8"), ("logs", "<f4"), ("contexts", "<u8"), ("weights", "<f4")))
+        held: dict[tuple[str, int], list[dict]] = {}
+        for r in sorted(rows, key=lambda r: r["part"]):
+            held.setdefault((r["lang"], r["level"]), []).append(r)
+        whole = lambda parts, c, t: np.frombuffer(b"".join(p[c] for p in parts), t)
+        of = (("keys", "<u8"), ("logs", "<f4"), ("contexts", "<u8"), ("weights", "<f4"))
+        # A fold's model lacks a language whose texts are all in that fold.
+        self.levels = [[tuple(whole(held.get((x, level), ()), c, t) for c, t in of) for level in range(ORDER)] for x in langs]
 
     def logs(self, lang: int, keys: np.ndarray, level: int = 0) -> np.ndarray:
         """log2 probabilities of sorted keys in one language."""
         if level == ORDER:
             return np.full(len(keys), -np.float32(UNITS))
         own, values, contexts, weights = self.levels[lang][level]
+        if not len(own):
+            return np.full(len(keys), -np.float32(UNITS))
         at, there = _Kneser.find(own, keys)
         out = values[at]
         if not there.all():
@@ -215,11 +234,11 @@ class Tables:
         return bits / np.maximum(n, 1)[:, None], n
 
 
-@lru_cache(maxsize=1)
-def _load(path: str, langs: tuple[str, ...]) -> Tables:
-    """Reads the stored table, in a worker."""
-    fs, folder = store(path)
-    files = [f.path for f in fs.get_file_info(pafs.FileSelector(folder)) if f.path.endswith(".parquet")]
+@lru_cache(maxsize=FOLDS)
+def _load(path: str, langs: tuple[str, ...], number: int) -> Tables:
+    """Reads one model of the stored table, in a worker."""
+    fs, folder = store(f"{path}/model={number}")
+    files = [f.path for f in fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True)) if f.path.endswith(".parquet")]
     rows = []
     for f in sorted(files):
         with fs.open_input_file(f) as source:
@@ -236,8 +255,9 @@ class Model:
     temperature: float
     limit: np.ndarray
 
-    def tables(self) -> Tables:
-        return _load(self.path, tuple(self.langs))
+    def tables(self, number: int = FOLDS) -> Tables:
+        """Of the model of all texts, or of those outside fold `number`."""
+        return _load(self.path, tuple(self.langs), number)
 
     def confidence(self, entropies: np.ndarray, n: np.ndarray, temperature: float) -> np.ndarray:
         """The softmax of log likelihoods times temperature; long texts count as 1000 units."""
@@ -250,22 +270,28 @@ def train(labelled: DataFrame) -> Model | None:
     """A model of labelled (lang, text); rows with a null are left out, None if no text is left.
 
     Counts and calibration cover all rows, and the model keeps every 4-gram counted: discounts, totals and
-    continuation counts rest on all of them. One task holds the distinct 4-grams of one language, each worker
-    those of all languages; neither grows with the rows.
+    continuation counts rest on all of them. One task holds the distinct 4-grams of one language; each worker
+    those of all languages, and while it calibrates FOLDS times as many.
     """
-    labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    labelled = folded(labelled)
     counts = materialize(gram_counts(labelled), "lang-grams")
-    made = materialize(counts.groupBy("lang").applyInArrow(_tables, TABLES), "lang-model")
-    langs = sorted(r["lang"] for r in made.where("level = 0").select("lang").collect())
+    models = F.filter(F.sequence(F.lit(0), F.lit(FOLDS)), lambda m: m != F.col("fold"))  # all others' and the whole one
+    summed = counts.withColumn("model", F.explode(models)).groupBy("lang", "model", "gram").agg(F.sum("n").alias("n"))
+    made = summed.groupBy("lang", "model").applyInArrow(_tables, TABLES)
+    path = shared_path(labelled.sparkSession, "lang-model")
+    made.write.partitionBy("model").parquet(path)
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    discard(counts)
     if not langs:
         return None
-    model = Model(langs, made._stored_at, 0.1, np.full(len(langs), np.inf))
+    model = Model(langs, path, 0.1, np.full(len(langs), np.inf))
     calibrate(model, labelled)
     return model
 
 
 def calibrate(model: Model, labelled: DataFrame) -> None:
-    """Fits the temperature by log loss, and each language's rejection limit, on all texts of labelled.
+    """Fits the temperature by log loss, and each language's rejection limit, on all texts of labelled (lang,
+    fold, text), each scored by the model of the other folds.
 
     A text's cross-entropy under its own language and its loss at each temperature are a stored row. The
     driver sees the sums of the losses and a row for each language.
@@ -275,27 +301,38 @@ def calibrate(model: Model, labelled: DataFrame) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 512):
-                part = b.slice(k, 512).to_pydict()
-                for start, some in chunks(part["text"]):
-                    e, n = model.tables().entropies(some)
-                    there = np.flatnonzero(n)
-                    e, n, langs = e[there], n[there], [part["lang"][start + i] for i in there]
-                    own = np.arange(len(there)), np.array([at[x] for x in langs], int)
-                    loss = [-np.log(np.maximum(model.confidence(e, n, t)[own], 1e-9)) for t in TEMPERATURES]
-                    yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(e[own]), *map(pa.array, loss)], ["lang", "own", *losses])
-
-    rows = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    values = materialize(rows.mapInArrow(run, ", ".join(["lang string", "own double", *(f"{c} double" for c in losses)])), "lang-values")
+            for k in range(0, b.num_rows, 2048):
+                part = b.slice(k, 2048).to_pydict()
+                for fold in sorted({*part["fold"]}):
+                    own = [i for i, f in enumerate(part["fold"]) if f == fold]
+                    for start, some in chunks([part["text"][i] for i in own]):
+                        e, n = model.tables(fold).entropies(some)
+                        there = np.flatnonzero(n)
+                        e, n, langs = e[there], n[there], [part["lang"][own[start + i]] for i in there]
+                        true = np.arange(len(there)), np.array([at[x] for x in langs], int)
+                        loss = [-np.log(np.maximum(model.confidence(e, n, t)[true], 1e-9)) for t in TEMPERATURES]
+                        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(e[true]), *map(pa.array, loss)], ["lang", "own", *losses])
+
+    values = materialize(labelled.mapInArrow(run, ", ".join(["lang string", "own double", *(f"{c} double" for c in losses)])), "lang-values")
     sums = values.agg(*map(F.sum, losses)).first()
     if sums[0] is not None:
         model.temperature = TEMPERATURES[int(np.argmin(sums))]
-        for lang, (texts, own) in quantiles(values, QUANTILE).items():
-            if texts >= LEAST:
-                model.limit[at[lang]] = own * SLACK
+        known = quantiles(values, QUANTILE)
+        for r in values.groupBy("lang").agg(F.avg("own").alias("mean"), F.stddev("own").alias("sd"), F.max("own").alias("most")).collect():
+            texts, own = known[r["lang"]]
+            model.limit[at[r["lang"]]] = limit(texts, own, r["mean"], r["sd"], r["most"])
     discard(values)
 
 
+def limit(texts: int, quantile: float, mean: float, sd: float | None, most: float) -> float:
+    """The cross-entropy above which a text is rejected. A new text exceeds the greatest of n with a chance of
+    1 / (n + 1), so the quantile shows from n = 1 / (1 - QUANTILE) on; for fewer texts, the limit is three
+    standard deviations (of a new value about the mean of n) above the greatest, and infinite below LEAST."""
+    if texts < LEAST:
+        return np.inf
+    return quantile if texts * (1 - QUANTILE) >= 1 else most + 3 * sd * np.sqrt(1 + 1 / texts)
+
+
 def quantiles(values: DataFrame, q: float) -> dict[str, tuple[int, float]]:
     """For each lang of values (lang, own): its rows, and the quantile q of own, exact, between two values in
     proportion. Equal values are counted first, and places are running counts over ranges, so that neither a

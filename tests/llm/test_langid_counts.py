@@ -4,6 +4,7 @@ import unicodedata
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sourcelens.llm import common, langid
@@ -100,22 +101,63 @@ def test_long_texts_and_ties(spark, monkeypatch):
     assert np.allclose(model.tables().entropies(["two three " * 300])[0], whole)
 
 
-def test_calibration_is_of_all_texts(spark):
-    """More than 4000 texts, and a language that a share of them would leave with fewer than 20."""
+def kneser_table(texts_by_lang, langs):
+    rows = []
+    for lang, texts in texts_by_lang.items():
+        keys, n = np.unique(np.concatenate([langid.windows([t])[0] for t in texts]), return_counts=True)
+        rows += langid._tables(pa.table({"lang": [lang] * len(keys), "model": pa.array([0] * len(keys), pa.int32()), "gram": keys.view(np.int64), "n": n})).to_pylist()
+    return langid.Tables(rows, langs)
+
+
+def test_calibration_leaves_each_text_out(spark):
+    """More than 4000 texts, and a language of few; each text is scored by a model of the other folds."""
     rng = random.Random(5)
     words = {x: ["".join(rng.choices(letters, k=rng.randint(2, 7))) for _ in range(60)] for x, letters in (("en", "etaoinshr"), ("fr", "etaoinsué"))}
-    texts = [(x, " ".join(rng.choices(words[x], k=rng.randint(1, 8)))) for x, n in (("en", 6000), ("fr", 25)) for _ in range(n)]
-    odd = [("en", "".join(rng.choices("qxzjk", k=12))) for _ in range(60)]
-    rows = [*texts, *odd, ("en", ""), ("fr", "12"), ("en", None), (None, "x")]
-    model = langid.train(spark.createDataFrame(rows, "lang string, text string"))
-    e, n = model.tables().entropies([t for _, t in texts + odd])
-    truth = np.array([model.langs.index(x) for x, _ in texts + odd])
-    own = np.arange(len(truth)), truth
-    assert np.allclose(model.limit, [np.quantile(e[own][truth == i], 0.995) * 1.1 for i in range(2)], rtol=1e-9)
-    loss = {t: -np.log(np.maximum(model.confidence(e, n, t)[own], 1e-9)).mean() for t in (0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0)}
+    texts = [(x, " ".join(rng.choices(words[x], k=rng.randint(1, 8)))) for x, n in (("en", 4200), ("fr", 25)) for _ in range(n)]
+    texts += [("en", "".join(rng.choices("qxzjk", k=12))) for _ in range(60)]
+    df = spark.createDataFrame([*texts, ("en", ""), ("fr", "12"), ("en", None), (None, "x")], "lang string, text string")
+    model = langid.train(df)
+    folds = [(r["lang"], r["fold"], r["text"]) for r in langid.folded(df).collect()]
+    assert {f for _, f, _ in folds} == set(range(langid.FOLDS)) and len(folds) == len(texts) + 2
+    own, loss = {x: [] for x in model.langs}, Counter()
+    for f in range(langid.FOLDS):
+        others = {x: [t for lang, k, t in folds if lang == x and k != f] for x in model.langs}
+        tables, held = kneser_table(others, model.langs), [(lang, t) for lang, k, t in folds if k == f]
+        e, n = tables.entropies([t for _, t in held])
+        for i, (lang, _) in enumerate(held):
+            if n[i]:
+                k = model.langs.index(lang)
+                own[lang].append(e[i, k])
+                for t in langid.TEMPERATURES:
+                    loss[t] -= np.log(max(model.confidence(e[i : i + 1], n[i : i + 1], t)[0, k], 1e-9))
+    assert math.isclose(model.limit[0], np.quantile(own["en"], 0.995), rel_tol=1e-6)
+    assert math.isclose(model.limit[1], max(own["fr"]) + 3 * np.std(own["fr"], ddof=1) * math.sqrt(1 + 1 / len(own["fr"])), rel_tol=1e-5)
     assert model.temperature == min(loss, key=loss.get)
 
 
+def test_held_out_rejections(spark):
+    """The share of right texts that are rejected, with many and with few training texts."""
+    data = "/root/testdata/sf0.1"
+    docs = common.table(spark, data, "documents").where("lang is not null").withColumn("r", F.crc32(F.col("doc_id").cast("string").cast("binary")))
+    held = docs.where("r % 4 = 2")
+    for learn, most in ((docs.where("r % 4 <> 2"), 0.01), (docs.where("r % 4 <> 2 and r % 20 = 1"), 0.02)):
+        got = langid.identify(held, langid.train(learn.select("lang", "text"))).join(held.select("doc_id", "lang"), "doc_id")
+        sums = got.where("lang = lang_pred").agg(F.count("*").alias("n"), F.count_if("rejected").alias("out")).first()
+        assert sums["n"] > 2000 and sums["out"] <= most * sums["n"], sums
+
+
+def test_forty_shards_are_one(monkeypatch):
+    texts = {"en": ["the cat sat on the mat", "a hat and a bat", "words of many kinds stand here"], "de": ["der Hund und die Katze"]}
+    langs = ["de", "en", "xx"]  # of xx there is nothing
+    whole = kneser_table(texts, langs)
+    monkeypatch.setattr(langid, "SHARD", 2)
+    cut = kneser_table(texts, langs)
+    e, f = (t.entropies(["the hat of words", "Hund", "éé"])[0] for t in (whole, cut))
+    assert np.array_equal(e, f) and np.allclose(e[:, 2], langid.UNITS)
+    rows = langid._tables(pa.table({"lang": ["en"] * 100, "model": pa.array([0] * 100, pa.int32()), "gram": np.arange(100) << 16, "n": np.ones(100, np.int64)})).to_pylist()
+    assert max(r["part"] for r in rows) == 49
+
+
 def test_quantiles_are_exact(spark):
     rng = np.random.default_rng(2)
     own = {"a": rng.random(1234), "b": np.r_[np.full(3000, 0.25), rng.random(7)], "c": np.array([2.5]), "d": np.array([-1e-16, 0.0, 3.0])}
