@@ -219,7 +219,9 @@ def build_manifest(rows: DataFrame, group: str, order: str, leaf: Column, other:
     counts = hashed.groupBy("group").agg(F.count("*").alias("size"))
     groups = running(counts, [], [F.col("group").asc_nulls_first()], "g")  # one row for each group
     groups = materialize(groups.select("group", F.col("g").cast("bigint"), F.col("size").cast("bigint")), "manifest-groups")
-    placed = running(hashed, ["group"], [F.col("by").asc_nulls_first(), "digest", "other"], "place").withColumn("place", (F.col("place") - 1).cast("bigint"))
+    # 60 bits of the leaf: ranges are sampled by these columns, so they're kept short.
+    tie = F.conv(F.substring("digest", 1, 15), 16, 10).cast("bigint")
+    placed = running(hashed, ["group"], [F.col("by").asc_nulls_first(), tie], "place").withColumn("place", (F.col("place") - 1).cast("bigint"))
     g = groups.withColumnRenamed("group", "named")
     placed = materialize(placed.join(g, F.col("group").eqNullSafe(F.col("named"))).select("g", "place", "size", "digest", "other", *own), "manifest-placed")
     discard(hashed)
