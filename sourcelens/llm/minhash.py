@@ -13,8 +13,9 @@ registers, which follows from the sets' sizes.
    corrected estimate (six standard deviations below the threshold) rule a link out go; the rest is verified on
    full sets, and links give components.
 3. What may still be missed are links within a band between members of different components. Only bands that
-   hold such members go on: their registers are compared block by block in tasks of bounded size, pairs that the
-   estimate can't rule out are verified, best ones first, as most of the others are in one component then.
+   hold such members go on, cut into blocks, and two blocks are a task of bounded size: there, pairs of
+   different components that the estimate can't rule out are verified on full sets, likeliest first, until the
+   components are connected. Links come out, not pairs, at most one for each two components of a task.
 
 Equal sets are one set before anything is emitted. No pair of a band is left out and no band is cut.
 """
@@ -36,8 +37,8 @@ SHINGLE, PERCENT = 2, 80
 #: Buckets are 2 ** BITS; a band is ROWS registers.
 BITS, MANTISSA, ROWS = 9, 10, 8
 BUCKETS = 1 << BITS
-#: Members of a band compared at once, and standard deviations that an estimate is trusted within.
-BLOCK, SIGMAS = 512, 6.0
+#: Members of a block (a task holds two, some megabytes; a set is copied once for each block of its band), and standard deviations that an estimate is trusted within.
+BLOCK, SIGMAS = 1024, 6.0
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _K = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -226,49 +227,66 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _compare(percent: int):  # noqa: ANN202
-    """For two blocks of one band: pairs of different components that may link."""
+def _joined(percent: int, shingle: int):  # noqa: ANN202
+    """For two blocks of one band: links that connect sets of different components, found on the full sets.
+
+    A pair that meets in several bands is looked at in the first of them only, and not at all once its
+    components are connected here, so what comes out is a forest. Sets are made when an estimate asks for them."""
 
     def run(table: pa.Table) -> pa.Table:
-        side, sid, comp, n = (table[c].to_numpy() for c in ("side", "sid", "comp", "n"))
-        regs = _regs(table["regs"].combine_chunks())
+        side, sid, root, n = (table[c].to_numpy() for c in ("side", "sid", "comp", "n"))
+        regs, texts, band = _regs(table["regs"].combine_chunks()), table["text"], np.uint64(table["band"][0].as_py() % (1 << 64))
+        keys, root, sets, found = band_keys(regs), root.copy(), {}, []
         left, right = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
-        found = []
-        for i in left:
-            to = right[(comp[right] != comp[i]) & ((side[i] != 0) | (sid[right] > sid[i]))]
+
+        def of(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingle_set(texts[i].as_py(), shingle)
+            return sets[i]
+
+        for i in left.tolist():
+            to = right[(root[right] != root[i]) & ((side[i] != 0) | (sid[right] > sid[i]))]
             to = to[100 * np.minimum(n[to], n[i]) >= percent * np.maximum(n[to], n[i])]
-            if len(to):
-                same, filled = agreement(regs[i], regs[to])
-                estimate, ok = may_link(same, filled, n[i : i + 1], n[to], percent)
-                a, b = np.minimum(sid[i], sid[to[ok]]), np.maximum(sid[i], sid[to[ok]])
-                found.append((a, b, estimate[ok]))
-        columns = [np.concatenate([f[k] for f in found]) if found else np.empty(0, t) for k, t in enumerate((np.int64, np.int64, np.float64))]
-        return pa.table(columns, ["a", "b", "estimate"])
+            if not len(to):
+                continue
+            first = (keys[to] == keys[i]).argmax(axis=1)
+            to = to[keys[i, first] == band]
+            estimate, ok = may_link(*agreement(regs[i], regs[to]), n[i : i + 1], n[to], percent)
+            for j in to[ok][np.argsort(-estimate[ok], kind="stable")].tolist():
+                if root[j] == root[i]:
+                    continue
+                both = len(np.intersect1d(of(i), of(j), assume_unique=True))
+                if 100 * both >= percent * (n[i] + n[j] - both):
+                    found.append((int(sid[i]), int(sid[j])))
+                    root[root == root[j]] = root[i]
+        return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
 
-def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, estimate: pairs of members (band, sid, comp, size) of one band but different components that may
-    link. A band is cut into blocks by a hash of the set, and each two blocks are a task."""
+def _across(members: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links a, b between members (band, sid, comp, size) of one band but different components. A band is cut
+    into blocks by a hash of the set, and each two blocks are a task."""
+    spread = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     cut = members.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("sid"), blocks).cast("int")})
     # A block meets itself (side 0), and each other one once (-1: the lower one, 1: the upper one).
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"), F.when(o == F.col("block"), 0).when(F.col("block") < o, -1).otherwise(1).alias("side")))
     dealt = cut.select("band", "sid", "comp", F.explode(meets).alias("m")).select("band", "sid", "comp", "m.*")
-    rows = dealt.join(sets.select("sid", "n", "regs"), "sid")
-    return rows.groupBy("band", "i", "j").applyInArrow(_compare(percent), "a bigint, b bigint, estimate double").groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
+    rows = dealt.join(sets.select("sid", "n", "regs"), "sid").join(texts.select("sid", F.col("text").cast("binary").alias("text")), "sid")
+    # As many tasks as asked for: few bytes take long here, so AQE mustn't join partitions by their size.
+    return rows.repartition(spread, "band", "i", "j").groupBy("band", "i", "j").applyInArrow(_joined(percent, shingle), "a bigint, b bigint")
 
 
-def _named(sids: DataFrame, links: DataFrame) -> DataFrame:
-    """sid, comp of all sids under links (a, b)."""
+def _named(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """sid, comp of nodes (sid) under links (a, b)."""
     roots = star_components(links, "minhash-components")
-    return sids.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select("sid", F.coalesce("root", "sid").alias("comp"))
+    return nodes.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select("sid", F.coalesce("root", "sid").alias("comp"))
 
 
-def set_links(sets: DataFrame, docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Links a, b between sets (sid, text_key, n, regs; a stored table of distinct sets, none empty), enough to
-    connect each component. docs (doc_id, text) has a text for each text_key."""
+def components(sets: DataFrame, docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """sid, comp (the least sid of the component) of sets (sid, text_key, n, regs; a stored table of distinct sets,
+    none empty). docs (doc_id, text) has a text for each text_key."""
     emitted = sets.select("sid", "regs").mapInArrow(_emit, "band bigint, sid bigint")
     pivots = emitted.groupBy("band").agg(F.min("sid").alias("pivot"), F.count("*").alias("size")).where("size > 1")
     met = materialize(emitted.join(pivots, "band"), "minhash-met")
@@ -278,24 +296,20 @@ def set_links(sets: DataFrame, docs: DataFrame, shingle: int = SHINGLE, percent:
     # Copies of a text are one row before they are shuffled.
     known = _keyed(docs.select("doc_id", "text")).groupBy("text_key").agg(F.first("text").alias("text"))
     texts = materialize(own.select("sid", "text_key").join(known, "text_key").select("sid", "text"), "minhash-texts")
-    links = materialize(_verified(likely, texts, shingle, percent), "minhash-links")
+    named = materialize(_named(own.select("sid"), _verified(likely, texts, shingle, percent)), "minhash-named")
 
     # Bands whose members are not yet of one component; of two members, the pair has been looked at.
-    named = materialize(_named(own.select("sid"), links), "minhash-named")
     open_ = met.where("size > 2").join(named, "sid")
     mixed = open_.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band")
-    rest = materialize(_across(open_.join(mixed, "band").select("band", "sid", "comp", "size"), own, percent), "minhash-rest")
-    for old in (met, likely):
-        discard(old)
-    # The likeliest pair of each set and other component first; most of the others are in one component then.
+    more = materialize(_across(open_.join(mixed, "band").select("band", "sid", "comp", "size"), own, texts, shingle, percent), "minhash-more")
+    # Components are the nodes now, so there are few.
     comp = lambda x: named.select(F.col("sid").alias(x), F.col("comp").alias(f"comp_{x}"))
-    across = rest.join(comp("a"), "a").join(comp("b"), "b")
-    first = across.groupBy(F.least("comp_a", "comp_b"), F.greatest("comp_a", "comp_b")).agg(F.max(F.struct("estimate", "a", "b")).alias("x")).select("x.a", "x.b")
-    more = materialize(_verified(first, texts, shingle, percent), "minhash-links")
-    links = links.unionByName(more)
-    named = materialize(_named(own.select("sid"), links), "minhash-named")
-    left = rest.join(comp("a"), "a").join(comp("b"), "b").where("comp_a <> comp_b").join(first, ["a", "b"], "left_anti")
-    return links.unionByName(_verified(left, texts, shingle, percent))
+    between = more.join(comp("a"), "a").join(comp("b"), "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
+    least = _named(named.select(F.col("comp").alias("sid")).distinct(), between)
+    final = materialize(named.join(least.select(F.col("sid").alias("comp"), F.col("comp").alias("least")), "comp").select("sid", F.col("least").alias("comp")), "minhash-final")
+    for old in (met, own, likely, texts, named, more):
+        discard(old)
+    return sets.select("sid").join(final, "sid", "left").select("sid", F.coalesce("comp", "sid").alias("comp"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -311,7 +325,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     some = prints.where("n > 0")
     one = some.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("text_key", "n", "regs")).alias("x"))
     sets = materialize(one.select(F.monotonically_increasing_id().alias("sid"), "set_key", "doc_id", "x.*"), "minhash-distinct")
-    named = _named(sets.select("sid"), set_links(sets, docs, shingle, percent))
+    named = components(sets, docs, shingle, percent)
     classes = sets.select("sid", "set_key", "doc_id").join(named, "sid")
     least = classes.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     of_set = classes.join(least, "comp").select("set_key", "component_id")

@@ -46,7 +46,7 @@ def edited(rng, words, share):
     return [rng.choice("xyzuvw") + str(rng.randrange(10**6)) if rng.random() < share else w for w in words]
 
 
-@pytest.mark.parametrize("block", [7, 512])
+@pytest.mark.parametrize("block", [7, 1024])
 def test_against_all_pairs(spark, monkeypatch, block):
     """A large group of near copies around the threshold, chains, small sets, and unrelated texts."""
     monkeypatch.setattr(M, "BLOCK", block)
