@@ -49,6 +49,7 @@ _COOKIE = re.compile(r"(?i)(?<![A-Za-z0-9])(?:set-)?cookie:[ \t]*(?=[^ \t])")
 _KEY = re.compile(r"(?i)(?<![A-Za-z0-9])(?:" + "|".join(sorted(KEYS, key=len, reverse=True)) + r")(?![A-Za-z0-9_])")
 _SEPARATED = re.compile(r"(['\"]?)\s*([:=])")
 _MARK = "[REDACTED_"
+_MARKED, _BLANK = re.compile(r"\[REDACTED_[^\]]*\]?"), re.compile(r"\s*")
 _BLOCK = re.compile(r"[|>][+\-1-9]*,*")
 _COMPUTED = re.compile(r"\$\{|[()]|=>|::|&&|\|\|")
 _BLANKS = " \t"
@@ -63,9 +64,8 @@ def _closing(line: str, at: int, quote: str) -> int:
 
 def redact_cookies(line: str) -> str:
     """Each cookie header's value, up to the quote it stands in or else the end of the line."""
-    out, at = [], 0
+    out, at, quote, i = [], 0, "", 0  # quote: the one that place i stands in
     while m := _COOKIE.search(line, at):
-        quote, i = "", 0
         while i < m.start():
             if line[i] == "\\":
                 i += 1
@@ -94,8 +94,8 @@ def _literal(line: str, at: int) -> tuple[int, int] | None:
             return None
         return at + 1, end
     end = re.compile(r"[^\s,}\];]*").match(line, at).end()
-    value, rest = line[at:end], line[end:].lstrip()
-    if value.lower() in ("bearer", "basic") and rest.startswith((_MARK, "{", "$", "<")):
+    value = line[at:end]
+    if value.lower() in ("bearer", "basic") and line.startswith((_MARK, "{", "$", "<"), _BLANK.match(line, end).end()):
         return None
     if f"{_MARK}URL_CREDENTIAL" in value:
         return at, re.compile(r"[^\s,};]*").match(line, end).end()
@@ -118,10 +118,14 @@ def _assigned(line: str, end: int) -> tuple[int, int] | None:
 
 def redact_literals(line: str) -> str:
     """Literals assigned to sensitive keys."""
-    out, at = [], 0
+    out, at, closed = [], 0, 0
+    marks, mark = _MARKED.finditer(line), None
+    ahead = next(marks, None)
     for m in _KEY.finditer(line):
-        mark = line.rfind(_MARK, 0, m.start())
-        if m.start() < at or mark >= 0 and line.find("]", mark) >= m.start():
+        while ahead and ahead.start() + len(_MARK) <= m.start():  # the last mark that ends before the key
+            mark, ahead = ahead, next(marks, None)
+            closed = mark.end() if mark[0].endswith("]") else 0
+        if m.start() < at or closed > m.start():
             continue
         if (span := _assigned(line, m.end())) and span[0] >= at:
             out += [line[at : span[0]], "[REDACTED_LITERAL]"]

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import order, policy, rank
 from ..functions import text as T
+from ..storage import stored
 
 MIB = 1 << 20
 FIRST_ROUND, LAST_ROUND, STOP_CONFIDENCE = 32 * MIB, 512 * MIB, 0.78
@@ -34,10 +36,26 @@ def lanes(files: DataFrame) -> DataFrame:
     return order.running(d, ["lane"], by, "place").drop("h", "top", "turn")
 
 
-def fit_budget(items: DataFrame, group: str, order: list[str], size: str, budget: int) -> DataFrame:
-    """items with taken: in order, each group takes what still fits its budget and passes over what
-    doesn't. A group's items are folded in one row, so groups should be of bounded size."""
-    rows = items.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(size).alias("_s"), F.struct(*items.columns).alias("_r")))).alias("rs"))
+#: Groups of more items than this are not folded.
+FOLDED = 512
+
+
+def fit_budget(items: DataFrame, group: str, order_by: list[str], size: str, budget: int) -> DataFrame:
+    """items with taken: in order, each group takes what still fits its budget and passes over what doesn't.
+
+    A small group is folded in one row. A large one goes by rounds over running totals: it takes the longest
+    prefix that fits, and of the rest only what isn't larger than what is left goes on. So no array holds it and no task has to."""
+    large = items.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") > FOLDED).select(F.col(group).alias("_g"))
+    if large.isEmpty():
+        return _folded(items, group, order_by, size, budget)
+    large = stored(large, "budget-groups")
+    is_large = F.col(group).eqNullSafe(F.col("_g"))
+    small = _folded(items.join(large, is_large, "left_anti"), group, order_by, size, budget)
+    return small.unionByName(_by_rounds(items.join(large, is_large, "left_semi"), group, order_by, size, budget))
+
+
+def _folded(items: DataFrame, group: str, order_by: list[str], size: str, budget: int) -> DataFrame:
+    rows = items.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*order_by, F.col(size).alias("_s"), F.struct(*items.columns).alias("_r")))).alias("rs"))
     start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<boolean>").alias("taken"))
 
     def step(acc: Column, r: Column) -> Column:
@@ -48,6 +66,30 @@ def fit_budget(items: DataFrame, group: str, order: list[str], size: str, budget
     return done.select("x.r.*", "x.taken")
 
 
+def _by_rounds(items: DataFrame, group: str, order_by: list[str], size: str, budget: int) -> DataFrame:
+    """Each round is one pass of running totals and a stored table. A round takes the first item that is left, so
+    rounds end; what is left shrinks with what the budget has left, so they are few."""
+    columns, out = items.columns, []
+    left = items.withColumn("_rest", F.lit(budget).cast("bigint"))
+    while True:
+        dealt = order.running(left, [group], order_by, "_upto", F.col(size))
+        marked = stored(dealt.withColumn("taken", F.col("_upto") <= F.col("_rest")), "budget-round")
+        used = marked.groupBy(F.col(group).alias("_g")).agg(F.coalesce(F.sum(F.when(F.col("taken"), F.col(size))), F.lit(0)).alias("_used"))
+        after = marked.join(used, F.col(group).eqNullSafe(F.col("_g"))).withColumn("_rest", F.col("_rest") - F.col("_used"))
+        goes_on = ~F.col("taken") & (F.col(size) <= F.col("_rest"))
+        out.append(after.where(~goes_on).select(*columns, "taken"))
+        left = after.where(goes_on).select(*columns, "_rest")
+        if left.isEmpty():
+            return reduce(lambda a, b: a.unionByName(b), out)
+
+
+def split_budget(budget: int) -> tuple[int, int, int, int]:
+    """Of a round's bytes: those for the index and for verifying candidates (a quarter), and of the index's
+    those that the priority lane (half) and the sample lane (an eighth) may take at most."""
+    indexed = budget * 3 // 4
+    return indexed, budget - indexed, indexed // 2, indexed // 8
+
+
 def coverage(audit: DataFrame) -> DataFrame:
     """One row of counters over an audit table (path, reason, indexed): files, excluded, indexed, eligible,
     complete, percent (of eligible files; 100 without any). A file that couldn't be read is eligible all
@@ -71,6 +113,21 @@ def confidence(hits: DataFrame, terms: list[str], indexed: Column, eligible: Col
     return n.crossJoin(F.broadcast(best)).select(F.when(F.col("n") == 0, none).otherwise(F.greatest(F.least(raw, F.lit(1.0)), F.lit(0.0))).alias("confidence"))
 
 
+def confidence_of(hits: list[dict], terms: list[str], indexed: int, eligible: int, truncated: bool, excluded: int) -> float:
+    """`confidence` of a query's own hits, on the driver."""
+    if not hits:
+        return 0.05 if truncated else 0.35 if excluded else 0.98
+    low = lambda x: x.translate({c: c + 32 for c in range(65, 91)})
+    best = sorted(hits, key=lambda h: (-h["score"], h["path"]))[:3]
+    seen = [low(h["path"]) + "\0" + low(h["excerpt"]) for h in best]
+    covered = sum(any(t in x for x in seen) for t in terms) / len(terms)
+    first, second = best[0]["score"], best[1]["score"] if len(best) > 1 else 0.0
+    margin = (first - second) / first if first > 0 else 0.0
+    known = indexed / eligible if eligible else 1.0
+    raw = 0.48 * covered + 0.20 * margin + 0.12 * min(len(hits), 6) / 6 + 0.20 * known + (0.08 if not truncated and not excluded else 0.0)
+    return min(max(raw, 0.0), 1.0)
+
+
 @dataclass
 class Round:
     budget: int

@@ -20,6 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(spark.sparkContext.defaultParallelism) if small else df
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A Parquet table as a stream. Streams read folders, so a table in a single file is named by a pattern."""
+    where = f"{sf_dir}/{name}.parquet"
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    one_file = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile()
+    return spark.readStream.schema(spark.read.parquet(where).schema).parquet(f"{where}*" if one_file else where)
+
+
 def of_documents(df: DataFrame) -> DataFrame:
     return df.select(F.concat("source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -28,6 +28,27 @@ def reference_edges(refs: DataFrame, definitions: DataFrame) -> DataFrame:
     return r.join(d, "name").select("src", "dst", "kind", weight(F.col("kind")).alias("weight")).distinct()
 
 
+def nearest_reference_edges(refs: DataFrame, definitions: DataFrame, limit: int = 6) -> DataFrame:
+    """Those of reference_edges that can be among a file's `limit` heaviest links, by weight and then by path.
+
+    A name that many files define gives each file that uses it as many edges, n * n in all. Edges through one
+    name and kind are of one weight and ordered by path, so only the name's first limit + 1 files can matter (one more
+    than the limit, as a file doesn't link to itself). They are found by a bounded aggregation, so the edges grow
+    with the references."""
+    r = refs.select(F.col("path").alias("src"), T.ascii_lower(F.col("name")).alias("name"), "kind").distinct()
+    d = definitions.select(F.col("path").alias("dst"), T.ascii_lower(F.col("name")).alias("name")).distinct()
+    first = least(d, "name", "dst", limit + 1).withColumnRenamed("value", "dst")
+    return r.join(first, "name").select("src", "dst", "kind", weight(F.col("kind")).alias("weight")).where("src <> dst").distinct()
+
+
+def least(rows: DataFrame, key: str, value: str, n: int) -> DataFrame:
+    """key, value: the n least values of each key. A hot key is cut down in parts first, so none is one task's."""
+    for parts in (64, 1):
+        own = Window.partitionBy(key, F.pmod(F.xxhash64(value), F.lit(parts))).orderBy(value)
+        rows = rows.select(key, F.col(value), F.row_number().over(own).alias("_place")).where(F.col("_place") <= n).drop("_place")
+    return rows.select(key, F.col(value).alias("value"))
+
+
 def module_path(path: Column) -> Column:
     """The path without its extension and without /mod at its end."""
     return F.regexp_replace(F.regexp_replace(path, r"\.[^./]+$", ""), "(?:/mod)+$", "")
@@ -58,6 +79,8 @@ def import_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
 
 #: Characters of a name by which it is looked up in texts.
 START = 4
+#: Names that a text is searched for at once.
+NAMES_TOGETHER = 1000
 
 
 def _starts(low: Column) -> Column:
@@ -79,7 +102,10 @@ def lexical_edges(files: DataFrame, definitions: DataFrame) -> DataFrame:
     low = files.select(F.col("path").alias("src"), T.ascii_lower(F.col("text")).alias("low"))
     names = d.select("name", F.substring("name", 1, START).alias("start")).distinct()
     found = low.select("src", F.explode(_starts(F.col("low"))).alias("start")).distinct().join(names, "start")
-    hit = low.join(found.groupBy("src").agg(F.collect_list("name").alias("names")), "src")
+    # Names are looked for in lists of about NAMES_TOGETHER, however many a text may hold.
+    lists = found.groupBy("src").agg(F.ceil(F.count("*") / NAMES_TOGETHER).alias("lists"))
+    parted = found.join(lists, "src").groupBy("src", F.pmod(F.xxhash64("name"), F.col("lists")).alias("part")).agg(F.collect_list("name").alias("names"))
+    hit = low.join(parted.select("src", "names"), "src")
     hit = hit.select("src", F.explode(F.filter("names", lambda n: F.contains("low", n))).alias("name")).distinct().join(d, "name").where("src <> dst")
     return hit.select("src", "dst").distinct().select("src", "dst", F.lit("lexical").alias("kind"), F.lit(WEIGHTS["lexical"]).alias("weight"))
 
@@ -193,8 +219,6 @@ class GraphCache:
 
 def links(edges: DataFrame, limit: int = 6) -> DataFrame:
     """Each file's heaviest links: src, dst, kind, weight, rank."""
-    from pyspark.sql import Window
-
     e = edges.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst")))
     return e.where(F.col("rank") <= limit)
 

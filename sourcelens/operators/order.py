@@ -29,3 +29,21 @@ def running(df: DataFrame, keys: list[str], order: list[str | Column], name: str
     for k, a in zip(keys, key, strict=True):
         same &= F.col(k).eqNullSafe(F.col(a))
     return within.join(before, same).withColumn(name, F.col("_within") + F.col("_before")).drop(*key, "_r", "_before", "_within", "_of", "_range")
+
+
+def before(df: DataFrame, keys: list[str], order: list[str | Column], name: str, value: str) -> DataFrame:
+    """df with `name`: `value` of the row before it in order among those of equal keys, null for the first one.
+
+    Ranges are dealt and stored as in `running`; the first row of a range takes the last value of the key's
+    range before, found among one row for each key and range."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(df.repartitionByRange(n, *keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    own = Window.partitionBy(*keys, "_range").orderBy(*order)
+    within = dealt.withColumns({"_own": F.lag(value).over(own), "_first": F.row_number().over(own) == 1, "_last": F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*(F.desc(c) if isinstance(c, str) else c.desc() for c in order)))})
+    key = [f"_k{i}" for i in range(len(keys))]
+    ends = within.where("_last = 1").select(*(F.col(k).alias(a) for k, a in zip(keys, key, strict=True)), F.col("_range").alias("_r"), F.col(value).alias("_end"))
+    ends = ends.select(*key, "_r", F.lag("_end").over(Window.partitionBy(*key).orderBy("_r")).alias("_carried"))
+    same = F.col("_range") == F.col("_r")
+    for k, a in zip(keys, key, strict=True):
+        same &= F.col(k).eqNullSafe(F.col(a))
+    return within.join(ends, same).withColumn(name, F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_own"))).drop(*key, "_r", "_carried", "_own", "_first", "_last", "_range")

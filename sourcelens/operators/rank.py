@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -91,6 +91,13 @@ def top(df: DataFrame, k: int, *more: str) -> DataFrame:
     return df.orderBy(F.desc("score"), "path", *more).limit(k)
 
 
+def cut(df: DataFrame, limit: int) -> DataFrame:
+    """The `limit` best rows as `top` orders them, each with beyond: whether there are more. One row more than
+    the limit is looked at, in one task."""
+    one_more = top(df, limit + 1).withColumn("_place", F.row_number().over(Window.orderBy(F.desc("score"), "path")))
+    return one_more.withColumn("beyond", F.max("_place").over(Window.partitionBy()) > limit).where(F.col("_place") <= limit).drop("_place")
+
+
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     """body over value, which is computed once a row, however often body uses it."""
     return F.transform(F.array(value), body)[0]

@@ -21,7 +21,6 @@ MARKERS = (
     ("interface ", "interface"), ("export interface ", "interface"), ("pub class ", "class"), ("export class ", "class"), ("class ", "class"),
     ("type ", "type"), ("pub type ", "type"), ("const ", "constant"), ("pub const ", "constant"), ("static ", "constant"), ("pub static ", "constant"), ("mod ", "module"), ("pub mod ", "module"),
 )
-MAX_SYMBOLS, MAX_REFERENCES, MAX_IMPORTS = 64, 512, 64
 #: No marker is the start of another, so at most one fits a line.
 MARKER = r"^(" + "|".join(m for m, _ in MARKERS) + r")\s*([\p{IsAlphabetic}\p{N}_$-]+)"
 
@@ -30,18 +29,29 @@ def _ranked_lines(files: DataFrame) -> DataFrame:
     return files.select("path", F.posexplode(T.lines(F.col("text"))).alias("pos", "line"))
 
 
-def heuristic_symbols(files: DataFrame, limit: int = MAX_SYMBOLS) -> DataFrame:
-    """path, name, kind, line, signature: the first definition line of each name, up to `limit` a file."""
+def _limited(rows: DataFrame, order: list[str], limit: int | None, columns: list[str]) -> DataFrame:
+    """rows' columns; with a limit, the first rows of each file, and truncated: whether it lost any."""
+    if limit is None:
+        return rows.select(columns)
+    own = Window.partitionBy("path")
+    ranked = rows.withColumns({"r": F.row_number().over(own.orderBy(*order)), "truncated": F.count("*").over(own) > limit})
+    return ranked.where(F.col("r") <= limit).select(*columns, "truncated")
+
+
+def heuristic_symbols(files: DataFrame, limit: int | None = None) -> DataFrame:
+    """path, name, kind, line, signature: the first definition line of each name. With `limit`, as many a file,
+    and truncated: whether it has more."""
     bare = F.regexp_replace("line", r"^\s+", "")
     rows = _ranked_lines(files).select("path", (F.col("pos") + 1).alias("line"), bare.alias("bare")).where(F.rlike("bare", F.lit(MARKER)))
     kinds = F.create_map(*(F.lit(x) for pair in MARKERS for x in pair))
     rows = rows.select("path", F.regexp_extract("bare", MARKER, 2).alias("name"), kinds[F.regexp_extract("bare", MARKER, 1)].alias("kind"), "line", F.substring("bare", 1, 220).alias("signature"))
     first = rows.withColumn("r", F.row_number().over(Window.partitionBy("path", "name").orderBy("line"))).where("r = 1")
-    return first.withColumn("r", F.row_number().over(Window.partitionBy("path").orderBy("line"))).where(F.col("r") <= limit).drop("r")
+    return _limited(first, ["line"], limit, ["path", "name", "kind", "line", "signature"])
 
 
-def import_paths(files: DataFrame, limit: int = MAX_IMPORTS) -> DataFrame:
-    """path, module: each file's distinct imports in "/" form, by its language's line rules."""
+def import_paths(files: DataFrame, limit: int | None = None) -> DataFrame:
+    """path, module: each file's distinct imports in "/" form, by its language's line rules. With `limit`, as many
+    a file, and truncated: whether it has more."""
     e, line = extension(F.col("path")), F.trim(F.regexp_replace("line", r"^\s+|\s+$", ""))
     take = lambda pattern: F.when(F.rlike(line, F.lit(pattern)), F.regexp_extract(line, pattern, 1))
     rust = F.coalesce(take(r"^use (.*?)(?:::\{.*)?;*$"), take(r"^mod (.*?);*$"))
@@ -52,7 +62,7 @@ def import_paths(files: DataFrame, limit: int = MAX_IMPORTS) -> DataFrame:
     module = F.replace(F.replace(F.regexp_replace(found, "^[\"'`]+|[\"'`]+$", ""), F.lit("::"), F.lit("/")), F.lit("."), F.lit("/"))
     rows = _ranked_lines(files).select("path", "pos", module.alias("module")).where("module <> ''")
     first = rows.groupBy("path", "module").agg(F.min("pos").alias("pos"))
-    return first.withColumn("r", F.row_number().over(Window.partitionBy("path").orderBy("pos"))).where(F.col("r") <= limit).select("path", "module")
+    return _limited(first, ["pos"], limit, ["path", "module"])
 
 
 # --- Syntax: the standard parser for Python, small lexers for the others. ---
@@ -136,29 +146,33 @@ def analyse(path: str, text: str) -> tuple[list[tuple[str, str, int]], list[tupl
         names.setdefault(s[0], s)
     own = set(names)
     seen = dict.fromkeys(r for r in refs if len(r[0].encode()) >= 2 and not any(r[0] == n and r[2] == names[n][2] for n in own & {r[0]}))
-    return list(names.values())[:MAX_SYMBOLS], list(seen)[:MAX_REFERENCES]
+    return list(names.values()), list(seen)
 
 
-def syntax_facts(files: DataFrame) -> DataFrame:
-    """path, fact ("symbol" or "reference"), name, kind, line of each file; null text has none."""
+def syntax_facts(files: DataFrame, max_symbols: int | None = None, max_references: int | None = None) -> DataFrame:
+    """path, fact ("symbol" or "reference"), name, kind, line of each file; null text has none. With limits, as
+    many of a kind a file, and truncated: whether it has more of the kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                symbols, refs = analyse(path or "", text or "")
-                rows += [(path, "symbol", *s) for s in symbols] + [(path, "reference", *r) for r in refs]
-            columns = zip(*rows, strict=True) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.string(), pa.int32()), strict=True)], ["path", "fact", "name", "kind", "line"])
+                for fact, found, limit in zip(("symbol", "reference"), analyse(path or "", text or ""), (max_symbols, max_references), strict=True):
+                    cut = limit is not None and len(found) > limit
+                    rows += [(path, fact, *x, cut) for x in found[:limit]]
+            columns = zip(*rows, strict=True) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (*[pa.string()] * 4, pa.int32(), pa.bool_()), strict=True)], ["path", "fact", "name", "kind", "line", "truncated"])
 
-    return files.select("path", "text").mapInArrow(run, "path string, fact string, name string, kind string, line int")
+    facts = files.select("path", "text").mapInArrow(run, "path string, fact string, name string, kind string, line int, truncated boolean")
+    return facts.drop("truncated") if max_symbols is max_references is None else facts
 
 
-def combined_symbols(parsed: DataFrame, heuristic: DataFrame, limit: int = MAX_SYMBOLS) -> DataFrame:
-    """Parsed symbols, then heuristic ones of other names, up to `limit` a file: path, name, kind, line."""
+def combined_symbols(parsed: DataFrame, heuristic: DataFrame, limit: int | None = None) -> DataFrame:
+    """Parsed symbols, then heuristic ones of other names: path, name, kind, line. With `limit`, as many a file,
+    and truncated: whether it has more."""
     both = parsed.select("path", "name", "kind", "line", F.lit(0).alias("o")).unionByName(heuristic.select("path", "name", "kind", "line", F.lit(1).alias("o")))
     first = both.withColumn("r", F.row_number().over(Window.partitionBy("path", "name").orderBy("o", "line"))).where("r = 1")
-    return first.withColumn("r", F.row_number().over(Window.partitionBy("path").orderBy("o", "line"))).where(F.col("r") <= limit).select("path", "name", "kind", "line")
+    return _limited(first, ["o", "line"], limit, ["path", "name", "kind", "line"])
 
 
 def with_signatures(symbols: DataFrame, files: DataFrame) -> DataFrame:

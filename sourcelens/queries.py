@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,6 +14,10 @@ from .functions import text as T
 from .operators import adaptive, corpus, graph, index, memory, policy, rank, symbols
 from .operators.corpus import table
 from .plans.context import Engine
+from .plans.indexed import IndexedEngine
+from .plans.stored_index import StoredIndex
+from .sources.corpora import Table
+from .storage import shared_root, stored
 from .streaming import limiter
 
 QUERY = "token ther license"
@@ -158,6 +163,13 @@ def hybrid_score_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.top(s, 24).select("path", "matched", "path_bonus", "score")
 
 
+@query(f"with {scored_sql()}, m as (select path, round(score, 6) score, row_number() over (order by round(score, 6) desc, path) p, count(*) over () n from s where score is not null) select path, score, n > 64 beyond from m where p <= 64")
+def candidates_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 64 best matches, and whether there are more."""
+    s = rank.scored(docs(spark, sf_dir), TERMS).select("path", F.round("score", 6).alias("score"))
+    return rank.cut(s, 64)
+
+
 _PATH_TERMS = ["th", "blog", "example"]
 
 
@@ -403,6 +415,13 @@ def heuristic_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symbols.heuristic_symbols(code(spark, sf_dir))
 
 
+@query(f"""with {SYMBOLS}, r as (select *, row_number() over (partition by path order by line) i, count(*) over (partition by path) n from syms)
+select path, "name", n > 1 truncated from r where i <= 1""")
+def symbols_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first symbol of each file, and whether it has more."""
+    return symbols.heuristic_symbols(code(spark, sf_dir), 1).select("path", "name", "truncated")
+
+
 IMPORTS = f"{CODE}, im as (select distinct path, replace(replace(regexp_extract(l, '^use (.*?);$', 1), '::', '/'), '.', '/') module from (select path, unnest({LINES}) l from code) where starts_with(l, 'use '))"
 
 
@@ -481,6 +500,16 @@ def top_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.links(graph.best_edges(reference_edges(spark, sf_dir).unionByName(import_edges(spark, sf_dir))))
 
 
+@query(f"""with {SYMBOLS}, {_CALLS}, refs as (select src, n, 'call' kind, 0.9::double weight from calls union all select 'src/p' || p_partkey || '.rs', 'Kind' || (p_size % 7), 'type', 0.85::double from part),
+e as (select distinct src, path dst, kind, weight from refs join syms on {low("n")} = {low('"name"')}), {_BEST}
+select src, dst, kind, weight, row_number() over (partition by src order by weight desc, dst)::int "rank" from best qualify row_number() over (partition by src order by weight desc, dst) <= 6""")
+def top_reference_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The six heaviest links of each file through references, some to names that a share of all files define."""
+    kinds = table(spark, sf_dir, "part").select(F.expr("'src/p' || p_partkey || '.rs'").alias("path"), F.expr("'Kind' || (p_size % 7)").alias("name"), F.lit("type").alias("kind"))
+    refs = calls(spark, sf_dir).unionByName(kinds)
+    return graph.links(graph.best_edges(graph.nearest_reference_edges(refs, symbols.heuristic_symbols(code(spark, sf_dir)))))
+
+
 def trade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Nations as nodes, and each customer nation's shares of revenue by supplier nation times 0.9."""
     t = lambda n: table(spark, sf_dir, n)
@@ -561,6 +590,64 @@ def rate_limiter_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limiter.limit_all(e, window=3600.0)
 
 
+_SESSIONS_W, _SESSIONS_ACTOR, _SESSIONS_ALL = 600, 2, 5
+
+
+@query(f"""with recursive e as (select event_id id, event_type actor, epoch(ts) t from events), g as (select *, coalesce((t - lag(t) over (order by t, id) >= {_SESSIONS_W})::int, 1) f from e),
+s as (select id, actor, t, sum(f) over (order by t, id rows unbounded preceding) s from g), n as (select *, row_number() over (partition by s order by t, id) i from s),
+r as (select s, i, id, true accepted, [{{'t': t, 'a': actor}}] held from n where i = 1
+ union all select s, i, id, ok, case when ok then list_append(live, {{'t': t, 'a': actor}}) else live end
+ from (select *, len(live) < {_SESSIONS_ALL} and len(list_filter(live, lambda x: x.a = actor)) < {_SESSIONS_ACTOR} ok from (select n.s, n.i, n.id, n.t, n.actor, list_filter(held, lambda x: n.t - x.t < {_SESSIONS_W}) live from r join n on n.s = r.s and n.i = r.i + 1)))
+select id, accepted from r""")
+def rate_limiter_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both limits, in windows of ten minutes: calls fall into sessions at pauses of as long."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("actor"), "ts")
+    return limiter.limit_all(e, float(_SESSIONS_W), _SESSIONS_ACTOR, _SESSIONS_ALL).select("id", "accepted")
+
+
+@query("""with e as (select event_id seq, 's' || (user_id % 40) session_id, 'a' || (user_id % 3) agent_id, [event_type] terms, ['p' || (event_id % 7)] paths from events where event_id % 4 <> 0)
+select session_id, seq, agent_id, terms[1] term, paths[1] path from e qualify row_number() over (partition by session_id order by seq desc) <= 128""")
+def session_records_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream of queries, a quarter of them without hits: each session's last 128 records, as they
+    stand after the last micro-batch."""
+    events = corpus.table_stream(spark, sf_dir, "events")
+    asked = events.select(
+        F.col("event_id").alias("seq"), F.expr("'s' || (user_id % 40)").alias("session_id"), F.expr("'a' || (user_id % 3)").alias("agent_id"), F.array("event_type").alias("terms"),
+        F.when(F.col("event_id") % 4 != 0, F.array(F.concat(F.lit("p"), (F.col("event_id") % 7).cast("string")))).alias("hits"),
+    )
+    newest = limiter.run_available(limiter.remember_stream(asked), "records", ["session_id", "seq"])
+    ranked = newest.withColumn("r", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("seq"))))
+    return ranked.where("r <= 128").select("session_id", "seq", "agent_id", F.col("terms")[0].alias("term"), F.col("paths")[0].alias("path"))
+
+
+# --- The stored index. ---
+_EDITS = """v as (select doc_id, case when doc_id % 5 = 0 then text || ' editedword' else text end text, source || '/' || doc_id::varchar path from documents where doc_id % 7 <> 0)"""
+
+
+@query(f"with {_EDITS}, t as (select path, unnest({toks('text')}) t from v), u as (select path, {low('t')} term from t union all select path, unnest({_FRAG('t')}) from t), p as (select path, term, count(*) tf from u group by all) select path, count(*) terms, sum(tf)::bigint occurrences, count(*) filter (term = 'editedword') > 0 edited from p group by path")
+def stored_index_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of all documents but one in three, brought up to date twice: the rest comes, then one in seven goes
+    and one in five is edited. What its postings then say of each document."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), "text")
+    edited = d.where("doc_id % 7 <> 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" editedword"))).otherwise(F.col("text")))
+    ix = StoredIndex(spark, f"{shared_root(spark)}/index-{uuid.uuid4().hex}", cap=1 << 62)
+    for state in (d.where("doc_id % 3 <> 0"), d, edited):
+        source = Table(state.select("path", "text"), apply_policy=False)
+        states = stored(ix.states(source.files()[0]), "states")
+        wanted = states.where("state in ('missing', 'changed')").select("path", F.xxhash64("path").alias("place"))
+        ix.update(states, source.texts(wanted).join(wanted, "path"))
+    return ix.postings().groupBy("path").agg(F.count("*").alias("terms"), F.sum("tf").alias("occurrences"), F.max(F.col("term") == "editedword").alias("edited"))
+
+
+@query()
+def indexed_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole query over documents by a stored index, in rounds: hits with how the index stood then."""
+    ix = StoredIndex(spark, f"{shared_root(spark)}/index-{uuid.uuid4().hex}", cap=1 << 62)
+    c = IndexedEngine(spark, Table(docs(spark, sf_dir)), ix, cap=1 << 50).context(QUERY)
+    rows = [(i, h["path"], h["start_line"], h["end_line"], h["score"], c.coverage["indexed"], c.truncated) for i, h in enumerate(c.hits)]
+    return spark.createDataFrame(rows, "place int, path string, start_line int, end_line int, score double, indexed bigint, truncated boolean")
+
+
 # --- Unions, overrides, invalidation. ---
 _INDEXED = scored_sql(_PATH_TERMS).replace(DOCS, f"{PAGES}, docs as (select path, html text from paged where length(html) % 3 = 0)")
 

@@ -1,7 +1,8 @@
 """A directory tree as two data sources: `repo_files` (metadata and exclusions) and `repo_sources` (texts).
 
 Spark's own binary reader leaves out names that start with "." or "_", so trees are walked here. Links are
-never followed. Ignore files count inside the root only. Each top directory is one partition.
+never followed. Ignore files count inside the root only. Directories are opened until there are enough parts to
+read at once, and a large one is cut by names.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNull, StringStartsWith
 
 from ..operators import policy as P
 
@@ -107,59 +108,92 @@ def _stamp(s: os.stat_result) -> tuple[int, ...]:
     return s.st_size, s.st_mtime_ns, s.st_dev, s.st_ino, s.st_ctime_ns, s.st_nlink
 
 
-def walk(root: str, top: str | None, shallow: bool = False) -> Iterator[tuple]:
-    """Rows of FILES below root/top (or, shallow, of the root's own entries). An excluded directory is one
-    row with a reason; a directory with a non-empty ignore file is one more."""
-
-    def rules_of(folder: str, rel: str) -> Iterator[Ignore]:
-        for name in IGNORE_FILES:
-            try:
-                with open(f"{folder}/{name}", encoding="utf-8", errors="replace") as f:
-                    yield from ignore_lines(f.read(), rel)
-            except OSError:
-                continue
-
-    def below(rel: str, rules: list[Ignore]) -> Iterator[tuple]:
-        folder = f"{root}/{rel}".rstrip("/")
-        own = list(rules_of(folder, rel))
-        if own:
-            yield rel or ".", "ignore_file", *[None] * 6
-        rules = [*rules, *own]
+def own_rules(root: str, rel: str) -> list[Ignore]:
+    """The ignore lines of one directory, rel ("" or ending in "/")."""
+    out = []
+    for name in IGNORE_FILES:
         try:
-            entries = sorted(os.scandir(folder), key=lambda e: e.name)
+            with open(f"{root}/{rel}{name}", encoding="utf-8", errors="replace") as f:
+                out += ignore_lines(f.read(), rel)
         except OSError:
-            yield rel or ".", "io", *[None] * 6
-            return
-        for e in entries:
-            path = rel + e.name
-            if not rel and not shallow and top is not None and e.name != top:
-                continue
-            try:
-                info = e.stat(follow_symlinks=False)
-                path.encode()
-            except (OSError, UnicodeEncodeError):
-                yield path.encode("utf-8", "replace").decode(), "io", *[None] * 6
-                continue
-            is_dir = st.S_ISDIR(info.st_mode)
-            if ignored(rules, path, is_dir):
-                continue
-            why = path_reason(path) or (None if is_dir or st.S_ISREG(info.st_mode) else "not_regular")
-            if is_dir and not why:
-                if not shallow:
-                    yield from below(f"{path}/", rules)
-            elif is_dir or why or not shallow or not rel:
-                big = not is_dir and not why and (info.st_size > P.MAX_FILE_BYTES or info.st_nlink > 1)
-                yield path, why or ("metadata" if big else None), *_stamp(info)
+            continue
+    return out
+
 
+def rules_above(root: str, rel: str) -> list[Ignore]:
+    """What the repository excludes, and the ignore lines of the directories that hold rel, outermost first."""
+    out = []
     exclude = f"{root}/.git/info/exclude"
-    first = []
     if os.path.isfile(exclude):
         with open(exclude, encoding="utf-8", errors="replace") as f:
-            first = ignore_lines(f.read(), "")
-    for row in below("", first):
-        in_top = row[0].split("/")[0] == top and (row[0] != top)
-        if shallow and not in_top or not shallow and in_top or not shallow and row[0] == top:
-            yield row
+            out = ignore_lines(f.read(), "")
+    parts = rel.rstrip("/").split("/") if rel else []
+    for k in range(len(parts)):
+        out += own_rules(root, "".join(f"{p}/" for p in parts[:k]))
+    return out
+
+
+def _entries(root: str, rel: str, rules: list[Ignore], names: frozenset[str] | None = None) -> Iterator[tuple[str, bool, str | None, os.stat_result | None]]:
+    """Path, whether it's a directory, reason and metadata of each entry of a directory that isn't ignored, by
+    name. Raises OSError if the directory can't be listed."""
+    for e in sorted(os.scandir(f"{root}/{rel}"), key=lambda e: e.name):
+        if names is not None and e.name not in names:
+            continue
+        path = rel + e.name
+        try:
+            info = e.stat(follow_symlinks=False)
+            path.encode()
+        except (OSError, UnicodeEncodeError):
+            yield path.encode("utf-8", "replace").decode(), False, "io", None
+            continue
+        is_dir = st.S_ISDIR(info.st_mode)
+        if not ignored(rules, path, is_dir):
+            yield path, is_dir, path_reason(path) or (None if is_dir or st.S_ISREG(info.st_mode) else "not_regular"), info
+
+
+def walk(root: str, rel: str = "", deep: bool = True, names: frozenset[str] | None = None, above: list[Ignore] | None = None) -> Iterator[tuple]:
+    """Rows of FILES below root/rel, or, not deep, of its own entries alone, or of those with the given names. An
+    excluded directory is one row with a reason; a directory with a non-empty ignore file is one more (not
+    where names are given, but for the first of a directory's parts)."""
+    rules = rules_above(root, rel) if above is None else above
+    own = own_rules(root, rel)
+    if own and names is None:
+        yield rel or ".", "ignore_file", *[None] * 6
+    rules = [*rules, *own]
+    try:
+        for path, is_dir, why, info in _entries(root, rel, rules, names):
+            if info is None:
+                yield path, why, *[None] * 6
+            elif is_dir and not why:
+                if deep:
+                    yield from walk(root, f"{path}/", above=rules)
+            else:
+                big = not is_dir and not why and (info.st_size > P.MAX_FILE_BYTES or info.st_nlink > 1)
+                yield path, why or ("metadata" if big else None), *_stamp(info)
+    except OSError:
+        yield rel or ".", "io", *[None] * 6
+
+
+def plan(root: str, want: int, chunk: int = 5000) -> list[tuple[str, bool, frozenset[str] | None]]:
+    """The tree in parts (arguments of `walk`): directories are opened, outermost first, until there are `want`
+    parts; an opened directory of more entries than `chunk` is several parts."""
+    parts, queue = [], [("", rules_above(root, ""))]
+    while queue and len(parts) + len(queue) < want:
+        rel, above = queue.pop(0)
+        rules = [*above, *own_rules(root, rel)]
+        try:
+            inside = list(_entries(root, rel, rules))
+        except OSError:
+            parts.append((rel, False, None))
+            continue
+        queue += [(f"{path}/", rules) for path, is_dir, why, _ in inside if is_dir and not why]
+        own = [path[len(rel) :] for path, is_dir, why, _ in inside if not is_dir or why]
+        if len(own) <= chunk:
+            parts.append((rel, False, None))
+        else:
+            parts += [(rel, False, frozenset(own[k : k + chunk])) for k in range(0, len(own), chunk)]
+            parts += [(rel, False, frozenset())] if rules[len(above) :] else []
+    return [*parts, *((rel, True, None) for rel, _ in queue)]
 
 
 def read_source(root: str, path: str) -> tuple[str | None, str | None, tuple[int, ...] | None]:
@@ -197,30 +231,63 @@ def read_source(root: str, path: str) -> tuple[str | None, str | None, tuple[int
 
 
 class _Part(InputPartition):
-    def __init__(self, top: str | None):
-        self.top = top
+    def __init__(self, rel: str, deep: bool, names: frozenset[str] | None):
+        self.rel, self.deep, self.names = rel, deep, names
+
+
+#: Parts that a tree is read in, at least, where it has as many directories.
+PARTS = 32
 
 
 class _Reader(DataSourceReader):
     """The root must be the same directory (device and inode) when it is listed and read as when it was loaded:
-    this is checked before and after each partition's walk, where the walk runs."""
+    this is checked before and after each partition's walk, where the walk runs.
+
+    Filters on path (equal, among, beginning with) and on reason are pushed down: parts of the tree that can't
+    hold such a path are not walked, and files that a filter leaves out are not opened."""
 
     def __init__(self, root: str, texts: bool, identity: str):
         self.root, self.texts, self.identity = root, texts, identity
+        self.paths: set[str] | None = None
+        self.starts: list[str] = []
+        self.searchable: bool | None = None
 
     def guard(self) -> None:
         if identity(self.root) != self.identity:
             raise RuntimeError("the root was replaced since it was opened")
 
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        """Takes what narrows the walk; Spark applies all filters again but those on reason of texts' rows too."""
+        for f in filters:
+            if getattr(f, "attribute", None) == ("path",) and isinstance(f, EqualTo | In):
+                these = {f.value} if isinstance(f, EqualTo) else {*f.value} - {None}
+                self.paths = these if self.paths is None else self.paths & these
+            elif getattr(f, "attribute", None) == ("path",) and isinstance(f, StringStartsWith):
+                self.starts.append(f.value)
+            elif getattr(f, "attribute", None) == ("reason",) and isinstance(f, IsNull):
+                self.searchable = True
+            yield f
+
+    def wanted(self, path: str) -> bool:
+        return (self.paths is None or path in self.paths) and all(path.startswith(s) for s in self.starts)
+
+    def may_hold(self, rel: str) -> bool:
+        """Whether there may be wanted paths below a directory."""
+        inside = self.paths is None or any(p.startswith(rel) or p == rel for p in self.paths)
+        return inside and all(s.startswith(rel) or rel.startswith(s) for s in self.starts)
+
     def partitions(self) -> list[InputPartition]:
         self.guard()
-        tops = sorted(e.name for e in os.scandir(self.root) if e.is_dir(follow_symlinks=False))
-        return [_Part(None), *(_Part(t) for t in tops)]
+        return [_Part(*p) for p in plan(self.root, PARTS) if self.may_hold(p[0])] or [_Part("", False, frozenset())]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         self.guard()
-        rows = walk(self.root, partition.top, shallow=partition.top is None)
+        rows = walk(self.root, partition.rel, partition.deep, partition.names)
+        if partition.names == frozenset():  # the directory's own ignore file is its one row
+            rows = [(partition.rel or ".", "ignore_file", *[None] * 6)] if own_rules(self.root, partition.rel) else []
         for path, reason, *stamp in rows:
+            if not self.wanted(path) or self.searchable and reason:
+                continue
             if not self.texts:
                 yield path, reason, *stamp
             elif reason:
@@ -264,6 +331,7 @@ def load(spark: SparkSession, root: str, texts: bool = True) -> DataFrame:
     root = os.path.realpath(root)
     kind = RepoSources if texts else RepoFiles
     spark.dataSource.register(kind)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format(kind.name()).option("identity", identity(root)).load(root)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import deque
 from collections.abc import Callable, Iterator
 
@@ -10,6 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from .. import storage
+from ..operators import memory, order
+
 WINDOW_S, PER_ACTOR, OVERALL = 60.0, 8, 24
 
 
@@ -36,38 +40,47 @@ class Limiter:
         return True
 
 
-def limit_calls(calls: DataFrame, window: float = WINDOW_S, per_actor: int = PER_ACTOR, key: str = "actor") -> DataFrame:
-    """calls (id, actor, ts) with accepted, under the limit of each actor. Whether a call is accepted
-    depends on the ones before it, so each actor's calls run in order: sorted by Spark and streamed to one
-    Python worker, whose memory holds one window. Actors are spread over tasks; the limit over all actors
-    needs one order for all calls, and is Limiter's on the driver or limit_all's on one partition."""
+def _decided(calls: DataFrame, keys: list[str], window: float, limits: tuple[int, int | None]) -> DataFrame:
+    """id, actor, accepted of calls (id, actor, t), limited among those of equal keys.
+
+    Whether a call is accepted depends on the ones before it, but no further back than a pause: where no call
+    came for the window, none is left in it. So the calls fall into sessions that know nothing of each other,
+    found by looking at the call before (over stored ranges, so no key is one task); sessions are spread over tasks,
+    and each is streamed in order to a Python worker, whose memory holds one window. A key without pauses is
+    one session, and one task."""
+    gone = order.before(calls, keys, ["t", "id"], "_previous", "t")
+    begins = (F.col("_previous").isNull() | (F.col("t") - F.col("_previous") >= window)).cast("bigint")
+    numbered = order.running(gone.withColumn("_begins", begins), keys, ["t", "id"], "_session", F.col("_begins"))
+    tasks = int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number keeps AQE from joining them
+    dealt = numbered.repartition(tasks, *keys, "_session").sortWithinPartitions(*keys, "_session", "t", "id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        limiters: dict[object, Limiter] = {}
+        limiter, of = None, object()
         for pdf in batches:
             seen = []
-            for actor, t in zip(pdf["actor"], pdf["t"], strict=True):
-                if actor not in limiters:
-                    limiters.clear()  # rows come actor by actor
-                    limiters[actor] = Limiter(window, per_actor, None)
-                seen.append(limiters[actor].accept(actor, t))
+            for key, actor, t in zip(zip(*(pdf[k] for k in (*keys, "_session")), strict=True), pdf["actor"], pdf["t"], strict=True):
+                if key != of:
+                    limiter, of = Limiter(window, *limits), key
+                seen.append(limiter.accept(actor, t))
             yield pdf[["id", "actor"]].assign(accepted=seen)
 
-    rows = calls.select("id", F.col(key).cast("string").alias("actor"), F.col("ts").cast("timestamp").cast("double").alias("t")).na.fill({"actor": ""})
-    return rows.repartition("actor").sortWithinPartitions("actor", "t", "id").mapInPandas(run, "id bigint, actor string, accepted boolean")
+    return dealt.select("id", "actor", "t", "_session").mapInPandas(run, "id bigint, actor string, accepted boolean")
 
 
-def limit_all(calls: DataFrame, window: float = WINDOW_S, per_actor: int = PER_ACTOR, overall: int = OVERALL) -> DataFrame:
-    """calls (id, actor, ts) with accepted, under both limits. One global order is the meaning here, so one
-    task streams all calls, holding one window of accepted ones; it is for the calls of one service."""
+def _timed(calls: DataFrame, key: str) -> DataFrame:
+    """id, actor, t of calls; calls without an actor are of the actor ""."""
+    return calls.select("id", F.coalesce(F.col(key).cast("string"), F.lit("")).alias("actor"), F.col("ts").cast("timestamp").cast("double").alias("t"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        limiter = Limiter(window, per_actor, overall)
-        for pdf in batches:
-            yield pdf[["id", "actor"]].assign(accepted=[limiter.accept(a, t) for a, t in zip(pdf["actor"], pdf["t"], strict=True)])
 
-    rows = calls.select("id", F.col("actor").cast("string").alias("actor"), F.col("ts").cast("timestamp").cast("double").alias("t"))
-    return rows.coalesce(1).sortWithinPartitions("t", "id").mapInPandas(run, "id bigint, actor string, accepted boolean")
+def limit_calls(calls: DataFrame, window: float = WINDOW_S, per_actor: int = PER_ACTOR, key: str = "actor") -> DataFrame:
+    """calls (id, actor, ts) with accepted, under the limit of each actor. Sessions of an actor are tasks of
+    their own (see `_decided`), so a hot actor is spread as well, as far as it pauses."""
+    return _decided(_timed(calls, key), ["actor"], window, (per_actor, None))
+
+
+def limit_all(calls: DataFrame, window: float = WINDOW_S, per_actor: int = PER_ACTOR, overall: int = OVERALL) -> DataFrame:
+    """calls (id, actor, ts) with accepted, under both limits. Sessions are those of all calls together."""
+    return _decided(_timed(calls, "actor"), [], window, (per_actor, overall))
 
 
 class ActorLimit(StatefulProcessor):
@@ -100,16 +113,74 @@ def limit_stream(calls: DataFrame, window: float = WINDOW_S, per_actor: int = PE
     return rows.groupBy("actor").transformWithStateInPandas(ActorLimit(window, per_actor), "id bigint, actor string, accepted boolean", "append", "none")
 
 
-def upsert_by_path(path: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that keeps a table of the newest row of each path: each batch writes a
-    version of its own, so a batch that is run again writes the same one."""
+class SessionRecords(StatefulProcessor):
+    """The last records of each session: state is a list of at most `keep` rows (seq, agent_id, terms, paths),
+    which go `seconds` after the session's last record (0: never)."""
+
+    FIELDS = "seq bigint, agent_id string, terms array<string>, paths array<string>"
+
+    def __init__(self, keep: int = memory.KEPT_RECORDS, seconds: int = 0):
+        self.keep, self.seconds = keep, seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        more = {"ttlDurationMs": self.seconds * 1000} if self.seconds else {}
+        self.held = handle.getListState("records", self.FIELDS, **more)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        held = {r[0]: tuple(r) for r in self.held.get()}
+        for pdf in rows:  # a micro-batch may come in pieces; a record that is sent again is the same one
+            for seq, agent, terms, hits in zip(pdf["seq"], pdf["agent_id"], pdf["terms"], pdf["hits"], strict=True):
+                if hits is not None and len(hits):
+                    held[int(seq)] = int(seq), agent, list(terms), list(hits)[: memory.KEPT_PATHS]
+        kept = [held[s] for s in sorted(held)[-self.keep :]]
+        if kept:
+            self.held.put(kept)
+            out = pd.DataFrame(kept, columns=["seq", "agent_id", "terms", "paths"])
+            yield out.assign(session_id=key[0])[["session_id", "seq", "agent_id", "terms", "paths"]]
+
+    def close(self) -> None:
+        pass
+
+
+def remember_stream(queries: DataFrame, keep: int = memory.KEPT_RECORDS, seconds: int = 0) -> DataFrame:
+    """`memory.remember` over a stream of queries (seq, session_id, agent_id, terms, hits): for each session that
+    a micro-batch touches, its last `keep` records (session_id, seq, agent_id, terms, paths). Queries without
+    hits aren't remembered."""
+    rows = queries.withColumn("session_id", F.coalesce("session_id", F.lit(memory.LEGACY)))
+    return rows.groupBy("session_id").transformWithStateInPandas(SessionRecords(keep, seconds), f"session_id string, {SessionRecords.FIELDS}", "update", "processingTime" if seconds else "none")
+
+
+def run_available(stream: DataFrame, label: str, keys: list[str]) -> DataFrame:
+    """Runs a stream in update mode over what there is, and returns for each key the row of the last micro-batch
+    that gave one: a table in the shared folder, where the checkpoint is as well."""
+    spark = stream.sparkSession
+    root = f"{storage.shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    write = lambda batch, number: batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/rows/{number}")
+    stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, _batch bigint").option("recursiveFileLookup", "true").parquet(f"{root}/rows")
+    columns = [c for c in rows.columns if c != "_batch"]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), "_batch").alias("_row")).select("_row.*")
+
+
+def upsert_by_path(path: str, sequence: str | None = None, keep: int = 2) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that keeps a table of the newest row of each path: that of the greatest
+    `sequence` (of rows equal in it, and without one, the greatest by all columns). Each batch writes a version of
+    its own, so a batch that is run again writes the same one; the last `keep` versions stay."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates(["path"])
+        spark, columns = batch.sparkSession, batch.columns
+        every = batch
         if number:
-            old = spark.read.parquet(f"{path}/v{number - 1}")
-            new = old.join(new.select("path"), "path", "left_anti").unionByName(new)
-        new.write.mode("overwrite").parquet(f"{path}/v{number}")
+            every = spark.read.schema(batch.schema).parquet(f"{path}/v{number - 1}").unionByName(batch.withColumn("_new", F.lit(1)), allowMissingColumns=True)
+        else:
+            every = batch.withColumn("_new", F.lit(1))
+        # Without a sequence, a row of the batch is newer than one of the table.
+        rank = F.struct(*([sequence] if sequence else []), F.coalesce("_new", F.lit(0)).alias("_new"), *(F.col(c).cast("string").alias(f"_c{i}") for i, c in enumerate(columns)))
+        newest = every.groupBy("path").agg(F.max_by(F.struct(*columns), rank).alias("_row")).select("_row.*")
+        newest.write.mode("overwrite").parquet(f"{path}/v{number}")
+        if number >= keep:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{number - keep}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return apply

@@ -67,3 +67,25 @@ def test_provider_tokens(prefix):
     secret = prefix + "A1" * 20
     assert secret not in R.redact(f"x {secret} y")[0]
     assert R.redact("risk-y")[0] == "risk-y"
+
+
+def test_redaction_of_a_line_is_linear():
+    """A line of keys, one of marks and keys, and one of cookies: eight times the length takes about eight times as long."""
+    import time
+
+    def took(line):
+        best = 9.0
+        for _ in range(3):
+            t = time.process_time()
+            R.redact_line(line)
+            best = min(best, time.process_time() - t)
+        return best
+
+    for unit in ("token ", "[REDACTED_TOKEN] token: $x, ", 'x "cookie: $a" '):
+        small, large = took(unit * 3_000), took(unit * 24_000)
+        assert large < 24 * max(small, 0.002), unit
+
+
+def test_keys_inside_marks_stay():
+    assert R.redact_line("[REDACTED_TOKEN token=abc] token=abc") == "[REDACTED_TOKEN token=abc] token=[REDACTED_LITERAL]"
+    assert R.redact_line("[REDACTED_ token=abcd") == "[REDACTED_ token=[REDACTED_LITERAL]"

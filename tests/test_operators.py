@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sourcelens.functions import text as T
+from sourcelens.functions.query import normalize
 from sourcelens.operators import adaptive, graph, index, memory, order, pack, policy, rank, symbols
 from sourcelens.plans.context import Engine
 from sourcelens.streaming import limiter
@@ -167,8 +168,7 @@ def test_symbols(spark):
 
 def test_call_link(spark):
     e = Engine(spark, corpus(spark, caller_rs="fn handle() { authenticate(); }", auth_rs="pub fn authenticate() -> bool { true }"))
-    hits = [r.asDict() for r in e.search(__import__("sourcelens.functions.query", fromlist=["x"]).normalize("authenticate")).collect()]
-    entries = e.structural_map(hits, ["authenticate"], 6)
+    entries = e.structural_map(e.find(normalize("authenticate")), ["authenticate"], 6)
     links = {p: ls for p, _, _, ls in entries}
     assert [(d, w) for d, _, w in links["caller.rs"]] == [("auth.rs", 0.9)]
 
@@ -273,8 +273,7 @@ def test_signature_points(spark):
     """A term that only the definition's line holds moves the symbol up."""
     text = "pub fn first() {}\npub fn second(token: u8) {}\n"
     e = Engine(spark, corpus(spark, a_rs=text))
-    hits = [r.asDict() for r in e.search(__import__("sourcelens.functions.query", fromlist=["x"]).normalize("token")).collect()]
-    assert e.structural_map(hits, ["token"], 6)[0][2] == ["function second 2", "function first 1"]
+    assert e.structural_map(e.find(normalize("token")), ["token"], 6)[0][2] == ["function second 2", "function first 1"]
 
 
 @pytest.mark.parametrize(("line", "want"), [("x Bearer abcdefghij0123456789 y", "x Bearer [REDACTED_CREDENTIAL] y"), ("Basic dXNlcjpwYXNz= z", "Basic [REDACTED_CREDENTIAL] z"), ("Bearer short", "Bearer short"), ("forbearer abcdefghij0123456789", "forbearer abcdefghij0123456789"), ("a bearer aaaaaaaaaaaaaaaa, basic bbbbbbbbbbbb", "a bearer [REDACTED_CREDENTIAL], basic [REDACTED_CREDENTIAL]")])
@@ -310,3 +309,61 @@ def test_lexical_edges_by_brute_force(spark):
     got = graph.lexical_edges(files, spark.createDataFrame(names, "path string, name string")).collect()
     want = {(s, d) for s, t in texts.items() for d, n in names if t and n and s != d and len(n.encode()) >= 4 and n.lower() in t.lower()}
     assert {(r["src"], r["dst"]) for r in got} == want and len(got) == len(want) and len(want) >= 6
+
+
+def test_nearest_reference_edges(spark):
+    """Links of each file are the same whether or not edges of common names are all made; a name that all files
+    define makes no more edges than seven a file."""
+    import random
+
+    rng = random.Random(2)
+    refs = spark.createDataFrame([(f"f{rng.randrange(40):02d}", f"N{rng.randrange(6)}", rng.choice(["call", "type", "reference"])) for _ in range(300)], "path string, name string, kind string")
+    defs = spark.createDataFrame([(f"f{i:02d}", f"n{rng.randrange(6)}") for i in range(40)] + [(f"f{i:02d}", "n0") for i in range(40)], "path string, name string")
+    links = lambda e: sorted(map(tuple, graph.links(graph.best_edges(e)).select("src", "dst", "weight", "rank").collect()))
+    assert links(graph.nearest_reference_edges(refs, defs)) == links(graph.reference_edges(refs, defs))
+    shared = spark.range(100_000).select(F.format_string("f%06d", "id").alias("path"), F.lit("new").alias("name"), F.lit("call").alias("kind"))
+    assert graph.nearest_reference_edges(shared, shared).count() == 7 * 100_000 - 7
+
+
+def test_many_names_in_a_text(spark, monkeypatch):
+    monkeypatch.setattr(graph, "NAMES_TOGETHER", 3)
+    names = [f"name{i:02d}" for i in range(20)]
+    files = spark.createDataFrame([("all", " ".join(names)), ("few", "name03 name04")] + [(n, "x") for n in names], "path string, text string")
+    got = {(r["src"], r["dst"]) for r in graph.lexical_edges(files, spark.createDataFrame([(n, n) for n in names], "path string, name string")).collect()}
+    assert got == {("all", n) for n in names} | {("few", "name03"), ("few", "name04")}
+
+
+def test_limits_say_what_they_cut(spark):
+    files = spark.createDataFrame([("a.rs", "fn one() {}\nfn two() {}\nuse a::b;\nuse c;\n"), ("b.rs", "fn one() {}\n")], "path string, text string")
+    for found, most in ((symbols.heuristic_symbols, 1), (symbols.import_paths, 1)):
+        assert "truncated" not in found(files).columns
+        assert {r["path"]: r["truncated"] for r in found(files, most).collect() if r["path"] == "a.rs"} == {"a.rs": True}
+    cut = symbols.syntax_facts(files, 1, 0).collect()
+    assert [(r["path"], r["name"], r["truncated"]) for r in cut] == [("a.rs", "one", True), ("b.rs", "one", False)]
+    both = symbols.combined_symbols(symbols.syntax_facts(files).where("fact = 'symbol'"), symbols.heuristic_symbols(files), 1)
+    assert {r["path"]: r["truncated"] for r in both.collect()} == {"a.rs": True, "b.rs": False}
+    scored = spark.createDataFrame([(f"p{i}", float(i)) for i in range(5)], "path string, score double")
+    assert [(r["path"], r["beyond"]) for r in rank.cut(scored, 2).orderBy("path").collect()] == [("p3", True), ("p4", True)]
+    assert not any(r["beyond"] for r in rank.cut(scored, 5).collect())
+
+
+def test_two_calls_at_once(spark):
+    """Answers, memory and texts of overlapping calls are their own."""
+    import threading
+
+    files = {f"m{i}.rs": f"fn alpha{i}() {{ shared(); }}\nfn beta{i}() {{}}\n" for i in range(12)}
+    e = Engine(spark, spark.createDataFrame(list(files.items()), "path string, text string"))
+    alone = {q: Engine(spark, e.corpus).context(q).text for q in ("alpha1 shared", "beta2 alpha2", "alpha3 beta3")}
+    got, errors = {}, []
+
+    def ask(q):
+        try:
+            got[q] = e.context(q, agent_id=q.split()[0]).text
+        except Exception as error:  # noqa: BLE001
+            errors.append(error)
+
+    threads = [threading.Thread(target=ask, args=(q,)) for q in alone]
+    [t.start() for t in threads], [t.join(300) for t in threads]
+    assert not errors and e.seq == 3 and sorted(r[0] for r in e.records) == [1, 2, 3]
+    heads = lambda t: [x for x in t.split("\n") if x.startswith(('"', "CONTEXT", "COVERAGE"))]
+    assert all({h.split(" score ")[0] for h in heads(got[q])} == {h.split(" score ")[0] for h in heads(alone[q])} for q in alone)

@@ -64,3 +64,39 @@ def test_discovery_caps(spark, tmp_path, monkeypatch):
     some, cut = S.load_capped(spark, str(tmp_path))
     assert cut and [r["path"] for r in some.where("text is not null").orderBy("path").collect()] == [".env.example", "build.rs"]
     assert some.where("reason is not null").count() == whole.where("reason is not null").count()
+
+
+def test_parts_are_the_whole_tree(tmp_path):
+    """However a tree is cut, its rows are those of one walk; a large directory is several parts."""
+    root = str(tmp_path)
+    tree(root, **{".gitignore": "*.log\n", "a/.gitignore": "!keep.log\n/x\n", "a/keep.log": "1", "a/x/y.rs": "no", "a/b/c/d.rs": "1", "a/b/e.log": "1", ".git/info/exclude": "secret*\n", "a/b/secret.rs": "1", "target/o.rs": "1", **{f"wide/f{i:03d}.rs": "1" for i in range(95)}, "wide/.ignore": "f00*\n"})
+    whole = sorted(map(str, S.walk(root)))
+    assert not any("'a/x/" in r or "secret" in r or "f001" in r for r in whole) and any("keep.log" in r for r in whole)
+    for want in (1, 2, 4, 50):
+        for chunk in (10, 5000):
+            parts = S.plan(root, want, chunk)
+            rows = []
+            for rel, deep, names in parts:
+                own = [(rel or ".", "ignore_file", *[None] * 6)] if names == frozenset() and S.own_rules(root, rel) else S.walk(root, rel, deep, names)
+                rows += map(str, own)
+            assert sorted(rows) == whole, (want, chunk)
+    assert sum(rel == "wide/" for rel, _, _ in S.plan(root, 50, 10)) > 9
+
+
+def test_filters_are_pushed(spark, tmp_path):
+    from pyspark.sql.datasource import EqualTo, In, IsNull, StringStartsWith
+
+    root = str(tmp_path)
+    tree(root, **{"src/deep/a.rs": "a", "src/b.rs": "b", "lib/c.rs": "c"})
+    reader = S._Reader(root, True, S.identity(root))
+    given = [EqualTo(("path",), "src/deep/a.rs"), IsNull(("reason",))]
+    assert list(reader.pushFilters(given)) == given
+    rows = [r for p in reader.partitions() for r in reader.read(p)]
+    assert [r[:2] for r in rows] == [("src/deep/a.rs", "a")] and not any(p.rel.startswith("lib") for p in reader.partitions())
+    reader = S._Reader(root, True, S.identity(root))
+    list(reader.pushFilters([StringStartsWith(("path",), "lib/"), In(("path",), ("lib/c.rs", "src/b.rs", None))]))
+    assert [r[0] for p in reader.partitions() for r in reader.read(p)] == ["lib/c.rs"]
+    loaded = S.load(spark, root)
+    assert [r["path"] for r in loaded.where("path = 'src/b.rs' and reason is null").collect()] == ["src/b.rs"]
+    assert {r["path"] for r in loaded.where("path like 'src/%' and reason is null").collect()} == {"src/__init__.py", "src/keep.log", "src/drop.log", "src/b.rs", "src/deep/a.rs"}
+    assert loaded.where("path = 'none'").count() == 0
