@@ -40,9 +40,12 @@ def likeness(a: str, b: str) -> Column:
 
 
 def differing_sections(a: Column, b: Column) -> Column:
-    """Places (from 0) of the first fingerprint's sections whose hash the second one doesn't have."""
+    """Places (from 0) of the first fingerprint's sections whose hash the second one doesn't have. The second one's
+    hashes are taken once, as keys of a map."""
     heads = lambda f: F.transform(F.split(F.substr(f, F.lit(66)), ";"), lambda s: F.substring(s, 1, 8))
-    return F.filter(F.transform(heads(a), lambda s, k: F.when(~F.array_contains(heads(b), s), k)), lambda k: k.isNotNull())
+    known = F.map_from_arrays(F.array_distinct(heads(b)), F.transform(F.array_distinct(heads(b)), lambda _: F.lit(True)))
+    missing = lambda held: F.filter(F.transform(heads(a), lambda s, k: F.when(~F.map_contains_key(held, s), k)), lambda k: k.isNotNull())
+    return F.transform(F.array(known), missing)[0]
 
 
 def successors(docs: DataFrame) -> DataFrame:
