@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import threading
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +39,7 @@ class Context:
 @dataclass
 class Found:
     """What a search, or a round of one, has found. bodies: the hits' excerpts as they are shown. texts: path,
-    text (redacted), fingerprint of the candidates."""
+    text (redacted), fingerprint of the candidates. stamps: those of the candidates' files when they were listed."""
 
     hits: list[dict]
     bodies: dict[str, str]
@@ -47,6 +47,7 @@ class Found:
     coverage: dict
     truncated: bool
     confidence: float
+    stamps: dict[str, str] = field(default_factory=dict)
 
     @classmethod
     def of(cls, rows: DataFrame, texts: DataFrame | None, coverage: dict, truncated: bool, terms: list[str]) -> Found:
@@ -56,6 +57,11 @@ class Found:
         sure = adaptive.confidence_of(hits, terms, coverage["indexed"], coverage["eligible"], truncated, coverage["excluded"])
         return cls(hits, {r["path"]: r["body"] for r in got}, texts, coverage, truncated, sure)
 
+    def without(self, gone: set[str]) -> Found:
+        """The same, less hits that were invalidated: there may then be more to find."""
+        hits = [h for h in self.hits if h["path"] not in gone]
+        return replace(self, hits=hits, coverage=self.coverage | {"invalidated": len(self.hits) - len(hits)}, truncated=True)
+
 
 class Answers:
     """What engines share: memory, map, pack, and calls in flight. Several calls may run at once: what one has
@@ -90,6 +96,10 @@ class Answers:
         """What the query finds. Calls done with what there is whenever there is something to answer with."""
         raise NotImplementedError
 
+    def changed_since(self, found: Found) -> set[str]:
+        """Paths of hits whose source is no longer the one that was searched; they aren't shown."""
+        return set()
+
     def _facts_of(self, files: DataFrame) -> DataFrame:
         """path, stamp and FACTS of files (path, text, stamp: a stored table), parsed where the cache lacks them."""
         known, missing = self.facts.probe(files.select("path", "stamp"))
@@ -161,6 +171,9 @@ class Answers:
                 call.check()
                 entries = self.structural_map(found, terms, n_map)
                 call.check()
+                if gone := self.changed_since(found):
+                    found, entries = found.without(gone), [(p, score, names, [x for x in links if x[0] not in gone]) for p, score, names, links in entries if p not in gone]
+                    call.check()
                 answer = self._pack(found, terms, entries)
                 if call.commit():
                     self.remember(session, agent, terms, found.hits)

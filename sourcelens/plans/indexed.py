@@ -94,6 +94,13 @@ class IndexedEngine(Answers):
         verified = _Verified(list(kept.tables), dict(kept.stamps))
         return _Round(files.where("reason is null and skipped is null").select("path", "length", "stamp"), why["excluded"], cut or why["failed"] > 0, verified)
 
+    def changed_since(self, found: Found) -> set[str]:
+        """Hits (at most 32) whose file has another stamp than the one that was listed. Stamps alone are looked at."""
+        if not found.hits:
+            return set()
+        now = self.source.stamps([h["path"] for h in found.hits])
+        return {h["path"] for h in found.hits if now.get(h["path"]) != found.stamps.get(h["path"])}
+
     # --- One round. ---
     def search_once(self, query: Q.Query, state: _Round, budget: int, session: str | None = None, agent: str | None = None) -> tuple[Found, bool]:
         """What is found with `budget` more bytes, and whether a larger budget could find more. What was read
@@ -134,7 +141,9 @@ class IndexedEngine(Answers):
             "percent": 100 * stats["n_docs"] // stats["eligible"] if stats["eligible"] else 100, **state.used,
         }
         texts = self._texts(state.verified)
-        return Found.of(hits, texts, cover, cut or expandable, terms), expandable
+        found = Found.of(hits, texts, cover, cut or expandable, terms)
+        found.stamps = {r["path"]: r["stamp"] for r in ranked}
+        return found, expandable
 
     def _grow(self, state: _Round, terms: list[str], budget: int, priority: int, sample: int) -> bool:
         """Reads missing and changed files into the index, and drops deleted ones; whether a read failed."""

@@ -54,6 +54,17 @@ class Tree:
         chosen = paths.select("path")
         return chosen.repartition(max(1, -(-chosen.count() // READ_TOGETHER)), "path").mapInArrow(run, READ)
 
+    def stamps(self, paths: list[str]) -> dict[str, str]:
+        """The stamps that these paths, a few, have now."""
+        out = {}
+        for path in paths:
+            try:
+                now = os.stat(f"{self.root}/{path}", follow_symlinks=False)
+            except OSError:
+                continue
+            out[path] = ":".join(str(x) for x in (now.st_size, now.st_mtime_ns, now.st_dev, now.st_ino, now.st_ctime_ns, now.st_nlink))
+        return out
+
 
 class Table:
     """A corpus (path, text; optional: reason, stamp). Without stamps, one is made from the text."""
@@ -69,3 +80,7 @@ class Table:
 
     def texts(self, paths: DataFrame) -> DataFrame:
         return self.rows.join(paths.select("path").distinct(), "path", "left_semi").select("path", "text", "reason", "stamp")
+
+    def stamps(self, paths: list[str]) -> dict[str, str]:
+        """The stamps that these paths, a few, have now."""
+        return {r["path"]: r["stamp"] for r in self.rows.where(F.col("path").isin(paths)).select("path", "stamp").collect()}

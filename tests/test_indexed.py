@@ -199,6 +199,25 @@ def test_redacted_and_path_only(spark, tmp_path):
     assert (hit["path"], hit["score"], hit["excerpt"]) == ("src/middleware.rs", 3.0, "")
 
 
+def test_what_changes_meanwhile_is_not_shown(spark, tmp_path, monkeypatch):
+    root = tmp_path / "tree"
+    write(root, {"a.rs": "fn alpha() {}\n", "b.rs": "fn beta() { alpha(); }\n"})
+    e = engine(spark, tmp_path, Tree(spark, str(root)))
+    whole = IndexedEngine.structural_map
+
+    def slow_map(self, *args):
+        entries = whole(self, *args)
+        write(root, {"b.rs": "fn beta() { other(); }\n"})
+        return entries
+
+    with monkeypatch.context() as m:
+        m.setattr(IndexedEngine, "structural_map", slow_map)
+        got = e.context("alpha")
+    assert [h["path"] for h in got.hits] == ["a.rs"] and got.coverage["invalidated"] == 1 and got.truncated and "b.rs" not in got.text.split("EVIDENCE")[0]
+    again = e.context("alpha")
+    assert [h["path"] for h in again.hits] == ["a.rs"] and "invalidated" not in again.coverage and not again.truncated
+
+
 def test_budget_rounds_are_the_fold(spark, monkeypatch):
     items = spark.range(900).select((F.col("id") % 3).alias("g"), "id", (F.xxhash64("id") % 97 + 97).alias("size"), F.lit("x").alias("taken_before"))
     want = sorted(map(tuple, adaptive._folded(items, "g", ["id"], "size", 5000).collect()))
