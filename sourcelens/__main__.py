@@ -8,7 +8,9 @@ import os
 from pyspark.sql import SparkSession
 
 from .plans.context import Engine
-from .sources import files
+from .plans.indexed import IndexedEngine
+from .plans.stored_index import StoredIndex
+from .sources import corpora, files
 
 
 def main() -> None:
@@ -19,6 +21,7 @@ def main() -> None:
     args.add_argument("--session")
     args.add_argument("--agent")
     args.add_argument("--seconds", type=float, help="the time within which there must be an answer")
+    args.add_argument("--index", help="a folder for the index, which queries grow and answer from; without it the whole tree is read")
     given = args.parse_args()
     root = os.path.realpath(given.root) if given.root else files.project_root(os.getcwd())
     if files.is_broad(root, os.path.realpath(os.path.expanduser("~"))) and not given.allow_broad_root:
@@ -26,8 +29,12 @@ def main() -> None:
     conf = {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "8"}
     spark = SparkSession.builder.master("local[*]").config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    corpus, cut = files.load_capped(spark, root)
-    print(Engine(spark, corpus.cache(), truncated=cut).context(given.query, given.session, given.agent, seconds=given.seconds).text)
+    if given.index:
+        engine = IndexedEngine(spark, corpora.Tree(spark, root), StoredIndex(spark, f"file://{os.path.realpath(given.index)}"))
+    else:
+        corpus, cut = files.load_capped(spark, root)
+        engine = Engine(spark, corpus.cache(), truncated=cut)
+    print(engine.context(given.query, given.session, given.agent, seconds=given.seconds).text)
     spark.stop()
 
 

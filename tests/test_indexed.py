@@ -237,3 +237,23 @@ def test_confidence_on_the_driver(spark):
             want = adaptive.confidence(df, ["token", "ther"], F.lit(3), F.lit(4), F.lit(cut), F.lit(excluded)).first()[0]
             got = adaptive.confidence_of([{"path": p, "excerpt": x, "score": s} for p, x, s in hits], ["token", "ther"], 3, 4, cut, excluded)
             assert got == pytest.approx(want)
+
+
+def test_cache_by_stamp(spark, monkeypatch):
+    """The newest generation of a path counts, one without rows is known, and the paths put last stay."""
+    from sourcelens.plans import cache
+
+    monkeypatch.setattr(cache, "PARTS", 3)
+    c = cache.StampCache(spark, "t", "n int", capacity=2)
+    keys = lambda *r: spark.createDataFrame(r, "path string, stamp string")
+    rows = lambda *r: spark.createDataFrame(list(r), "path string, stamp string, n int")
+    assert c.probe(keys(("a", "1")))[1].count() == 1
+    c.put(keys(("a", "1"), ("b", "1")), rows(("a", "1", 10)))
+    c.put(keys(("a", "2")), rows(("a", "2", 20), ("a", "2", 21)))
+    got, missing = c.probe(keys(("a", "1"), ("a", "2"), ("b", "1"), ("c", "1")))
+    assert sorted(map(tuple, got.collect())) == [("a", "2", 20), ("a", "2", 21)]
+    assert sorted(map(tuple, missing.collect())) == [("a", "1"), ("c", "1")]
+    for k in range(5):  # rewritten on the way, and old files go
+        c.put(keys((f"p{k}", "1")), rows((f"p{k}", "1", k)))
+        assert c.probe(keys((f"p{k}", "1")))[0].collect()[0]["n"] == k
+    assert len(c.parts) < 3 and c.probe(keys(("a", "2"), ("p0", "1")))[1].count() == 2
