@@ -42,8 +42,8 @@ class StampCache:
         known = wanted.select("path", "stamp").distinct().join(newest, ["path", "stamp"])
         return rows.join(known, ["path", "stamp", "seq"]).select(self.columns), wanted.join(known, ["path", "stamp"], "left_anti")
 
-    def put(self, generations: DataFrame, rows: DataFrame) -> None:
-        """Adds generations (path, stamp) and their rows."""
+    def put(self, generations: DataFrame, rows: DataFrame) -> DataFrame:
+        """Adds generations (path, stamp) and their rows, which it returns as they are stored."""
         with self._lock:
             self.seq += 1
             seq = self.seq
@@ -54,6 +54,7 @@ class StampCache:
             full = len(self.parts) >= PARTS
         if full:
             self.rewrite()
+        return part[2].select(self.columns)
 
     def rewrite(self) -> None:
         """Keeps the newest generation of the paths put last, as one part. The old parts' files go when this

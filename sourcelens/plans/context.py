@@ -113,10 +113,10 @@ class Answers:
         blank = F.lit(None).cast("string")
         rows = rows.unionByName(facts.where("fact = 'reference'").select("path", "fact", "name", "kind", "line", blank.alias("signature")))
         rows = rows.unionByName(symbols.import_paths(texts).select("path", F.lit("import").alias("fact"), F.col("module").alias("name"), blank.alias("kind"), F.lit(None).cast("int").alias("line"), blank.alias("signature")))
-        self.facts.put(texts.select("path", "stamp"), rows.join(texts.select("path", "stamp"), "path"))
+        new = self.facts.put(texts.select("path", "stamp"), rows.join(texts.select("path", "stamp"), "path"))
         with self.lock:
             self.parsed += n
-        return self.facts.probe(files.select("path", "stamp"))[0]
+        return known.unionByName(new)
 
     def structural_map(self, found: Found, terms: list[str], limit: int) -> list[tuple[str, float, list[str], list[tuple[str, str, float]]]]:
         """Map entries of at most 16 files that the search hit: path, score, symbols, links."""
