@@ -113,12 +113,14 @@ def entries(corpus: DataFrame, terms: bool = True, grams: bool = True) -> DataFr
     as asked for, and dl. A document is one row and needs no other one, so nothing is shuffled: Spark finds the tokens,
     and a task counts those of some documents at a time as arrays of numbers. Null text gives empty arrays."""
     text, own = F.col("text"), [c for c in corpus.columns if c != "text"]
-    given = corpus.select(*own, F.greatest(F.size(T.tokens(text)), F.lit(1)).cast("bigint").alias("dl"), *([T.tokens(text).alias("_tokens")] if terms else []), *([text, F.when(F.octet_length(text) > F.char_length(text), T.scalars(text)).alias("_odd")] if grams else []))
+    given = corpus.select(*own, *([] if terms else [F.greatest(F.size(T.tokens(text)), F.lit(1)).cast("bigint").alias("dl")]), *([T.tokens(text).alias("_tokens")] if terms else []), *([text, F.when(F.octet_length(text) > F.char_length(text), T.scalars(text)).alias("_odd")] if grams else []))
     more = ["terms array<struct<term:string,tf:bigint>>"] * terms + ["grams array<string>"] * grams
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in corpus.schema if f.name != "text"), "dl bigint", *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if terms:
+                b = b.append_column("dl", pc.max_element_wise(pc.list_value_length(b["_tokens"]).cast(pa.int64()), 1))  # noqa: PLW2901
             # Flags of grams are some 60 KB a document, so a short one counts as 16 KB.
             weight = pc.max_element_wise(pc.fill_null(pc.binary_length(b["text"]), 0).cast(pa.int64()), 16_384) if grams else b["dl"]
             for lo, hi in _parted(weight.to_numpy(zero_copy_only=False), BYTES_TOGETHER if grams else TOKENS_TOGETHER):

@@ -24,6 +24,8 @@ DOCUMENTS = "path string, stamp string, dl bigint, entries bigint, truncated boo
 POSTINGS = "term string, path string, tf bigint, segment string, bucket int"
 GRAMS = "gram string, path string, segment string, bucket int"
 SKIPS = "path string, stamp string, reason string"
+#: Rows of postings and grams that a part of a bucket holds, about.
+TOGETHER = 500_000
 #: Segments after which an update merges all of them.
 MERGED_AT = 16
 
@@ -147,23 +149,23 @@ class StoredIndex:
         until the cap of entries. Rows with a reason that policy gives are remembered as skips; other failures
         leave the file out. Returns the version that is then the newest."""
         fresh = stored(fresh.select("path", "text", "reason", "stamp", F.col("place").cast("bigint").alias("place")), "index-fresh")
-        good = fresh.where("reason is null and text is not null")
-        post, sketch = stored(index.postings(good, self.max_terms), "index-postings"), stored(index.gram_sketch(good, self.max_grams), "index-grams")
-        of = lambda df, name: df.groupBy("path").agg(F.count("*").alias(name), F.max("truncated").alias(f"{name}_cut"))
-        made = index.document_lengths(good).join(good.select("path", "stamp", "place"), "path").join(of(post, "terms"), "path", "left").join(of(sketch, "grams"), "path", "left")
-        entries = F.coalesce("terms", F.lit(0)) + F.coalesce("grams", F.lit(0))
-        cut = F.coalesce("terms_cut", F.lit(False)) | F.coalesce("grams_cut", F.lit(False))
-        made = stored(made.select("path", "stamp", "dl", "place", entries.alias("entries"), cut.alias("truncated")), "index-made")
+        good = fresh.where("reason is null and text is not null").select("path", "stamp", "place", "text")
+        made = index.limited(index.entries(good, grams=self.max_grams is None), self.max_terms)
+        made = made.withColumn("grams_cut", F.lit(False)) if self.max_grams is None else made.join(index.first_grams(good, self.max_grams), "path")
+        # A row for each document, with its terms and grams: they are counted and chosen before they are dealt out.
+        made = stored(made.select("path", "stamp", "dl", "place", (F.size("terms") + F.size("grams")).cast("bigint").alias("entries"), (F.col("terms_cut") | F.col("grams_cut")).alias("truncated"), "terms", "terms_cut", "grams"), "index-made")
 
         held = self.documents()
         stale = states.where("state in ('deleted', 'changed')").select("path").unionByName(made.select("path"))
         kept = stored(held.join(stale, "path", "left_anti"), "index-kept")
         have = kept.agg(F.coalesce(F.sum("entries"), F.lit(0))).first()[0]
-        joined = index.saturated(made.select(F.col("place").alias("seq"), "path", F.col("entries").alias("n")), self.cap - have).where("kept").select("path")
-        segment = uuid.uuid4().hex
-        new = made.join(joined, "path", "left_semi").withColumn("segment", F.lit(segment))
-        name, n_made = uuid.uuid4().hex, made.count()
-        self._write_segment(segment, post.join(new.select("path"), "path", "left_semi"), sketch.join(new.select("path"), "path", "left_semi"))
+        n_made, wanted = made.agg(F.count("*"), F.coalesce(F.sum("entries"), F.lit(0))).first()
+        segment, name, new = uuid.uuid4().hex, uuid.uuid4().hex, made
+        if wanted > self.cap - have:
+            joined = index.saturated(made.select(F.col("place").alias("seq"), "path", F.col("entries").alias("n")), self.cap - have).where("kept").select("path")
+            new = made.join(joined, "path", "left_semi")
+        new = new.withColumn("segment", F.lit(segment))
+        self._write_segment(segment, index.posted(new), new.select("path", F.explode("grams").alias("gram")), min(wanted, self.cap - have))
         documents = f"{self.root}/documents/{name}"
         columns = [c.split()[0] for c in DOCUMENTS.split(", ")]
         kept.select(columns).unionByName(new.select(columns)).write.parquet(documents)
@@ -175,24 +177,27 @@ class StoredIndex:
         n, length, total, n_new = now.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0)), F.coalesce(F.sum("entries"), F.lit(0)), F.count_if(F.col("segment") == segment)).first()
         segments = [*self.manifest.segments, segment]
         manifest = Manifest(self.manifest.version + 1, segments, n, length, total, n_new < n_made, self.manifest.buckets, name)
-        for table in (fresh, post, sketch, made, kept):
+        for table in (fresh, made, kept):
             discard(table)
         if len(segments) > MERGED_AT:
             manifest = self._merged(manifest, now)
         self._publish(manifest)
         return manifest
 
-    def _write_segment(self, segment: str, post: DataFrame, sketch: DataFrame) -> None:
-        """Ranges of bucket, term and path, so that a term of most files is several tasks and files."""
+    def _write_segment(self, segment: str, post: DataFrame, sketch: DataFrame, entries: int) -> None:
+        """A file for each bucket and part of the paths, ordered by term; parts hold about TOGETHER rows, so a term
+        of most files is several tasks and files. The place of a row is known without looking at the others."""
+        parts = max(1, -(-entries // (self.manifest.buckets * TOGETHER)))
         for kind, rows, column in (("postings", post.select("term", "path", "tf"), "term"), ("grams", sketch.select("gram", "path"), "gram")):
-            dealt = rows.withColumn("bucket", self.bucket(column)).repartitionByRange("bucket", column, "path").sortWithinPartitions("bucket", column, "path")
+            task = F.col("bucket") * parts + F.pmod(F.hash("path"), F.lit(parts))
+            dealt = rows.withColumn("bucket", self.bucket(column)).repartitionById(self.manifest.buckets * parts, task.cast("int")).sortWithinPartitions("bucket", column)
             dealt.write.partitionBy("bucket").parquet(f"{self.root}/{kind}/segment={segment}")
 
     def _merged(self, manifest: Manifest, now: DataFrame) -> Manifest:
         """One segment of what counts of all."""
         segment, live = uuid.uuid4().hex, now.select("path", "segment")
         of = lambda kind, schema: self._read(f"{self.root}/{kind}", schema).where(F.col("segment").isin(manifest.segments)).join(live, ["path", "segment"])
-        self._write_segment(segment, of("postings", POSTINGS), of("grams", GRAMS))
+        self._write_segment(segment, of("postings", POSTINGS), of("grams", GRAMS), manifest.entries)
         whole = stored(now.withColumn("segment", F.lit(segment)), "index-documents")
         whole.write.mode("overwrite").parquet(f"{self.root}/documents/{manifest.tables}")
         discard(whole)
