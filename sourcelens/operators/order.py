@@ -47,3 +47,9 @@ def before(df: DataFrame, keys: list[str], order: list[str | Column], name: str,
     for k, a in zip(keys, key, strict=True):
         same &= F.col(k).eqNullSafe(F.col(a))
     return within.join(ends, same).withColumn(name, F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_own"))).drop(*key, "_r", "_carried", "_own", "_first", "_last", "_range")
+
+
+def ranged(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
+    """df dealt into ranges of keys and order, and put in order in each: every range is a task."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(df, "ranges").repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
