@@ -23,17 +23,17 @@ def sample_hash(path: Column) -> Column:
     return F.conv(F.substring(F.md5(path), 1, 7), 16, 10).cast("bigint")
 
 
-def lanes(files: DataFrame) -> DataFrame:
+def lanes(files: DataFrame, size: str | None = None, most: int | None = None) -> DataFrame:
     """files (path, path_bonus, changed) with lane and place: changed files and ones whose path holds a
     term come first, then an eighth by hash, then the rest in turn over the top directories. A lane of any size is split
-    over tasks."""
+    over tasks. With size, a column of files, also upto: its sum in the lane up to the file. most: files there are at most."""
     h = sample_hash(F.col("path"))
     lane = F.when(F.col("changed") | (F.col("path_bonus") > 0), "priority").when(h % SAMPLE_OF == 0, "sample").otherwise("broad")
     d = files.withColumns({"lane": lane, "h": h, "top": F.split("path", "/")[0]})
-    d = order.running(d, ["lane", "top"], ["path"], "turn")
+    d = order.running(d, ["lane", "top"], ["path"], "turn", most=most)
     key = lambda name, c: F.when(F.col("lane") == name, c)
     by = [key("priority", (~F.col("changed")).cast("int")), key("priority", -F.col("path_bonus")), key("sample", F.col("h")), key("broad", F.col("turn")), key("broad", F.col("top")), F.col("path")]
-    return order.running(d, ["lane"], by, "place").drop("h", "top", "turn")
+    return order.running(d, ["lane"], by, "place", upto=("upto", F.col(size)) if size else None, most=most).drop("h", "top", "turn")
 
 
 #: Groups of more items than this are not folded.
@@ -83,6 +83,36 @@ def _by_rounds(items: DataFrame, group: str, order_by: list[str], size: str, bud
             return reduce(lambda a, b: a.unionByName(b), out)
 
 
+#: Items that the driver looks at together (their places and sizes), and how often it does so for a lane.
+HEAD, HEADS = 4096, 4
+
+
+def fit_lane(lane: DataFrame, budget: int) -> tuple[DataFrame, int]:
+    """What fit_budget takes of one of `lanes`, a stored table (place, length, upto and others), and its bytes.
+
+    The running totals are there already, so the longest prefix that fits is a filter. What is left of the budget
+    is less than the file after it, so few files more fit: the next HEAD of small enough ones are looked at in order, and
+    what is left then is smaller. If that isn't the end after HEADS times, rounds of running totals go on."""
+    size, place = F.col("length"), F.col("place")
+    fits = F.col("upto") <= budget
+    used = lane.agg(F.coalesce(F.sum(F.when(fits, size)), F.lit(0))).first()[0]
+    more, after = [], 0
+    for _ in range(HEADS):
+        rest = lane.where(~fits & (place > after) & (size <= budget - used))
+        head = rest.select("place", "length").orderBy("place").limit(HEAD).collect()
+        for r in head:
+            if used + r["length"] <= budget:
+                used += r["length"]
+                more.append(r["place"])
+        if len(head) < HEAD:
+            return lane.where(fits | place.isin(more)), used
+        after = head[-1]["place"]
+    rest = lane.where(~fits & (place > after) & (size <= budget - used))
+    late = stored(_by_rounds(rest, "lane", ["place"], "length", budget - used).where("taken").drop("taken"), "chosen")
+    used += late.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    return lane.where(fits | place.isin(more)).unionByName(late), used
+
+
 def split_budget(budget: int) -> tuple[int, int, int, int]:
     """Of a round's bytes: those for the index and for verifying candidates (a quarter), and of the index's
     those that the priority lane (half) and the sample lane (an eighth) may take at most."""

@@ -7,28 +7,36 @@ from pyspark.sql import functions as F
 
 from ..storage import stored
 
+#: Rows of a range, about, where their number is known.
+RANGE = 10_000
 
-def running(df: DataFrame, keys: list[str], order: list[str | Column], name: str, of: Column | None = None) -> DataFrame:
+
+def running(df: DataFrame, keys: list[str], order: list[str | Column], name: str, of: Column | None = None, upto: tuple[str, Column] | None = None, most: int | None = None) -> DataFrame:
     """df with `name` (bigint): the place from 1 of each row among those of equal keys, or with `of` the sum of
-    that up to the row. Rows equal in keys and order take places in any order.
+    that up to the row. Rows equal in keys and order take places in any order. upto: a further name, and what is
+    summed under it in the same pass. most: rows that df has at most, if known; a few rows aren't many ranges.
 
     Rows are dealt into ranges of keys and order, so a hot key is split; the ranges are stored, as sampled
     bounds may differ between runs. A row's value is its value within its range plus the totals of the key's
     earlier ranges, of which there are as many as partitions."""
-    rows = df.withColumn("_of", (F.lit(1) if of is None else of).cast("bigint"))
+    sums = {name: "_of"} | ({} if upto is None else {upto[0]: "_upto_of"})
+    rows = df.withColumns({c: x.cast("bigint") for c, x in zip(sums.values(), (F.lit(1) if of is None else of, *(upto or ())[1:]))})
     # A number as parameter keeps every partition: AQE would join small ones, and none is split by it.
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if most is not None:
+        n = min(n, max(1, -(-most // RANGE)))
     dealt = stored(rows.repartitionByRange(n, *keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
     key = [f"_k{i}" for i in range(len(keys))]
-    totals = dealt.groupBy(*(F.col(k).alias(a) for k, a in zip(keys, key, strict=True)), F.col("_range").alias("_r")).agg(F.sum("_of").alias("_total"))
+    totals = dealt.groupBy(*(F.col(k).alias(a) for k, a in zip(keys, key, strict=True)), F.col("_range").alias("_r")).agg(*(F.sum(c).alias(f"{c}_total") for c in sums.values()))
     earlier = Window.partitionBy(*key).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(*key, "_r", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
+    before = totals.select(*key, "_r", *(F.coalesce(F.sum(f"{c}_total").over(earlier), F.lit(0)).alias(f"{c}_before") for c in sums.values()))
     own = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    within = dealt.withColumn("_within", F.sum("_of").over(own))
+    within = dealt.withColumns({f"{c}_within": F.sum(c).over(own) for c in sums.values()})
     same = F.col("_range") == F.col("_r")
     for k, a in zip(keys, key, strict=True):
         same &= F.col(k).eqNullSafe(F.col(a))
-    return within.join(before, same).withColumn(name, F.col("_within") + F.col("_before")).drop(*key, "_r", "_before", "_within", "_of", "_range")
+    out = within.join(before, same).withColumns({c: F.col(f"{o}_within") + F.col(f"{o}_before") for c, o in sums.items()})
+    return out.drop(*key, "_r", "_range", *(f"{o}{x}" for o in sums.values() for x in ("", "_before", "_within")))
 
 
 def before(df: DataFrame, keys: list[str], order: list[str | Column], name: str, value: str) -> DataFrame:

@@ -154,25 +154,26 @@ class IndexedEngine(Answers):
                 discard(states)
                 return False
             pending = state.listed.join(states.where("state in ('missing', 'changed')"), "path")
-            laned = stored(adaptive.lanes(pending.select("path", "length", "stamp", rank.path_score(F.col("path"), terms).alias("path_bonus"), (F.col("state") == "changed").alias("changed"))), "laned")
+            files = pending.select("path", "length", "stamp", rank.path_score(F.col("path"), terms).alias("path_bonus"), (F.col("state") == "changed").alias("changed"))
+            laned = stored(adaptive.lanes(files, "length", counts.get("missing", 0) + counts.get("changed", 0)), "laned")
             chosen, used = [], 0
             for lane, most in (("priority", priority), ("sample", sample), ("broad", budget)):
-                fit = stored(adaptive.fit_budget(laned.where(F.col("lane") == lane), "lane", ["place"], "length", min(most, budget - used)).where("taken").select("path", "lane", "place", "length", F.col("stamp").alias("listed_stamp")), "chosen")
-                used += fit.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-                chosen.append(fit)
+                fit, size = adaptive.fit_lane(laned.where(F.col("lane") == lane), min(most, budget - used))
+                used += size
+                chosen.append(fit.select("path", "lane", "place", F.col("stamp").alias("listed_stamp")))
             order = F.when(F.col("lane") == "priority", 0).when(F.col("lane") == "sample", 1).otherwise(2).cast("bigint") * (1 << 40) + F.col("place")
-            wanted = reduce(lambda a, b: a.unionByName(b), chosen).withColumn("place", order)
+            wanted = stored(reduce(lambda a, b: a.unionByName(b), chosen).select("path", "listed_stamp", order.alias("place")), "chosen")
             texts = self.source.texts(wanted)
             # A text of another generation than the one listed isn't indexed: it's listed anew next time.
-            read = stored(texts.join(wanted.select("path", "listed_stamp", "place"), "path").withColumn("moved", F.col("reason").isNull() & ~F.col("stamp").eqNullSafe(F.col("listed_stamp"))), "read")
+            read = stored(texts.join(wanted, "path").withColumn("moved", F.col("reason").isNull() & ~F.col("stamp").eqNullSafe(F.col("listed_stamp"))), "read")
             n, size, failed, skipped = read.agg(F.count_if(F.col("text").isNotNull()), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(F.col("moved") | policy.makes_incomplete(F.col("reason"))), F.count_if(F.col("reason").isNotNull() & ~policy.makes_incomplete(F.col("reason")))).first()
-            self.index.update(states, read.where("not moved"))
+            self.index.update(states, read.where("not moved"), again=False)
         state.used["scanned_files"] += n
         state.used["scanned_bytes"] += size
         if skipped:  # what was just learnt to be excluded by policy is no longer searchable
             gone = self.index.skips().select("path", "stamp")
             state.listed, state.excluded = stored(state.listed.join(gone, ["path", "stamp"], "left_anti"), "listed"), state.excluded + skipped
-        for table in (*chosen, laned, read, states):
+        for table in (wanted, laned, read, states):
             discard(table)
         return failed > 0
 

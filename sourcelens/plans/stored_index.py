@@ -12,6 +12,8 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import asdict, dataclass, field, replace
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -131,24 +133,30 @@ class StoredIndex:
     def frequencies(self, terms: list[str]) -> DataFrame:
         """path, dl, tf0..: of indexed files that may hold a term, how often each is a whole token or a fragment
         of one, or 1 where only the grams say so."""
-        live = self.documents().select("path", "segment", "dl")
-        post = self._wanted("postings", POSTINGS, "term", terms).join(live, ["path", "segment"])
-        held = self._wanted("grams", GRAMS, "gram", sorted({g for t in terms for g in T.query_grams(t)})).join(live.select("path", "segment"), ["path", "segment"])
-        found = index.indexed_frequency(post, held, terms)
-        wide = found.groupBy("path").agg(*(F.coalesce(F.max(F.when(F.col("term") == t, F.col("tf"))), F.lit(0)).alias(f"tf{i}") for i, t in enumerate(terms)))
-        return wide.join(live.select("path", "dl"), "path")
+        every = {t: sorted(set(T.query_grams(t))) for t in terms}
+        at = {g: i for i, g in enumerate(sorted({g for of in every.values() for g in of}))}
+        post = self._wanted("postings", POSTINGS, "term", terms).select("path", "segment", "term", "tf", F.lit(None).cast("string").alias("gram"))
+        held = self._wanted("grams", GRAMS, "gram", list(at)).select("path", "segment", F.lit(None).cast("string").alias("term"), F.lit(0).cast("bigint").alias("tf"), "gram")
+        # Both are looked at in one aggregation, so a file's rows meet once, and its newest segment once.
+        own = {f"own{i}": F.max(F.when(F.col("term") == t, F.col("tf"))) for i, t in enumerate(terms)} | {f"gram{i}": F.max(F.col("gram") == g) for g, i in at.items()}
+        found = post.unionByName(held).groupBy("path", "segment").agg(*(c.alias(name) for name, c in own.items()))
+        loose = [reduce(and_, (F.coalesce(f"gram{at[g]}", F.lit(False)) for g in every[t])) if every[t] else F.lit(False) for t in terms]
+        wide = found.select("path", "segment", *(F.greatest(F.coalesce(f"own{i}", F.lit(0)), loose[i].cast("bigint")).alias(f"tf{i}") for i in range(len(terms))))
+        return wide.where(reduce(or_, (F.col(f"tf{i}") > 0 for i in range(len(terms))))).join(self.documents().select("path", "segment", "dl"), ["path", "segment"]).drop("segment")
 
     # --- Writing. ---
     def states(self, listed: DataFrame, complete: bool = True) -> DataFrame:
         """path, state of listed files (path, stamp) and indexed ones, as `index.reconcile` gives them."""
         return index.reconcile(listed, self.documents(), ["stamp"], F.lit(complete))
 
-    def update(self, states: DataFrame, fresh: DataFrame) -> Manifest:
+    def update(self, states: DataFrame, fresh: DataFrame, again: bool = True) -> Manifest:
         """Brings the index up to date: files that states (path, state) calls deleted or changed go, and fresh
         (path, text, reason, stamp, place), what was read of missing and changed ones, joins in order of place
         until the cap of entries. Rows with a reason that policy gives are remembered as skips; other failures
-        leave the file out. Returns the version that is then the newest."""
-        fresh = stored(fresh.select("path", "text", "reason", "stamp", F.col("place").cast("bigint").alias("place")), "index-fresh")
+        leave the file out. again: fresh is stored first, as it is read more than once; not needed for a filter over
+        a stored table. Returns the version that is then the newest."""
+        fresh = fresh.select("path", "text", "reason", "stamp", F.col("place").cast("bigint").alias("place"))
+        fresh = stored(fresh, "index-fresh") if again else fresh
         good = fresh.where("reason is null and text is not null").select("path", "stamp", "place", "text")
         made = index.limited(index.entries(good, grams=self.max_grams is None), self.max_terms)
         made = made.withColumn("grams_cut", F.lit(False)) if self.max_grams is None else made.join(index.first_grams(good, self.max_grams), "path")
@@ -177,7 +185,7 @@ class StoredIndex:
         n, length, total, n_new = now.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0)), F.coalesce(F.sum("entries"), F.lit(0)), F.count_if(F.col("segment") == segment)).first()
         segments = [*self.manifest.segments, segment]
         manifest = Manifest(self.manifest.version + 1, segments, n, length, total, n_new < n_made, self.manifest.buckets, name)
-        for table in (fresh, made, kept):
+        for table in (*[fresh] * again, made, kept):
             discard(table)
         if len(segments) > MERGED_AT:
             manifest = self._merged(manifest, now)
