@@ -25,7 +25,7 @@ def reference_edges(refs: DataFrame, definitions: DataFrame) -> DataFrame:
     side is made distinct before the join, so a name used often in one file is one row."""
     r = refs.select(F.col("path").alias("src"), T.ascii_lower(F.col("name")).alias("name"), "kind").distinct()
     d = definitions.select(F.col("path").alias("dst"), T.ascii_lower(F.col("name")).alias("name")).distinct()
-    return r.join(d, "name").select("src", "dst", "kind", weight(F.col("kind")).alias("weight")).distinct()
+    return r.join(d.hint("merge"), "name").select("src", "dst", "kind", weight(F.col("kind")).alias("weight")).distinct()
 
 
 def nearest_reference_edges(refs: DataFrame, definitions: DataFrame, limit: int = 6) -> DataFrame:
@@ -38,7 +38,7 @@ def nearest_reference_edges(refs: DataFrame, definitions: DataFrame, limit: int
     r = refs.select(F.col("path").alias("src"), T.ascii_lower(F.col("name")).alias("name"), "kind").distinct()
     d = definitions.select(F.col("path").alias("dst"), T.ascii_lower(F.col("name")).alias("name")).distinct()
     first = least(d, "name", "dst", limit + 1).withColumnRenamed("value", "dst")
-    return r.join(first, "name").select("src", "dst", "kind", weight(F.col("kind")).alias("weight")).where("src <> dst").distinct()
+    return r.join(first.hint("merge"), "name").select("src", "dst", "kind", weight(F.col("kind")).alias("weight")).where("src <> dst").distinct()
 
 
 def least(rows: DataFrame, key: str, value: str, n: int) -> DataFrame:
@@ -63,17 +63,21 @@ def import_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
 
     A suffix that ends with a stem has it as its tail, and stems have no "/": so candidates come from equi
     joins, by the tails of the import's last component for the stem (which the module path's tail implies),
-    and by last component for the module path that ends with the import.
+    and by last component for the module path that ends with the import. Many files import one module, so a module
+    is looked up once, and files then meet what their modules are. All sides grow with the files, and Spark expects
+    far too little of a made column's size, so it is asked not to broadcast any.
     """
-    i = imports.select(F.col("path").alias("src"), "module").distinct()
+    own = imports.select(F.col("path").alias("src"), "module").distinct()
+    i = own.select("module").distinct()
     f = files.select(F.col("path").alias("dst"), module_path(F.col("path")).alias("mp"), stem(F.col("path")).alias("stem")).distinct()
     last = F.regexp_extract("module", "([^/]*)$", 1)
     tails = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(last), F.lit(1))), lambda k: F.substr(last, k, F.char_length(last)))
-    ends = i.withColumn("tail", F.explode(tails)).join(f, F.col("tail") == F.col("stem"))
+    ends = i.withColumn("tail", F.explode(tails)).join(f.hint("merge"), F.col("tail") == F.col("stem"))
     # The other way: a module path ends with the import; its own tails, cut at any character.
     paths = f.withColumn("tail", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("mp"), F.lit(1))), lambda k: F.substr("mp", k, F.char_length("mp")))))
-    inside = i.join(paths, F.col("module") == F.col("tail"))
-    both = ends.select("src", "dst").unionByName(inside.select("src", "dst")).distinct()
+    inside = i.join(paths.hint("merge"), F.col("module") == F.col("tail"))
+    both = ends.select("module", "dst").unionByName(inside.select("module", "dst")).distinct()
+    both = own.join(both.hint("merge"), "module").select("src", "dst").distinct()
     return both.select("src", "dst", F.lit("import").alias("kind"), F.lit(WEIGHTS["import"]).alias("weight"))
 
 
